@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words where white space does.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -16,9 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, UPPER, UPPER.lower())
+def lower_latin(text: Column) -> Column:
+    """Lower-case text so that A-Z become a-z and no other character becomes one of them.
+
+    For matching against ASCII words only: letters beyond ASCII may change into others beyond ASCII.  (translate() would
+    leave them alone, but takes four times as long.)
+    """
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u0138")))
 
 
 def space_words(text: Column) -> Column:

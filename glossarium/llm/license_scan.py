@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lower_ascii
+from .common import lower_latin
 
 GRAM = 3
 #: Words are runs of ASCII letters, digits and anything beyond ASCII.
@@ -58,7 +58,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phras
     """
     t = templates(docs.sparkSession, phrases, texts)
     mark = docs.sparkSession.createDataFrame([(0, "", -1, 0, None, False, 1)], "gram long, gram_text string, tpl int, tpos int, label string, exact boolean, grams int")
-    words = docs.select(F.col(id_col).alias("doc_id"), F.array_remove(F.split(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), NOT_WORD), "").alias("words"))
+    words = docs.select(F.col(id_col).alias("doc_id"), F.array_remove(F.split(lower_latin(F.coalesce(F.col(text_col), F.lit(""))), NOT_WORD), "").alias("words"))
     grams = words.withColumn(
         "all_grams",  # the first is a mark that keeps the document
         F.expr(f"concat(array(0L), if(size(words) < {GRAM}, array(), transform(sequence(0, size(words) - {GRAM}), i -> xxhash64(words[i], words[i + 1], words[i + 2]))))"),
