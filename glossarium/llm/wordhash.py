@@ -62,12 +62,22 @@ class Words:
         length = (self.end - self.start).astype(np.uint64)
         self.hash = mix((sums[self.end] - sums[self.start]) * _power("inverse", len(raw))[self.start] + length * np.uint64(0xD6E8FEB86659FD93))
 
+    def packed(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The words with one space between any two, and each word's start and end in that."""
+        raw = np.frombuffer(self.data, dtype=np.uint8)
+        keep = ~_SPACE[raw]
+        keep[self.end] = True
+        out = raw[keep]
+        out[_SPACE[out]] = 0x20
+        place = np.cumsum(keep)
+        return out.tobytes(), place[self.start] - 1, place[self.end - 1]
+
 
-def chunks(ids: list, texts: list[str | None], fold: bool) -> Iterator[tuple[list, Words]]:
+def chunks(ids: list, texts: list[str | bytes | None], fold: bool) -> Iterator[tuple[list, Words]]:
     """Groups of about CHUNK bytes."""
     at, size, own = 0, 0, []
     for k, t in enumerate(texts):
-        b = t.encode("utf-8", "surrogatepass") if t else b""
+        b = t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") if t else b""
         if own and size + len(b) > CHUNK:
             yield ids[at:k], Words(own, fold)
             at, size, own = k, 0, []
@@ -89,6 +99,15 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
+def long_windows(words: Words, k: int) -> np.ndarray:
+    """As windows() with other values, by prefix sums: the cost does not follow k."""
+    h = words.hash
+    n = max(len(h) - k + 1, 0)
+    sums = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * _power("base", len(h))[: len(h)], out=sums[1:])
+    return mix((sums[k : k + n] - sums[:n]) * _power("inverse", n)[:n])
+
+
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct k-word shingles of each text, one after another, and where each text's begin (one more at the end).
 
