@@ -57,6 +57,6 @@ def train_row(doc_id: Column) -> Column:
 
 def salted_lookup(rows: DataFrame, key: str, values: DataFrame, salts: int = 32) -> DataFrame:
     """Left join rows to values (unique by key); a key that many rows hold is dealt over `salts` tasks."""
-    left = rows.withColumn("_salt", (F.rand(7) * salts).cast("int"))
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     right = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "_salt"], "left").drop("_salt")
