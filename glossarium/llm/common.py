@@ -60,3 +60,42 @@ def salted_lookup(rows: DataFrame, key: str, values: DataFrame, salts: int = 32)
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     right = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "_salt"], "left").drop("_salt")
+
+
+def held_out(doc_id: Column) -> Column:
+    """The other rows: never learnt from.  A null id is one of them."""
+    return F.coalesce(~train_row(doc_id), F.lit(True))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, label) of at most per_class training rows of either class, the smallest by a hash of the id.
+
+    Only labels 0 and 1 of rows that train_row() allows count; an id with several labels counts once, with the larger one.
+    The ids that are broadcast are at most 2 * per_class.
+    """
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(train_row(F.col("doc_id")) & F.col("label").isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("_order", F.xxhash64(F.col("doc_id"), F.lit(11)))
+    picked = [known.filter(F.col("label") == v).orderBy("_order", "doc_id").limit(per_class) for v in (0, 1)]
+    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return text.join(F.broadcast(picked[0].unionByName(picked[1]).drop("_order")), "doc_id").select("doc_id", "text", "label")
+
+
+def logistic_curve(x, y, steps: int = 50) -> tuple[float, float]:
+    """(a, b) of 1 / (1 + exp(-(a x + b))) for labels y by Newton's method, with Platt's smoothed targets."""
+    import numpy as np
+
+    x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
+    yes, no = y.sum(), (1 - y).sum()
+    if not yes or not no:
+        return 0.0, float(np.log((yes + 1) / (no + 1)))
+    t = np.where(y > 0, (yes + 1) / (yes + 2), 1 / (no + 2))
+    scale, shift = max(x.std(), 1e-9), x.mean()
+    z, a, b = (x - shift) / scale, 0.0, float(np.log((yes + 1) / (no + 1)))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
+        h = np.maximum(p * (1 - p), 1e-9)
+        g = np.array([((p - t) * z).sum() + 1e-3 * a, (p - t).sum()])
+        m = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-9]])
+        step = np.linalg.solve(m, g)
+        a, b = a - float(np.clip(step[0], -4, 4)), b - float(np.clip(step[1], -4, 4))
+    return a / scale, b - a * shift / scale

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, license_scan, substring_dedup
+from . import jaccard_join, license_scan, substring_dedup, toxicity
 from .common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_jaccard_join, op4_super_kmers, op10_license_diagonals)}
+    return {f.__name__: f for f in (op2_toxicity, op3_jaccard_join, op4_super_kmers, op10_license_diagonals)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -39,6 +39,8 @@ def _power(name: str, n: int) -> np.ndarray:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_NOT_LETTER = np.ones(256, dtype=bool)
+_NOT_LETTER[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 _EXACT = mix(np.arange(1, 257, dtype=np.uint64) * _BASE) | np.uint64(1)
 _FOLDED = _EXACT.copy()
 _FOLDED[ord("A") : ord("Z") + 1] = _EXACT[ord("a") : ord("z") + 1]
@@ -47,21 +49,27 @@ _FOLDED[ord("A") : ord("Z") + 1] = _EXACT[ord("a") : ord("z") + 1]
 class Words:
     """The words of some texts: `data` bytes, `start` and `end` of each word in them, `hash`, and `first`, each text's first word (one more at the end)."""
 
-    def __init__(self, texts: list[bytes], fold: bool) -> None:
+    def __init__(self, texts: list[bytes], fold: bool, letters: bool = False) -> None:
         self.data = b" ".join(texts) + b" "
         raw = np.frombuffer(self.data, dtype=np.uint8)
-        space = _SPACE[raw]
+        space = (_NOT_LETTER if letters else _SPACE)[raw]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(raw) and not space[0]:
             edge = np.concatenate([[0], edge])
         self.start, self.end = edge[0::2], edge[1::2]
         offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.first = np.searchsorted(self.start, offsets)
-        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        self.sums = sums = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum((_FOLDED if fold else _EXACT)[raw] * _power("base", len(raw))[: len(raw)], out=sums[1:])
         length = (self.end - self.start).astype(np.uint64)
         self.hash = mix((sums[self.end] - sums[self.start]) * _power("inverse", len(raw))[self.start] + length * np.uint64(0xD6E8FEB86659FD93))
 
+    def prefixes(self, n: int) -> np.ndarray:
+        """Hash of the first n bytes of each word (of all of it where it is no longer)."""
+        length = np.minimum(self.end - self.start, n)
+        inverse = _power("inverse", len(self.data))
+        return mix((self.sums[self.start + length] - self.sums[self.start]) * inverse[self.start] + np.uint64(n))
+
     def packed(self) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The words with one space between any two, and each word's start and end in that."""
         raw = np.frombuffer(self.data, dtype=np.uint8)
@@ -73,18 +81,18 @@ class Words:
         return out.tobytes(), place[self.start] - 1, place[self.end - 1]
 
 
-def chunks(ids: list, texts: list[str | bytes | None], fold: bool) -> Iterator[tuple[list, Words]]:
-    """Groups of about CHUNK bytes."""
+def chunks(ids: list, texts: list[str | bytes | None], fold: bool, letters: bool = False) -> Iterator[tuple[list, Words]]:
+    """Groups of about CHUNK bytes.  letters: words are runs of ASCII letters and digits and bytes beyond ASCII."""
     at, size, own = 0, 0, []
     for k, t in enumerate(texts):
         b = t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") if t else b""
         if own and size + len(b) > CHUNK:
-            yield ids[at:k], Words(own, fold)
+            yield ids[at:k], Words(own, fold, letters)
             at, size, own = k, 0, []
         own.append(b)
         size += len(b) + 1
     if own:
-        yield ids[at:], Words(own, fold)
+        yield ids[at:], Words(own, fold, letters)
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
