@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .wordhash import Words, chunks, long_windows, mix, windows
 
 #: Bytes of packed strings that a task gathers before it sends them, and that a bucket should hold.
-GATHER, BUCKET = 48 << 20, 24 << 20
+GATHER, BUCKET = 24 << 20, 16 << 20
 _OUT = ["bucket", "strings", "doc", "version", "lo", "hi"]
 _OUT_TYPE = "bucket int, strings binary, doc long, version long, lo int, hi int"
 
