@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, license_scan, packing, substring_dedup, toxicity
+from . import jaccard_join, license_scan, packing, quality, substring_dedup, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op4_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -37,7 +41,7 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_jaccard_join, op4_super_kmers, op9_packing, op10_license_diagonals)}
+    return {f.__name__: f for f in (op2_toxicity, op3_jaccard_join, op4_super_kmers, op8_compression_quality, op9_packing, op10_license_diagonals)}
 
 
 def oracle_sql() -> dict[str, str]:
