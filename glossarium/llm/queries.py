@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, license_scan, packing, quality, substring_dedup, toxicity, warc
+from . import fingerprint, jaccard_join, license_scan, packing, quality, substring_dedup, toxicity, warc
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +49,7 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_jaccard_join, op4_super_kmers, op5_warc_index, op8_compression_quality, op9_packing, op10_license_diagonals)}
+    return {f.__name__: f for f in (op2_toxicity, op3_jaccard_join, op4_super_kmers, op5_warc_index, op6_minhash_fingerprints, op8_compression_quality, op9_packing, op10_license_diagonals)}
 
 
 def oracle_sql() -> dict[str, str]:
