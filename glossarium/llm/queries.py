@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard_join, license_scan, packing, quality, substring_dedup, toxicity, warc
+from . import decontaminate, fingerprint, jaccard_join, license_scan, packing, quality, substring_dedup, toxicity, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_jaccard_join, op4_super_kmers, op5_warc_index, op6_minhash_fingerprints, op8_compression_quality, op9_packing, op10_license_diagonals)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_jaccard_join, op4_super_kmers, op5_warc_index, op6_minhash_fingerprints, op8_compression_quality, op9_packing, op10_license_diagonals)}
 
 
 def oracle_sql() -> dict[str, str]:
