@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard_join, license_scan, packing, quality, substring_dedup, toxicity, warc
+from . import decontaminate, fingerprint, jaccard_join, license_scan, packing, quality, secrets, substring_dedup, toxicity, warc
 from .common import table
 
 
@@ -40,6 +41,11 @@ def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word_at", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +59,7 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_jaccard_join, op4_super_kmers, op5_warc_index, op6_minhash_fingerprints, op8_compression_quality, op9_packing, op10_license_diagonals)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_jaccard_join, op4_super_kmers, op5_warc_index, op6_minhash_fingerprints, op7_secret_forest, op8_compression_quality, op9_packing, op10_license_diagonals)}
 
 
 def oracle_sql() -> dict[str, str]:
