@@ -10,13 +10,14 @@ a partition is cut into powers of two, which take no padding.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,36 +25,73 @@ from pyspark.sql import functions as F
 LENGTH = 2048
 #: Cost, in padded tokens, of a cut at a sentence end and inside a sentence; distance of the cuts inside one.
 AT_SENTENCE, INSIDE, STEP = 4, 12, 64
-#: Tokens that are solved together, and words that a task remembers.
-SEGMENT, REMEMBERED = 1 << 19, 400_000
-#: Fixed value: the tokenizer's own way to cut text into words.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Tokens that are solved together, words that a task remembers, and new words that are encoded as one text.
+SEGMENT, REMEMBERED, TOGETHER = 1 << 19, 600_000, 50
+#: The letters and numbers among PLAIN, and the tokenizer's own way to cut text into words, for those.
+LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+"
 #: In these characters, one by one, lower() and the word pattern agree between libraries, and nothing composes.
-PLAIN = r"[\t\n\r\x20-\x7e\xa1-įı-ɏ]*"
+PLAIN = r"[\t\n\r\x20-\x7e\xa1-įı-ſ]*"
 _FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [f.split()[0] for f in _FIELDS.split(", ")]
 
 
+class _Codes(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
+class _Rows:
+    """Rows of token ids one after another, in arrays that double when they are full."""
+
+    def __init__(self) -> None:
+        self.flat, self.size, self.at, self.rows = np.zeros(1 << 16, np.uint32), 0, np.zeros(1 << 16, np.int64), 0
+
+    def add(self, values: np.ndarray, ends: np.ndarray) -> None:
+        """Rows that end before these places of values."""
+        while self.size + len(values) > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        while self.rows + len(ends) >= len(self.at):
+            self.at = np.concatenate([self.at, self.at])
+        self.flat[self.size : self.size + len(values)] = values
+        self.at[self.rows + 1 : self.rows + len(ends) + 1] = self.size + ends
+        self.size, self.rows = self.size + len(values), self.rows + len(ends)
+
+
 class WordEncoder:
     """Token ids of texts.  Words of plain texts are encoded once each and remembered; other texts go through the tokenizer whole."""
 
     def __init__(self, definition: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.find, self.plain = regex.compile(WORDS).findall, regex.compile(PLAIN).fullmatch
-        self.clear()
-
-    def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.find, self.plain = re.compile(WORDS).findall, re.compile(PLAIN).fullmatch
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.codes, self.rows = _Codes(), _Rows()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words that were not met before, TOGETHER at a time; their last tokens tell them apart."""
+        lines = [" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not mark the ends of words")
+        self.rows.add(ids, ends)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
-        if len(self.code) > REMEMBERED:
-            self.clear()
-        code, words, whole = self.code, [], {}
+        if len(self.codes) > REMEMBERED:
+            self.codes, self.rows = _Codes(), _Rows()
+        words, whole = [], {}
         counts = np.zeros(len(texts), dtype=np.int64)
         for k, t in enumerate(texts):
             if self.plain(t) and "<|" not in t:
@@ -62,17 +100,14 @@ class WordEncoder:
                 words += own
             elif t:
                 whole[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
-        new = list(dict.fromkeys(w for w in words if w not in code))
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                code[w] = len(self.ids)
-                self.ids.append(e.ids)
-            self.flat = np.array([i for e in self.ids for i in e], dtype=np.uint32)
-            self.at = np.concatenate([[0], np.cumsum([len(e) for e in self.ids])])
-        word = np.fromiter(map(code.__getitem__, words), dtype=np.int64, count=len(words))
-        size = np.diff(self.at)[word]
+        word = np.fromiter(map(self.codes.__getitem__, words), dtype=np.int64, count=len(words))
+        if self.codes.new:
+            self._learn(self.codes.new)
+            self.codes.new = []
+        at = self.rows.at[word]
+        size = self.rows.at[word + 1] - at
         ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.at[word] - ends[:-1], size) + np.arange(ends[-1])]
+        ids = self.rows.flat[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])]
         bound = ends[np.concatenate([[0], np.cumsum(counts)])]
         total = np.diff(bound)
         if whole:
