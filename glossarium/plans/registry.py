@@ -1,9 +1,346 @@
-"""Query name -> callable, and the SQL that states the same result."""
+"""The registered queries of the corpus operators, over tokens derived from `documents`, and the SQL that states each result.
 
+Every query runs over whole tables and whole texts.  Doubles are rounded to nine places on both sides.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.scalar import cosine, relative
+from ..operators import annotate, cooc, evaluate, pairs, patterns, truth, vectors
+from ..sources import conllu
+
+KEYS = ("doc_id", "sid")
+#: A rule stands in for the classifier where SQL has to follow: YES if pmi is over this.
+PMI = 5.0
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def _ann(spark, sf_dir):
+    return annotate.annotate(_documents(spark, sf_dir))
+
+
+def _arcs(spark, sf_dir):
+    return pairs.arcs(_ann(spark, sf_dir), *KEYS)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+def tokens(spark, sf_dir):
+    return _ann(spark, sf_dir)
+
+
+def sentence_stats(spark, sf_dir):
+    return annotate.tokenize(_documents(spark, sf_dir)).groupBy("doc_id").agg(F.count_distinct("sid").alias("sentences"), F.count("*").alias("tokens"), F.max("id").alias("longest"))
+
+
+def reject_sentences(spark, sf_dir):
+    """Sentences kept by the rule that a noun or verb beginning with one of three letters rejects its sentence."""
+    t = annotate.tokenize(_documents(spark, sf_dir))
+    odd = F.col("upos").isin("NOUN", "VERB") & F.substring("lemma", 1, 1).isin("é", "ä", "ñ")
+    return t.groupBy(*KEYS).agg(F.max(odd).alias("odd"), F.count("*").alias("n")).filter("not odd").select(*KEYS, "n")
+
+
+def conllu_roundtrip(spark, sf_dir):
+    """Derived tokens rendered to CoNLL-U lines and parsed again; the parser sees a document as a file."""
+    t = _ann(spark, sf_dir).withColumn("ord", F.col("id"))
+    blocks = conllu.render(t, *KEYS)
+    lines = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sid", "block"))).alias("b"))
+    lines = lines.select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split(F.array_join("b.block", ""), "\n")).alias("line_no", "value"))
+    return conllu.parse_tokens(lines).select(F.col("file").cast("long").alias("doc_id"), F.col("sid").cast("long").alias("sentence"), F.col("id").cast("long").alias("id"), "lemma", "upos", F.col("head").cast("long").alias("head"), "deprel")
+
+
+def arcs(spark, sf_dir):
+    return _arcs(spark, sf_dir)
+
+
+def candidates(spark, sf_dir):
+    return pairs.candidates(_arcs(spark, sf_dir))
+
+
+def pair_distance(spark, sf_dir):
+    return _rounded(pairs.distances(_arcs(spark, sf_dir)))
+
+
+def deprel_freq(spark, sf_dir):
+    return _rounded(pairs.relations(_arcs(spark, sf_dir)))
+
+
+def marginals_noun(spark, sf_dir):
+    return _rounded(pairs.marginals(pairs.candidates(_arcs(spark, sf_dir)), "noun"))
+
+
+def marginals_verb(spark, sf_dir):
+    return _rounded(pairs.marginals(pairs.candidates(_arcs(spark, sf_dir)), "verb"))
+
+
+def association(spark, sf_dir):
+    return _rounded(pairs.association(_arcs(spark, sf_dir)))
+
+
+def _between(spark, sf_dir):
+    ann = _ann(spark, sf_dir)
+    return patterns.between(ann, pairs.arcs(ann, *KEYS), *KEYS)
+
+
+def pair_patterns(spark, sf_dir):
+    return _between(spark, sf_dir)
+
+
+def patterns_top20(spark, sf_dir):
+    return patterns.most_frequent(_between(spark, sf_dir))
+
+
+def pattern_freq(spark, sf_dir):
+    return _rounded(patterns.frequencies(_between(spark, sf_dir)))
+
+
+def feature_matrix(spark, sf_dir):
+    found = _between(spark, sf_dir)
+    top = [r["pattern"] for r in patterns.most_frequent(found).collect()]  # twenty
+    return _rounded(patterns.matrix(pairs.association(_arcs(spark, sf_dir)), patterns.frequencies(found), top))
+
+
+def _cooc(spark, sf_dir):
+    return cooc.counts(annotate.tokenize(_documents(spark, sf_dir)), *KEYS)
+
+
+def cooc_counts(spark, sf_dir):
+    return _cooc(spark, sf_dir)
+
+
+def cooc_rowsum(spark, sf_dir):
+    return cooc.row_sums(_cooc(spark, sf_dir))
+
+
+def cooc_norm(spark, sf_dir):
+    return _rounded(cooc.normalised(_cooc(spark, sf_dir)))
+
+
+def expr_cooc(spark, sf_dir):
+    return cooc.expression_counts(_ann(spark, sf_dir), *KEYS)
+
+
+def expr_weights(spark, sf_dir):
+    return _rounded(cooc.expression_weights(cooc.expression_counts(_ann(spark, sf_dir), *KEYS), cooc.row_sums(_cooc(spark, sf_dir))))
+
+
+def _truth(spark, sf_dir):
+    ann = _ann(spark, sf_dir)
+    return truth.constructions(annotate.with_mwe(ann, pairs.arcs(ann, *KEYS)).withColumn("ord", F.col("id")), *KEYS)
+
+
+def lvc_truth(spark, sf_dir):
+    return _truth(spark, sf_dir)
+
+
+def label_join(spark, sf_dir):
+    return truth.label(pairs.candidates(_arcs(spark, sf_dir)), _truth(spark, sf_dir)).select("noun", "verb", "n", "is_lvc")
+
+
+def _halves(spark, sf_dir):
+    """Candidates of a training and of a test half, by the parity of doc_id."""
+    a = _arcs(spark, sf_dir)
+    return pairs.candidates(a.filter("doc_id % 2 = 0")), pairs.candidates(a.filter("doc_id % 2 = 1"))
+
+
+def semi_candidates(spark, sf_dir):
+    _, test = _halves(spark, sf_dir)
+    return _rounded(truth.restricted(pairs.association(_arcs(spark, sf_dir)).select("noun", "verb", "p", "pmi"), test))
+
+
+def anti_train(spark, sf_dir):
+    train, test = _halves(spark, sf_dir)
+    return truth.unseen(test, train)
+
+
+def outer_labels(spark, sf_dir):
+    train, test = _halves(spark, sf_dir)
+    said = truth.label(train.select("noun", "verb"), _truth(spark, sf_dir))
+    return truth.both_labels(said, truth.label(test.select("noun", "verb"), _truth(spark, sf_dir)))
+
+
+def _scored(spark, sf_dir):
+    rows = truth.label(pairs.association(_arcs(spark, sf_dir)).select("noun", "verb", F.round("pmi", 9).alias("score")), _truth(spark, sf_dir))
+    return rows.withColumn("prediction", F.when(F.col("score") > PMI, "YES").otherwise("NO"))
+
+
+def confusion(spark, sf_dir):
+    return evaluate.confusion(_scored(spark, sf_dir))
+
+
+def prf_kappa(spark, sf_dir):
+    return _rounded(evaluate.measures(_scored(spark, sf_dir), _truth(spark, sf_dir).agg(F.count("*").alias("nb_tot"))))
+
+
+def pr_curve(spark, sf_dir):
+    return _rounded(evaluate.curve(_scored(spark, sf_dir)))
+
+
+def _embeddings(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+
+
+def vec_l1(spark, sf_dir):
+    return _rounded(vectors.norms(_embeddings(spark, sf_dir), "vec_id", "embedding"))
+
+
+def centroid(spark, sf_dir):
+    c = vectors.centroid(_embeddings(spark, sf_dir), "embedding", "label").select("label", F.posexplode("centroid").alias("dim", "mean"))
+    return _rounded(c.withColumn("dim", F.col("dim").cast("long")))
+
+
+def cosine_centroid(spark, sf_dir):
+    e = _embeddings(spark, sf_dir)
+    c = F.broadcast(vectors.centroid(e, "embedding", "label"))  # a row for each of the few labels
+    return _rounded(e.join(c, "label").select("vec_id", cosine(F.col("embedding").cast("array<double>"), F.col("centroid")).alias("cosine")))
+
+
+def dist_relative(spark, sf_dir):
+    e = _embeddings(spark, sf_dir)
+    c = vectors.centroid(e, "embedding", "label")
+    one = lambda k: F.broadcast(c.filter(F.col("label") == k).select(F.col("centroid").alias(f"c{k}")))  # noqa: E731  one row
+    v = F.col("embedding").cast("array<double>")
+    near = e.crossJoin(one(0)).crossJoin(one(1)).select("vec_id", *(F.round(cosine(v, F.col(f"c{k}")), 9).alias(f"d{k}") for k in (0, 1)))
+    return near.select("vec_id", F.round(relative(F.col("d0"), F.col("d1")), 6).alias("dist_relative"))
+
+
+def svd_words(spark, sf_dir):
+    """Vectors of the lemmas that occur forty times or more, in four dimensions."""
+    t = annotate.tokenize(_documents(spark, sf_dir))
+    common = t.groupBy("lemma").count().filter("count >= 40").select("lemma")
+    space = vectors.LatentSpace(cooc.counts(t.join(common, "lemma", "left_semi"), *KEYS), 4)
+    return _rounded(space.word_vectors.select("word", F.posexplode("vec").alias("dim", "value")))
+
+
+def gbt_predict(spark, sf_dir):
+    """Predictions of boosted trees trained on the labelled candidates."""
+    from ..operators.model import PairClassifier
+
+    rows = truth.label(pairs.association(_arcs(spark, sf_dir)), _truth(spark, sf_dir)).persist()
+    return _rounded(PairClassifier(pairs.MEASURES, iterations=5).fit(rows).predict(rows))
+
+
+_QUERIES = (
+    tokens, sentence_stats, reject_sentences, conllu_roundtrip, arcs, candidates, pair_distance, deprel_freq, marginals_noun, marginals_verb, association, pair_patterns, patterns_top20, pattern_freq,
+    feature_matrix, cooc_counts, cooc_rowsum, cooc_norm, expr_cooc, expr_weights, lvc_truth, label_join, semi_candidates, anti_train, outer_labels, confusion, prf_kappa, pr_curve, vec_l1, centroid, cosine_centroid, dist_relative, svd_words, gbt_predict,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _QUERIES}
+
+
+_CTE = {
+    "tok": r"""tok AS MATERIALIZED (SELECT doc_id, sid, generate_subscripts(t, 1)::BIGINT AS id, unnest(t) AS lemma FROM (
+        SELECT doc_id, sid, regexp_extract_all(lower(s), '\p{L}+') AS t FROM (SELECT doc_id, (generate_subscripts(a, 1) - 1)::BIGINT AS sid, unnest(a) AS s FROM (SELECT doc_id, string_split_regex(text, '[.\n]+') AS a FROM documents))))""",
+    "pos": """pos AS MATERIALIZED (SELECT *, CASE WHEN length(lemma) <= 2 THEN 'DET' WHEN length(lemma) = 3 THEN 'ADP' WHEN length(lemma) % 3 = 1 THEN 'NOUN' WHEN length(lemma) % 3 = 2 THEN 'VERB' ELSE 'ADJ' END AS upos FROM tok)""",
+    "ann": """ann AS MATERIALIZED (SELECT doc_id, sid, id, lemma, upos, CASE WHEN upos = 'NOUN' THEN coalesce(l, r, 0) ELSE 0 END AS head,
+        CASE WHEN upos <> 'NOUN' THEN 'dep' WHEN l IS NULL THEN 'nsubj' WHEN id - l <= 2 THEN 'obj' WHEN id - l <= 5 THEN 'obl' ELSE 'nmod' END AS deprel FROM (
+        SELECT *, max(CASE WHEN upos = 'VERB' THEN id END) OVER (PARTITION BY doc_id, sid ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
+        min(CASE WHEN upos = 'VERB' THEN id END) OVER (PARTITION BY doc_id, sid ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM pos))""",
+    "arc": """arc AS MATERIALIZED (SELECT n.doc_id, n.sid, n.lemma AS noun, v.lemma AS verb, n.id AS noun_id, v.id AS verb_id, n.deprel FROM ann n JOIN ann v ON n.doc_id = v.doc_id AND n.sid = v.sid AND n.head = v.id WHERE n.upos = 'NOUN' AND v.upos = 'VERB')""",
+    "cand": """cand AS MATERIALIZED (SELECT noun, verb, count(*) AS n, sum(abs(noun_id - verb_id))::DOUBLE AS gaps, (count(*) FILTER (deprel = 'obl'))::DOUBLE AS obl, (count(*) FILTER (deprel = 'nsubj'))::DOUBLE AS subj, (count(*) FILTER (deprel = 'obj'))::DOUBLE AS obj FROM arc GROUP BY ALL)""",
+    "prob": """prob AS (SELECT *, n / (sum(n) OVER ())::DOUBLE AS p, (sum(n) OVER (PARTITION BY noun))::DOUBLE / (sum(n) OVER ()) AS p_n, (sum(n) OVER (PARTITION BY verb))::DOUBLE / (sum(n) OVER ()) AS p_v FROM cand)""",
+    "assoc": """assoc AS MATERIALIZED (SELECT noun, verb, p, p_n, p_v, gaps / n AS dist, obl / n AS p_obl, subj / n AS p_subj, obj / n AS p_obj, 1 - (obj / n + obl / n + subj / n) AS p_other, p / p_v AS p_n_given_v, p / p_n AS p_v_given_n,
+        p_n * (1 - p_n) AS v_n, p_v * (1 - p_v) AS v_v, p - p_n * p_v AS v, coalesce((p - p_n * p_v) / nullif(sqrt(p_n * (1 - p_n)) * sqrt(p_v * (1 - p_v)), 0), 0) AS corr, ln(p / p_v / p_n) AS pmi FROM prob)""",
+    "pat": """pat AS MATERIALIZED (SELECT a.doc_id, a.sid, a.noun, a.verb, a.noun_id, coalesce(string_agg(t.upos, '|' ORDER BY t.id), '') AS pattern FROM arc a
+        LEFT JOIN pos t ON t.doc_id = a.doc_id AND t.sid = a.sid AND t.id > least(a.noun_id, a.verb_id) AND t.id < greatest(a.noun_id, a.verb_id) GROUP BY ALL)""",
+    "top": """top AS MATERIALIZED (SELECT pattern, count(*) AS cnt FROM pat GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)""",
+    "freq": """freq AS MATERIALIZED (SELECT noun, verb, pattern, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY noun, verb) AS freq FROM pat WHERE pattern IN (SELECT pattern FROM top) GROUP BY 1, 2, 3)""",
+    "bag": """bag AS MATERIALIZED (SELECT doc_id, sid, lemma, count(*) AS m FROM tok GROUP BY ALL)""",
+    "cooc": """cooc AS MATERIALIZED (SELECT a.lemma AS w1, b.lemma AS w2, sum(CASE WHEN a.lemma = b.lemma THEN a.m * (a.m - 1) ELSE a.m * b.m END)::BIGINT AS c FROM bag a JOIN bag b ON a.doc_id = b.doc_id AND a.sid = b.sid WHERE a.lemma <> b.lemma OR a.m > 1 GROUP BY ALL)""",
+    "rs": """rs AS MATERIALIZED (SELECT w1 AS word, sum(c)::BIGINT AS row_sum FROM cooc GROUP BY 1)""",
+    "ex": """ex AS (SELECT n.doc_id, n.sid, n.noun, v.verb FROM (SELECT doc_id, sid, lemma AS noun, arg_max(head, id) AS at FROM ann WHERE upos = 'NOUN' GROUP BY ALL) n
+        JOIN (SELECT doc_id, sid, lemma AS verb, max(id) AS at FROM ann WHERE upos = 'VERB' GROUP BY ALL) v ON n.doc_id = v.doc_id AND n.sid = v.sid AND n.at = v.at)""",
+    "exc": """exc AS MATERIALIZED (SELECT noun, verb, lemma AS word, sum(m)::BIGINT AS c FROM ex JOIN bag ON ex.doc_id = bag.doc_id AND ex.sid = bag.sid WHERE lemma <> noun AND lemma <> verb GROUP BY ALL)""",
+    "lvc": """lvc AS MATERIALIZED (SELECT DISTINCT noun, verb FROM arc WHERE noun_id - verb_id = 1)""",
+    "half": """half AS (SELECT doc_id % 2 AS h, noun, verb, count(*) AS n FROM arc GROUP BY ALL)""",
+    "scored": f"""scored AS MATERIALIZED (SELECT a.noun, a.verb, round(pmi, 9) AS score, CASE WHEN round(pmi, 9) > {PMI} THEN 'YES' ELSE 'NO' END AS prediction, CASE WHEN l.noun IS NULL THEN 'NO' ELSE 'YES' END AS is_lvc FROM assoc a LEFT JOIN lvc l ON a.noun = l.noun AND a.verb = l.verb)""",
+    "emb": """emb AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)""",
+    "cen": """cen AS MATERIALIZED (SELECT label, i, avg(x) AS m FROM emb GROUP BY 1, 2)""",
+}
+_NEEDS = {
+    "pos": ["tok"], "ann": ["pos"], "arc": ["ann"], "cand": ["arc"], "prob": ["cand"], "assoc": ["prob"], "pat": ["arc"], "top": ["pat"], "freq": ["top"], "bag": ["tok"], "cooc": ["bag"], "rs": ["cooc"],
+    "ex": ["ann"], "exc": ["ex", "bag"], "lvc": ["arc"], "half": ["arc"], "scored": ["assoc", "lvc"], "cen": ["emb"],
+}
+
+
+def _sql(last: str, *ctes: str) -> str:
+    order: list[str] = []
+
+    def need(name: str) -> None:
+        for x in _NEEDS.get(name, []):
+            need(x)
+        if name not in order:
+            order.append(name)
+
+    for c in ctes:
+        need(c)
+    return "WITH " + ",\n".join(_CTE[c] for c in order) + "\n" + last
+
+
+def _round(*names: str) -> str:
+    return ", ".join(f"round({n}, 9) AS {n}" for n in names)
+
+
+_TP = "count(*) FILTER (prediction = 'YES' AND is_lvc = 'YES')::DOUBLE AS tp, count(*) FILTER (prediction = 'YES' AND is_lvc = 'NO')::DOUBLE AS fp, count(*) FILTER (prediction = 'NO' AND is_lvc = 'YES')::DOUBLE AS fn, count(*) FILTER (prediction = 'NO' AND is_lvc = 'NO')::DOUBLE AS tn"
+
+
+def oracle_sql() -> dict[str, str]:
+    wide = ", ".join(f"coalesce(max(CASE WHEN k = {k} THEN freq END), 0) AS pattern_{k}" for k in range(1, 21))
+    cos = "coalesce(sum(x * m) / nullif(sqrt(sum(x * x)) * sqrt(sum(m * m)), 0), 0)"
+    return {
+        "tokens": _sql("SELECT * FROM ann", "ann"),
+        "sentence_stats": _sql("SELECT doc_id, count(DISTINCT sid) AS sentences, count(*) AS tokens, max(id) AS longest FROM tok GROUP BY 1", "tok"),
+        "reject_sentences": _sql("SELECT doc_id, sid, count(*) AS n FROM pos GROUP BY 1, 2 HAVING NOT bool_or(upos IN ('NOUN', 'VERB') AND lemma[1] IN ('é', 'ä', 'ñ'))", "pos"),
+        "conllu_roundtrip": _sql("SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY sid) AS sentence, id, lemma, upos, head, deprel FROM ann", "ann"),
+        "arcs": _sql("SELECT * FROM arc", "arc"),
+        "candidates": _sql("SELECT noun, verb, n FROM cand", "cand"),
+        "pair_distance": _sql("SELECT noun, verb, round(gaps / n, 9) AS dist FROM cand", "cand"),
+        "deprel_freq": _sql("SELECT noun, verb, round(obj / n, 9) AS p_obj, round(obl / n, 9) AS p_obl, round(subj / n, 9) AS p_subj, round(1 - (obj / n + obl / n + subj / n), 9) AS p_other FROM cand", "cand"),
+        "marginals_noun": _sql("SELECT DISTINCT noun, round(p_n, 9) AS p_n FROM prob", "prob"),
+        "marginals_verb": _sql("SELECT DISTINCT verb, round(p_v, 9) AS p_v FROM prob", "prob"),
+        "association": _sql(f"SELECT noun, verb, {_round(*pairs.MEASURES)} FROM assoc", "assoc"),
+        "pair_patterns": _sql("SELECT * FROM pat", "pat"),
+        "patterns_top20": _sql("SELECT * FROM top", "top"),
+        "pattern_freq": _sql("SELECT noun, verb, pattern, round(freq, 9) AS freq FROM freq", "freq"),
+        "feature_matrix": _sql(
+            f", wide AS (SELECT noun, verb, {wide} FROM freq JOIN (SELECT pattern, row_number() OVER (ORDER BY cnt DESC, pattern) AS k FROM top) t USING (pattern) GROUP BY 1, 2) SELECT a.noun, a.verb, {_round(*pairs.MEASURES)}, " + ", ".join(f"round(coalesce(pattern_{k}, 0), 9) AS pattern_{k}" for k in range(1, 21)) + " FROM assoc a LEFT JOIN wide w ON a.noun = w.noun AND a.verb = w.verb",
+            "assoc", "freq",
+        ),
+        "cooc_counts": _sql("SELECT * FROM cooc", "cooc"),
+        "cooc_rowsum": _sql("SELECT * FROM rs", "rs"),
+        "cooc_norm": _sql("SELECT w1, w2, round(c / row_sum, 9) AS v FROM cooc JOIN rs ON w2 = word", "rs"),
+        "expr_cooc": _sql("SELECT * FROM exc", "exc"),
+        "expr_weights": _sql("SELECT noun, verb, exc.word, round(coalesce(c / nullif(row_sum, 0), 0), 9) AS v FROM exc LEFT JOIN rs ON exc.word = rs.word", "exc", "rs"),
+        "lvc_truth": _sql("SELECT * FROM lvc", "lvc"),
+        "label_join": _sql("SELECT c.noun, c.verb, n, CASE WHEN l.noun IS NULL THEN 'NO' ELSE 'YES' END AS is_lvc FROM cand c LEFT JOIN lvc l ON c.noun = l.noun AND c.verb = l.verb", "cand", "lvc"),
+        "semi_candidates": _sql("SELECT noun, verb, round(p, 9) AS p, round(pmi, 9) AS pmi FROM assoc a WHERE EXISTS (SELECT 1 FROM half h WHERE h = 1 AND h.noun = a.noun AND h.verb = a.verb)", "assoc", "half"),
+        "anti_train": _sql("SELECT noun, verb, n FROM half a WHERE h = 1 AND NOT EXISTS (SELECT 1 FROM half b WHERE b.h = 0 AND b.noun = a.noun AND b.verb = a.verb)", "half"),
+        "outer_labels": _sql("SELECT coalesce(a.noun, b.noun) AS noun, coalesce(a.verb, b.verb) AS verb, CASE WHEN a.noun IS NULL THEN '~' WHEN l.noun IS NULL THEN 'NO' ELSE 'YES' END AS prediction, CASE WHEN b.noun IS NULL THEN '~' WHEN l.noun IS NULL THEN 'NO' ELSE 'YES' END AS is_lvc FROM (SELECT * FROM half WHERE h = 0) a FULL JOIN (SELECT * FROM half WHERE h = 1) b ON a.noun = b.noun AND a.verb = b.verb LEFT JOIN lvc l ON l.noun = coalesce(a.noun, b.noun) AND l.verb = coalesce(a.verb, b.verb)", "half", "lvc"),
+        "confusion": _sql("SELECT prediction, is_lvc, count(*) AS n FROM scored GROUP BY 1, 2", "scored"),
+        "prf_kappa": _sql(
+            f", c AS (SELECT {_TP}, (SELECT count(*) FROM lvc)::DOUBLE AS tot FROM scored), d AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, tp + fp + fn + tn AS n FROM c), e AS (SELECT *, coalesce(recall * (tp + fn) / nullif(tot, 0), 0) AS true_recall, (tp + tn) / n AS po, ((tp + fp) * (tp + fn) + (tn + fp) * (tn + fn)) / (n * n) AS pe FROM d) "
+            "SELECT round(precision, 9) AS precision, round(recall, 9) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 9) AS f1, round(coalesce((po - pe) / nullif(1 - pe, 0), 0), 9) AS kappa, round(true_recall, 9) AS true_recall, round(coalesce(2 * precision * true_recall / nullif(precision + true_recall, 0), 0), 9) AS true_f1 FROM e",
+            "scored",
+        ),
+        "pr_curve": _sql(
+            ", pt AS (SELECT score, count(*) FILTER (is_lvc = 'YES') AS tp, count(*) AS n FROM scored GROUP BY 1), cu AS (SELECT score, (sum(tp) OVER w)::DOUBLE AS tp, (sum(n) OVER w)::DOUBLE AS n, (sum(tp) OVER ())::DOUBLE AS pos FROM pt WINDOW w AS (ORDER BY score DESC)), pr AS (SELECT score, tp / n AS p, coalesce(tp / nullif(pos, 0), 0) AS r FROM cu) "
+            "SELECT round(score, 9) AS threshold, round(p, 9) AS precision, round(r, 9) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) AS f1 FROM pr",
+            "scored",
+        ),
+        "vec_l1": _sql("SELECT vec_id, round(sum(abs(x)), 9) AS l1 FROM emb GROUP BY 1", "emb"),
+        "centroid": _sql("SELECT label, i - 1 AS dim, round(m, 9) AS mean FROM cen", "cen"),
+        "cosine_centroid": _sql(f"SELECT vec_id, round({cos}, 9) AS cosine FROM emb JOIN cen USING (label, i) GROUP BY 1", "cen"),
+        "dist_relative": _sql(f", cs AS (SELECT vec_id, cen.label, round({cos}, 9) AS c FROM emb JOIN cen ON emb.i = cen.i AND cen.label IN (0, 1) GROUP BY 1, 2) SELECT a.vec_id, round(coalesce(a.c / nullif(a.c + b.c, 0), 0.5), 6) AS dist_relative FROM cs a JOIN cs b ON a.vec_id = b.vec_id AND a.label = 0 AND b.label = 1", "cen"),
+    }
