@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard_join, license_scan, packing, quality, secrets, substring_dedup, toxicity, warc
+from . import decontaminate, fingerprint, jaccard_join, license_scan, oracle, packing, quality, secrets, substring_dedup, toxicity, warc
 from .common import table
 
 
@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
