@@ -31,7 +31,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
-    return pu.score(docs, pu.fit(docs, table(spark, sf_dir, "labels")), keep=tuple(columns)).filter("score < 0.5").select(*columns)
+    return pu.score(docs, pu.fit(docs, table(spark, sf_dir, "labels")), keep=tuple(columns), out_col="_toxicity").filter("_toxicity < 0.5").select(*(F.col(f"`{c}`") for c in columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts (P) and texts of unknown kind (U) are all that is learnt from.  Features are the presence of words and
-word beginnings that are commoner in P than in U.  A linear model minimises the class-prior-corrected risk
+word beginnings that are commoner in P than, corrected by the class prior, among negatives.  A linear model minimises the class-prior-corrected risk
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)])
 whose second term, the risk on negatives, is kept from going below zero: when it does, its gradient is reversed.
 """
@@ -21,8 +21,8 @@ from .wordhash import chunks
 
 #: At most so many confirmed and unlabelled texts are fitted on; features kept; lengths in bytes of word beginnings.
 POSITIVES, UNLABELLED, FEATURES, PREFIXES = 4000, 12_000, 1024, (4, 5, 6)
-#: A feature's least log ratio of shares in P and U; labelled rows of either class for the last step, the score's curve.
-RATE, CURVE = 1.5, 2000
+#: A feature's least log ratio of its shares in P and among negatives; labelled rows of either class for the last step, the score's curve.
+RATE, CURVE = 2.0, 2000
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         sample.unpersist()
         return none
     c = sample.mapInArrow(_present, "positive int, feature long").groupBy("feature").agg(F.sum("positive").alias("p"), F.count("*").alias("all"))
-    rate = F.log((F.col("p") + 0.5) / count[1]) - F.log((F.col("all") - F.col("p") + 0.5 * prior) / count[0])
+    in_p, in_u = (F.col("p") + 0.5) / count[1], (F.col("all") - F.col("p")) / count[0]
+    in_n = F.greatest((in_u - prior * F.col("p") / count[1]) / (1 - prior), F.lit(0.5 / count[0]))  # U less its confirmed kind
+    rate = F.log(in_p) - F.log(in_n)
     best = c.filter(f"p >= {max(5, count[1] // 200)}").withColumn("gain", rate * F.sqrt("p")).filter(rate >= RATE).orderBy(F.desc("gain"), "feature").limit(FEATURES).select("feature").collect()
     features = np.sort(np.array([r["feature"] for r in best], dtype=np.int64).view(np.uint64))
     x = {v: np.zeros((count[v], len(features)), dtype=np.float32) for v in (0, 1)}
@@ -147,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     return Model(features, weights * a, bias * a + b, prior) if a > 0 else raw
 
 
-def _score(model: Model):
+def _score(model: Model, out_col: str):
     def run(batches):
         for b in batches:
             out = []
@@ -155,19 +157,19 @@ def _score(model: Model):
                 text, at = _hits(w, model.features)
                 z = np.bincount(text, weights=model.weights[at] if len(at) else None, minlength=len(own)) + model.bias
                 out.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0)), *b.columns[2:]], ["_row", "score", *b.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0)), *b.columns[2:]], ["_row", out_col, *b.schema.names[2:]])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Score of every whole text (0 to 1) beside the columns in `keep`.
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = (), out_col: str = "score") -> DataFrame:
+    """Score (column out_col, 0 to 1) of every whole text beside the columns in `keep`.
 
     A null or empty text has no features and gets the bias' score.
     """
     data = docs.select(F.lit(0).alias("_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *(F.col(c) for c in keep))
-    fields = ", ".join(["_row int", "score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)])
-    return data.mapInArrow(_score(model), fields).drop("_row")
+    fields = ", ".join(["_row int", f"`{out_col}` double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)])
+    return data.mapInArrow(_score(model, out_col), fields).drop("_row")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -130,9 +130,9 @@ def test_license_scan(spark):
 
 
 def test_decontamination(spark):
-    items = {1: "Tom has 3 apples and Mary gives Tom 5 kg of old apples before he walks home", 2: "short one", 3: None}
+    items = {1: "Today Tom has 3 apples and Mary gives Tom 5 kg of old apples before he walks home", 2: "short one", 3: None}
     bench = spark.createDataFrame([(i, t) for i, t in items.items()], "item_id long, text string")
-    texts = ["intro words. " + items[1] + ". more", "So then Bob has 7 apples and Anna gives Bob 9 lbs of old apples before he walks home.", "So then Bob has 7 apples and Anna gives Carl 9 lbs of old apples before he walks home.", None, "", "short one", "1 2 3 4 5 6 7 8 9 10 11 12"]
+    texts = ["intro words. " + items[1] + ". more", "Today Bob has 7 apples and Anna gives Bob 9 lbs of old apples before he walks home.", "Today Bob has 7 apples and Anna gives Carl 9 lbs of old apples before he walks home.", None, "", "short one", "1 2 3 4 5 6 7 8 9 10 11 12"]
     got = {r["doc_id"]: r for r in decontaminate.matches(table(spark, texts), bench).collect()}
     assert set(got) == {0, 1} and not got[0]["changed"] and got[1]["changed"]
     assert sorted(r["doc_id"] for r in decontaminate.clean(table(spark, texts), bench).collect()) == [2, 3, 4, 5, 6]

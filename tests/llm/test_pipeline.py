@@ -11,8 +11,8 @@ def test_stages(spark, tmp_path):
     base, item = text(80), text(20)
     docs = [(0, base), (1, base + " end"), (2, text(60) + " " + item), (3, text(50) + ' token = "1eb9c654e721b4f812088970e66a6345cee33dd6"'), (4, None), (5, ""), (6, text(3000))]
     docs += [(10 + k, text(30) + (" moron" if k % 4 == 0 else "")) for k in range(120)]
-    rows = [(i, t, "en", "s", len(t or "")) for i, t in docs]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, t, "en", "s", len(t or ""), 0.1) for i, t in docs]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(10 + k, int(k % 4 == 0), 1) for k in range(120)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     table = spark.read.parquet(f"{tmp_path}/documents.parquet")
