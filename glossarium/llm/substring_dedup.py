@@ -53,7 +53,7 @@ def super_kmers(w: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def _send(k: int, m: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         held: dict[bytes, list] = {}  # string -> [smallest document, its version and places, minimiser]
         size = 0
         repeats: list[tuple[int, int, int, int]] = []
@@ -65,8 +65,8 @@ def _send(k: int, m: int, buckets: int):
                 n = len(doc)
                 yield pa.RecordBatch.from_arrays([pa.array((mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(doc), pa.array(version), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], _OUT)
             if held:
-                strings = list(held)
-                of = (mix(np.array([v[2] for v in held.values()], dtype=np.uint64)) % np.uint64(buckets)).astype(np.int32)
+                strings = sorted(held)  # like strings side by side take less room
+                of = (mix(np.array([held[s][2] for s in strings], dtype=np.uint64)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(of, kind="stable")
                 at = np.flatnonzero(np.concatenate([[True], np.diff(of[order]) != 0]))
                 for part in np.split(order, at[1:]):
@@ -204,7 +204,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     volume = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("v")).first()["v"]
     places = max(parts, math.ceil(3.3 * volume / BUCKET))
-    sent = named.mapInArrow(_send(k, m, 8 * places), _OUT_TYPE)
+    sent = named.mapInArrow(_send(k, m, 2 * places), _OUT_TYPE)
     return sent.repartition(places, "bucket").mapInArrow(_settle(k), "doc long, version long, lo int, hi int")
 
 
