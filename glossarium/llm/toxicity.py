@@ -94,8 +94,9 @@ def descend(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     for t in range(1, steps + 1):
-        _, gp, gu = risk_gradient(xp @ w[:d] + w[-1], xu @ w[:d] + w[-1], prior)
-        g = np.concatenate([gp @ xp + gu @ xu + ridge * w[:d], [gp.sum() + gu.sum()]])
+        v32 = w[:d].astype(xp.dtype)  # as the features, which would be copied otherwise
+        _, gp, gu = risk_gradient(xp @ v32 + w[-1], xu @ v32 + w[-1], prior)
+        g = np.concatenate([gp.astype(xp.dtype) @ xp + gu.astype(xu.dtype) @ xu + ridge * w[:d], [gp.sum() + gu.sum()]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:d], float(w[-1])
