@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cosine, relative
-from ..operators import annotate, cooc, evaluate, pairs, patterns, truth, vectors
+from ..operators import annotate, cooc, evaluate, lowrank, pairs, patterns, truth, vectors
 from ..sources import conllu
 
 KEYS = ("doc_id", "sid")
@@ -215,10 +215,8 @@ def dist_relative(spark, sf_dir):
 
 
 def svd_words(spark, sf_dir):
-    """Vectors of the lemmas that occur forty times or more, in four dimensions."""
-    t = annotate.tokenize(_documents(spark, sf_dir))
-    common = t.groupBy("lemma").count().filter("count >= 40").select("lemma")
-    space = vectors.LatentSpace(cooc.counts(t.join(common, "lemma", "left_semi"), *KEYS), 4)
+    """Vectors of all lemmas, in the hundred dimensions of the original."""
+    space = vectors.LatentSpace(lowrank.kept(_cooc(spark, sf_dir), "cooc"))
     return _rounded(space.word_vectors.select("word", F.posexplode("vec").alias("dim", "value")))
 
 

@@ -109,6 +109,26 @@ def test_svd_against_numpy(spark):
     assert np.allclose(np.abs(np.array([got[f"w{i}"] for i in range(7)])), np.abs(u[:, :3] * s[:3]), atol=1e-9)
 
 
+def test_svd_of_several_blocks(spark):
+    """700 words are three blocks; every word has a vector, and expressions are projected on the same dimensions."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    m = np.triu(r.integers(1, 9, (700, 700)) * (r.random((700, 700)) < 0.05))
+    m[0] = 40
+    m = m + m.T
+    c = spark.createDataFrame([(f"w{i:03}", f"w{j:03}", int(m[i, j])) for i, j in zip(*map(list, m.nonzero()), strict=True)], "w1 string, w2 string, c long")
+    space = vectors.LatentSpace(c, 690)
+    a = m / m.sum(axis=1)[None, :]
+    _, s, v = np.linalg.svd(a)
+    assert np.allclose(space.singular_values, s[:690], atol=1e-7) and len(space.singular_values) == 690
+    got = {x["word"]: x["vec"] for x in space.word_vectors.collect()}
+    assert len(got) == 700 and np.allclose(np.abs(got["w003"][:5]), np.abs(v[:5] @ a[3]), atol=1e-6)
+    exprs = space.expressions(spark.createDataFrame([("n", "v", "w001", 0.5), ("n", "v", "w650", 2.0), ("n", "u", "w300", 1.0)], "noun string, verb string, word string, v double"))
+    said = {x["verb"]: x["vec"] for x in exprs.collect()}
+    assert set(said) == {"u", "v"} and np.allclose(np.abs(said["v"][:5]), np.abs(0.5 * v[:5, 1] + 2 * v[:5, 650]), atol=1e-6)
+
+
 def test_evaluation(spark):
     rows = [("a", "v", "YES", "YES", 0.9), ("b", "v", "NO", "YES", 0.9), ("c", "v", "YES", "NO", 0.2), ("d", "v", "NO", "NO", 0.1)]
     scored = spark.createDataFrame(rows, "noun string, verb string, is_lvc string, prediction string, score double")
