@@ -28,6 +28,8 @@ from .common import salted_lookup, settled, shared_dir
 
 #: Payloads of so many bytes are stored once; bytes of an archive; lines of an index block; index partitions at most.
 SHARED_FROM, ARCHIVE, LINES, PARTITIONS = 1000, 256 << 20, 256, 4096
+#: Captures that a lookup hands on at once.
+FOUND = 10_000
 #: Ranges of one file that are read together: bytes between them, bytes in all; and the slice of a file that one task reads.
 GAP, READ, SLICE = 1 << 16, 4 << 20, 16 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -170,10 +172,18 @@ def index(captures: DataFrame, top: str) -> DataFrame:
 
 
 def _find(top: str):
-    """Binary search of queries (null file) among the directory rows of the same index file, then in the block."""
+    """Binary search of queries (null place) among the directory rows of the same index file, then in the block."""
 
     def run(batches):
         where, base = opened(top)
+        found: list[list] = [[] for _ in range(4)]
+
+        def out():
+            row = pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.string()), pa.array(found[2], pa.int64()), pa.array(found[3], pa.int64())], ["page_id", "file", "at", "size"])
+            for c in found:
+                c.clear()
+            return row
+
         queries: dict[str, list] = {}
         directory: dict[str, list] = {}
         for b in batches:
@@ -183,23 +193,23 @@ def _find(top: str):
             blocks = sorted(directory.get(part, []))
             first = [x[:2] for x in blocks]
             asked.sort(key=lambda x: x[:2])
-            found: list[list] = [[] for _ in range(4)]
-            have, lines, names = -1, [], []
+            have, names, places = -1, [], []
             with where.open_input_file(f"{base}/{part}") as f:
                 for key, page, _, _ in asked:
-                    k = bisect.bisect_right(first, (key, page)) - 1
-                    if k < 0:
-                        continue
-                    if k != have:
-                        raw = zlib.decompress(f.read_at(blocks[k][3], blocks[k][2])).decode("utf-8", "surrogatepass")
-                        have, lines = k, [x.split("\t") for x in raw.split("\n")]
-                        names = [(x[0], int(x[1])) for x in lines]
-                    j = bisect.bisect_left(names, (key, page))
-                    while j < len(names) and names[j] == (key, page):
-                        for c, v in zip(found, (page, lines[j][2], int(lines[j][3]), int(lines[j][4])), strict=True):
-                            c.append(v)
-                        j += 1
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.string()), pa.array(found[2], pa.int64()), pa.array(found[3], pa.int64())], ["page_id", "file", "at", "size"])
+                    # captures of one key may begin in the block before the first that starts with it, and go on in later ones
+                    k = max(bisect.bisect_left(first, (key, page)) - 1, 0)
+                    while k < len(blocks) and first[k] <= (key, page):
+                        if k != have:
+                            raw = zlib.decompress(f.read_at(blocks[k][3], blocks[k][2])).decode("utf-8", "surrogatepass")
+                            lines = [x.split("\t") for x in raw.split("\n")]
+                            have, names, places = k, [(x[0], int(x[1])) for x in lines], [(x[2], int(x[3]), int(x[4])) for x in lines]
+                        for j in range(bisect.bisect_left(names, (key, page)), bisect.bisect_right(names, (key, page))):
+                            for c, v in zip(found, (page, *places[j]), strict=True):
+                                c.append(v)
+                        if len(found[0]) >= FOUND:
+                            yield out()
+                        k += 1
+            yield out()
 
     return run
 
@@ -220,17 +230,17 @@ def _route(bounds: list[tuple]):
 
 
 def lookup(queries: DataFrame, directory: DataFrame, top: str) -> DataFrame:
-    """(page_id, file, at, size) of the captures of queries (page_id, url); equal queries are asked once.
+    """(page_id, file, at, size) of the captures of queries (page_id, url); queries of one page_id and key are asked once.
 
-    A block that a key's captures run over into is found too, as the page_id is part of the key.
+    Every capture of a key and page_id is found, in however many blocks they lie; an index partition holds all of them.
     """
     bounds = [(r["key"], r["page_id"], r["file"]) for r in directory.groupBy("file").agg(F.min(F.struct("key", "page_id")).alias("m")).select("m.key", "m.page_id", "file").collect()]  # a row for each index partition
     empty = "page_id long, file string, at long, size long"
     if not bounds:
         return queries.sparkSession.createDataFrame([], empty)
     bounds.sort()
-    asked = queries.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")).distinct()
-    routed = asked.mapInArrow(_route(bounds), "part string, key string, page_id long, at long, size long")
+    asked = queries.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
+    routed = asked.mapInArrow(_route(bounds), "part string, key string, page_id long, at long, size long").dropDuplicates(["part", "key", "page_id"])
     both = routed.unionByName(directory.select(F.col("file").alias("part"), "key", "page_id", "at", "size"))
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return both.repartition(parts, "part").mapInArrow(_find(top), empty)

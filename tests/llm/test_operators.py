@@ -102,6 +102,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.surt("https://www.Ex.com:443/A?b") == "com,ex)/a?b"
 
 
+def test_warc_captures_of_one_key(spark, tmp_path):
+    """More equal captures than a block has lines, rows without an id, and addresses that have one key."""
+    rows = [(4, "http://a.com/x", f"p{k}") for k in range(600)] + [(None, "http://b.com/y", f"q{k}") for k in range(700)] + [(None, None, f"r{k}") for k in range(300)]
+    rows += [(None, u, u) for u in ("http://c.com/z", "https://www.c.com/z", "http://c.com/z#part")] + [(k, f"http://a.com/{k}", f"s{k}") for k in range(500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((-1 if r["page_id"] is None else r["page_id"], r["payload_digest"]) for r in warc.round_trip(pages.repartition(3), f"file://{tmp_path}/w").collect())
+    assert got == sorted((-1 if i is None else i, hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows)
+
+
 def test_fingerprints(spark):
     texts = {2: " ".join(words(200, 3)), 5: " ".join(words(200, 3)[:100] + words(100, 4)), 6: None, 9: "", 11: "one two", 12: "ONE  two", 20: "日本 " * 7}
     rows = {r["doc_id"]: r for r in fingerprint.edited_fingerprints(table(spark, texts)).collect()}
