@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so a question with other numbers and other names keeps its template.
 Windows of canonical tokens are hashed and joined to the benchmark's.  Hits on one diagonal belong to one occurrence; there
 every slot of the item must be filled consistently: one benchmark value, one value in the document.  A document is reported
-with an item when consistent occurrences cover enough of the item's windows.
+with an item when consistent occurrences cover enough of the item's windows.  Items without a window that counts, or with none
+but the first, are looked for whole as well: all their words as written, but for case and marks.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from .common import SPACES
 
 #: Tokens of a window, how many of them must be words, and the share of an item's windows that must be met.
 WINDOW, FIXED, COVERED = 8, 4, 0.5
+#: Words of an item that is looked for whole, at least: shorter ones are everyday phrases.
+SHORTEST = 3
 #: Windows of the benchmark that are broadcast; beyond, the join shuffles.
 BROADCAST = 200_000
 #: Units that count as such behind a number.
@@ -58,16 +61,47 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return one.join(total, "item_id").withColumn("item_text", F.concat_ws(" ", "item_form"))
 
 
+def _whole_key(length: int, at: str) -> str:
+    return "xxhash64(" + ", ".join(f"hashes[{at} + {j}]" for j in range(length)) + ")"
+
+
+def _lower(tokens: DataFrame) -> DataFrame:
+    """(id, low, hashes): the words as written, in lower case, and their hashes."""
+    return tokens.select("id", F.expr("transform(raw, r -> lower(r))").alias("low")).withColumn("hashes", F.expr("transform(low, r -> xxhash64(r))"))
+
+
+def benchmark_wholes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """key, item_id, lead, item_low: the words of items that are looked for whole, by a hash of the first `lead` of them."""
+    later = f"if(size(windows) < 2, false, exists(sequence(1, size(windows) - 1), i -> size(filter(slice(form, i + 1, {WINDOW}), c -> not c in ('#n', '#u', '#p'))) >= {FIXED}))"
+    items = _lower(_windows(canonical(benchmark, item_col, text_col)).filter(f"not {later}")).filter(f"size(low) >= {SHORTEST}").withColumn("lead", F.expr(f"least(size(low), {WINDOW})"))
+    key = " ".join(f"when {a} then {_whole_key(a, '0')}" for a in range(SHORTEST, WINDOW + 1))
+    return items.select(F.expr(f"case lead {key} end").alias("key"), F.col("id").alias("item_id"), "lead", F.col("low").alias("item_low")).distinct()
+
+
+def _wholes(tokens: DataFrame, known: DataFrame) -> DataFrame | None:
+    """(doc_id, item_id) of whole items; None if there are none to look for."""
+    leads = sorted(r["lead"] for r in known.select("lead").distinct().collect())  # at most WINDOW numbers
+    if not leads:
+        return None
+    if known.count() <= BROADCAST:
+        known = F.broadcast(known)
+    each = ", ".join(f"if(size(hashes) < {a}, array(), transform(sequence(0, size(hashes) - {a}), i -> struct(i as pos, {_whole_key(a, 'i')} as key)))" for a in leads)
+    at = _lower(tokens).select(F.col("id").alias("doc_id"), "low", F.explode(F.expr(f"flatten(array({each}))")).alias("w")).select("doc_id", "low", "w.pos", "w.key")
+    return at.join(known, "key").filter("slice(low, pos + 1, size(item_low)) = item_low").select("doc_id", "item_id").distinct()
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and item that it contains: doc_id, item_id, n_windows, coverage, changed (some slot differs).
 
-    Null texts contain nothing; items of fewer than WINDOW tokens, or without a window of FIXED words, are never found.  Rows
-    that share a doc_id, or an item_id, count as one document, or item.
+    Null texts contain nothing.  Items of fewer than WINDOW tokens, or without a window of FIXED words, are found in exact copies
+    (one window, coverage 1); those of fewer than SHORTEST tokens are never found.  Rows that share a doc_id, or an
+    item_id, count as one document, or item.
     """
     known = benchmark_windows(benchmark).persist()
     if known.count() <= BROADCAST:
         known = F.broadcast(known)
-    w = _windows(canonical(docs, id_col, text_col))
+    tokens = canonical(docs, id_col, text_col)
+    w = _windows(tokens)
     at = w.select(F.col("id").alias("doc_id"), "form", "raw", F.posexplode_outer("windows").alias("pos", "window"))
     # no equality, which would become a key of the join and be worked out for every window instead of every hit
     own = f"concat_ws(' ', slice(form, pos + 1, {WINDOW}))"
@@ -77,7 +111,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     slots = f"array_distinct(flatten(transform(pairs, p -> transform(filter(sequence(0, {WINDOW - 1}), j -> p.item_form[j] in ('#n', '#u', '#p')), j -> struct(p.item_form[j] as kind, p.item_raw[j] as said, p.raw[j] as now)))))"
     lines = lines.withColumn("slots", F.expr(slots)).filter("size(array_distinct(transform(slots, s -> struct(s.kind, s.said)))) = size(slots)")
     found = lines.groupBy("doc_id", "item_id", "in_item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).cast("long").alias("n_windows"), F.max(F.expr("exists(slots, s -> s.said <> s.now)")).alias("changed"))
-    return found.withColumn("coverage", F.col("n_windows") / F.col("in_item")).filter(F.col("coverage") >= COVERED).select("doc_id", "item_id", "n_windows", "coverage", "changed")
+    found = found.withColumn("coverage", F.col("n_windows") / F.col("in_item")).filter(F.col("coverage") >= COVERED).select("doc_id", "item_id", "n_windows", "coverage", "changed")
+    wholes = _wholes(tokens, benchmark_wholes(benchmark).persist())
+    if wholes is None:
+        return found
+    both = found.unionByName(wholes.select("doc_id", "item_id", F.lit(1).cast("long").alias("n_windows"), F.lit(1.0).alias("coverage"), F.lit(False).alias("changed")))
+    return both.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("n_windows", "coverage", "changed")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
