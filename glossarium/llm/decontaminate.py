@@ -9,7 +9,7 @@ but the first, are looked for whole as well: all their words as written, but for
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES
@@ -90,17 +90,28 @@ def _wholes(tokens: DataFrame, known: DataFrame) -> DataFrame | None:
     return at.join(known, "key").filter("slice(low, pos + 1, size(item_low)) = item_low").select("doc_id", "item_id").distinct()
 
 
+def _row(id_col: str, text_col: str) -> Column:
+    """What tells rows apart: the id, which may be null or repeated, and a hash of the text."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and item that it contains: doc_id, item_id, n_windows, coverage, changed (some slot differs).
 
     Null texts contain nothing.  Items of fewer than WINDOW tokens, or without a window of FIXED words, are found in exact copies
-    (one window, coverage 1); those of fewer than SHORTEST tokens are never found.  Rows that share a doc_id, or an
-    item_id, count as one document, or item.
+    (one window, coverage 1); those of fewer than SHORTEST tokens are never found.  Rows of one
+    doc_id and text count as one document, rows that share an item_id as one item; other rows of a doc_id, or of none, have
+    results of their own.
     """
+    return _by_row(docs, benchmark, id_col, text_col).withColumn("doc_id", F.col("doc_id.id"))
+
+
+def _by_row(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """matches() with _row() for doc_id."""
     known = benchmark_windows(benchmark).persist()
     if known.count() <= BROADCAST:
         known = F.broadcast(known)
-    tokens = canonical(docs, id_col, text_col)
+    tokens = canonical(docs.select(_row(id_col, text_col).alias("row"), F.col(text_col).alias("text")), "row", "text")
     w = _windows(tokens)
     at = w.select(F.col("id").alias("doc_id"), "form", "raw", F.posexplode_outer("windows").alias("pos", "window"))
     # no equality, which would become a key of the join and be worked out for every window instead of every hit
@@ -121,5 +132,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without those that contain a benchmark item."""
-    dirty = matches(docs, benchmark).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_dirty")), "left_anti")
+    dirty = _by_row(docs, benchmark, "doc_id", "text").select(F.col("doc_id.id").alias("_dirty"), F.col("doc_id.text").alias("_text")).distinct()
+    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_dirty")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_text")), "left_anti")
