@@ -221,11 +221,20 @@ def svd_words(spark, sf_dir):
 
 
 def gbt_predict(spark, sf_dir):
-    """Predictions of boosted trees trained on the labelled candidates."""
+    """Predictions of boosted trees with the classifier's defaults, trained on all features of the labelled candidates."""
     from ..operators.model import PairClassifier
 
-    rows = truth.label(pairs.association(_arcs(spark, sf_dir)), _truth(spark, sf_dir)).persist()
-    return _rounded(PairClassifier(pairs.MEASURES, iterations=5).fit(rows).predict(rows))
+    t = lowrank.kept(_ann(spark, sf_dir), "tokens")
+    arc = lowrank.kept(pairs.arcs(t, *KEYS), "arcs")
+    counts = lowrank.kept(_cooc(spark, sf_dir), "cooc")
+    found = lowrank.kept(patterns.between(t, arc, *KEYS), "between")
+    top = [r["pattern"] for r in patterns.most_frequent(found).collect()]  # twenty
+    space = vectors.LatentSpace(counts)
+    exprs = space.expressions(cooc.expression_weights(cooc.expression_counts(t, *KEYS), cooc.row_sums(counts)))
+    table = vectors.with_vector_features(patterns.matrix(pairs.association(arc), patterns.frequencies(found), top), space.word_vectors, exprs, len(space.singular_values))
+    rows = lowrank.kept(truth.label(table, truth.constructions(annotate.with_mwe(t, arc).withColumn("ord", F.col("id")), *KEYS)), "features")
+    columns = [c for c, kind in rows.dtypes if kind in ("double", "bigint")]
+    return _rounded(PairClassifier(columns).fit(rows).predict(rows))
 
 
 _QUERIES = (
