@@ -73,7 +73,8 @@ def _lower(tokens: DataFrame) -> DataFrame:
 def benchmark_wholes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """key, item_id, lead, item_low: the words of items that are looked for whole, by a hash of the first `lead` of them."""
     later = f"if(size(windows) < 2, false, exists(sequence(1, size(windows) - 1), i -> size(filter(slice(form, i + 1, {WINDOW}), c -> not c in ('#n', '#u', '#p'))) >= {FIXED}))"
-    items = _lower(_windows(canonical(benchmark, item_col, text_col)).filter(f"not {later}")).filter(f"size(low) >= {SHORTEST}").withColumn("lead", F.expr(f"least(size(low), {WINDOW})"))
+    # persisted, as the filter would be pushed below the windows and work them out again for every place
+    items = _lower(_windows(canonical(benchmark, item_col, text_col)).persist().filter(f"not {later}")).filter(f"size(low) >= {SHORTEST}").withColumn("lead", F.expr(f"least(size(low), {WINDOW})"))
     key = " ".join(f"when {a} then {_whole_key(a, '0')}" for a in range(SHORTEST, WINDOW + 1))
     return items.select(F.expr(f"case lead {key} end").alias("key"), F.col("id").alias("item_id"), "lead", F.col("low").alias("item_low")).distinct()
 
