@@ -15,6 +15,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each behind as many underscores as it takes not to meet a column of df or one another."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows apart: the id, which may be null or repeated, and two 64-bit hashes of the text."""
+    text = named(text_col).cast("string")
+    return F.struct(named(id_col).alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def by_row(docs: DataFrame, found: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """docs joined to found by its column `row`, a row_key(); and the names under which found's other columns stand there.
+
+    Null ids are equal here.  As the key holds the text's hashes, rows without an id, or of one id, spread over all tasks.
+    """
+    extra = [c for c in found.columns if c != "row"]
+    i, a, b, *new = fresh(docs, "row_id", "row_a", "row_b", *extra)
+    right = found.select(F.col("row.id").alias(i), F.col("row.a").alias(a), F.col("row.b").alias(b), *(named(c).alias(n) for c, n in zip(extra, new, strict=True)))
+    text = named(text_col).cast("string")
+    same = named(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(a)) & (F.xxhash64(F.lit(1), text) == F.col(b))
+    return docs.join(right, same, how).drop(i, a, b), new
+
+
 def lower_latin(text: Column) -> Column:
     """Lower-case text so that A-Z become a-z and no other character becomes one of them.
 
@@ -62,6 +97,17 @@ def salted_lookup(rows: DataFrame, key: str, values: DataFrame, salts: int = 32)
     return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 
+def counted_lookup(rows: DataFrame, key: str, values: DataFrame, count: str, total: int, share: int = 10_000) -> DataFrame:
+    """Left join rows to values (unique by key), whose column `count` says how many of the `total` rows hold the key.
+
+    Keys of more than one row in `share` are broadcast, at most `share` of them; the others are shuffled, with no key large.
+    """
+    heavy = values.filter(F.col(count) * share > total)
+    common = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(values, key, "left")
+    return common.unionByName(rest)
+
+
 def held_out(doc_id: Column) -> Column:
     """The other rows: never learnt from.  A null id is one of them."""
     return F.coalesce(~train_row(doc_id), F.lit(True))

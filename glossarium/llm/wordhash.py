@@ -6,12 +6,16 @@ A text's words are runs of bytes other than 0x20 and 0x09-0x0D.  The hash of a w
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
 #: Bytes of text that are hashed together; a longer text is hashed alone.
 CHUNK = 1 << 20
+#: Bytes from which on a word has a hash of another kind.
+LONG_WORD = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -63,6 +67,9 @@ class Words:
         np.cumsum((_FOLDED if fold else _EXACT)[raw] * _power("base", len(raw))[: len(raw)], out=sums[1:])
         length = (self.end - self.start).astype(np.uint64)
         self.hash = mix((sums[self.end] - sums[self.start]) * _power("inverse", len(raw))[self.start] + length * np.uint64(0xD6E8FEB86659FD93))
+        for k in np.flatnonzero(self.end - self.start >= LONG_WORD):  # a polynomial modulo 2**64 has known collisions among these
+            own = self.data[self.start[k] : self.end[k]]
+            self.hash[k] = int.from_bytes(hashlib.blake2b(own.lower() if fold else own, digest_size=8).digest(), "little")
 
     def prefixes(self, n: int) -> np.ndarray:
         """Hash of the first n bytes of each word (of all of it where it is no longer)."""
@@ -81,18 +88,68 @@ class Words:
         return out.tobytes(), place[self.start] - 1, place[self.end - 1]
 
 
-def chunks(ids: list, texts: list[str | bytes | None], fold: bool, letters: bool = False) -> Iterator[tuple[list, Words]]:
-    """Groups of about CHUNK bytes.  letters: words are runs of ASCII letters and digits and bytes beyond ASCII."""
+def groups(texts: list[str | bytes | None]) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Consecutive texts of about CHUNK bytes together, as UTF-8, with their places [start, stop); a longer text comes alone."""
     at, size, own = 0, 0, []
     for k, t in enumerate(texts):
         b = t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") if t else b""
         if own and size + len(b) > CHUNK:
-            yield ids[at:k], Words(own, fold, letters)
+            yield at, k, own
             at, size, own = k, 0, []
         own.append(b)
         size += len(b) + 1
     if own:
-        yield ids[at:], Words(own, fold, letters)
+        yield at, len(texts), own
+
+
+def chunks(ids: list, texts: list[str | bytes | None], fold: bool, letters: bool = False) -> Iterator[tuple[list, Words]]:
+    """groups() as words.  letters: words are runs of ASCII letters and digits and bytes beyond ASCII."""
+    for start, stop, own in groups(texts):
+        yield ids[start:stop], Words(own, fold, letters)
+
+
+_GAP, _WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def pieces(raw: bytes, overlap: int) -> Iterator[tuple[bytes, int]]:
+    """A text in pieces of about CHUNK bytes, cut at white space, with the number of each one's first word; a piece begins
+    `overlap` words before the end of the one before, so that all runs of overlap + 1 words stand whole in one piece."""
+    at, first, size = 0, 0, CHUNK
+    while True:
+        gap = _GAP.search(raw, at + size) if at + size < len(raw) else None
+        if gap is None:
+            yield raw[at:], first
+            return
+        cut, step = gap.start(), 4096
+        while True:
+            low = max(at, cut - step)
+            last = [m.start() for m in _WORD.finditer(raw, low, cut)]
+            if len(last) > overlap or low == at:
+                break
+            step *= 4
+        if len(last) <= overlap:  # few, huge words
+            size *= 2
+            continue
+        own = raw[at:cut]
+        yield own, first
+        first += sum(1 for _ in _WORD.finditer(own)) - overlap
+        at, size = last[-overlap] if overlap else cut, CHUNK
+
+
+class Known:
+    """A set of 64-bit values: which entries of an array are in it.  A bitmap of the first 20 bits spares most searches."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values, self.table = np.sort(values), np.zeros(1 << 20, dtype=bool)
+        self.table[(self.values >> np.uint64(44)).astype(np.int64)] = True
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), dtype=bool)
+        if len(self.values):
+            maybe = np.flatnonzero(self.table[(x >> np.uint64(44)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.values, x[maybe]), len(self.values) - 1)
+            out[maybe[self.values[at] == x[maybe]]] = True
+        return out
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
