@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import decontaminate as de
 from . import license_scan as ls
 from .warc import SHARED_FROM
 
@@ -26,6 +27,39 @@ OP5 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= {SHARED_FROM} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= {SHARED_FROM} AND page_id <> first THEN first END AS refers_to FROM q"""
 
 
+def _canonical(table: str, key: str) -> str:
+    """(key, form, raw): canonical forms and words of a table's texts."""
+    ws = r"[\x20\x09-\x0D]"
+    step = lambda text, pattern, by: f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    form = step(step("bare", rf"(^|{ws})\p{{N}}[^\x20\x09-\x0D]*", r"\1#n"), rf"(^|{ws})\p{{Lu}}\p{{Ll}}[^\x20\x09-\x0D]*", r"\1#p")
+    form = step(f"lower({form})", rf"(#n{ws}+)(?:{'|'.join(de.UNITS)})({ws}|$)", r"\1#u\2")
+    words = lambda x: f"list_filter(string_split_regex({x}, {_SPACES}), lambda x: x <> '')"
+    bare = step("coalesce(text, '')", r"[^\p{L}\p{N}\x20\x09-\x0D]+", "")
+    return f"SELECT {key}, {words(form)} AS form, {words('bare')} AS raw FROM (SELECT {key}, {bare} AS bare FROM {table})"
+
+
+def op1() -> str:
+    n, slot = de.WINDOW, "('#n', '#u', '#p')"
+    counts = f"len(list_filter(form, lambda c: c NOT IN {slot})) >= {de.FIXED}"
+    lowered = lambda which: f"list_transform(range(1, {n} + 1), lambda j: CASE WHEN form[j] = '#p'{which} THEN lower(raw[j]) ELSE form[j] END)"
+    return rf"""WITH b AS MATERIALIZED ({_canonical("benchmark", "item_id")}), d AS MATERIALIZED ({_canonical("documents", "doc_id")}),
+place AS (SELECT * FROM (SELECT item_id, i - 1 AS place, form[i:i + {n - 1}] AS form, raw[i:i + {n - 1}] AS raw FROM (SELECT *, unnest(range(1, len(form) - {n - 2})) AS i FROM b WHERE len(form) >= {n})) WHERE {counts}),
+many AS (SELECT item_id, count(DISTINCT place) AS in_item FROM place GROUP BY 1),
+bw AS MATERIALIZED (SELECT DISTINCT item_id, place, in_item, raw AS item_raw, f AS item_form, array_to_string(f, ' ') AS s FROM (SELECT item_id, place, raw, unnest([form, {lowered("")}, {lowered(" AND j = 1 AND place = 0")}]) AS f FROM place) JOIN many USING (item_id)),
+dw AS (SELECT doc_id, i - 1 AS pos, raw[i:i + {n - 1}] AS raw, array_to_string(form[i:i + {n - 1}], ' ') AS s FROM (SELECT *, unnest(range(1, len(form) - {n - 2})) AS i FROM d WHERE len(form) >= {n})),
+hit AS MATERIALIZED (SELECT doc_id, item_id, in_item, pos, place, pos - place AS diag, item_form, item_raw, raw, count(*) OVER (PARTITION BY doc_id, item_id, pos - place) AS votes FROM dw JOIN bw USING (s)),
+best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, pos ORDER BY votes DESC, diag) = 1),
+step AS (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY doc_id, item_id ORDER BY diag) >= {n} THEN 1 ELSE 0 END AS new FROM best),
+occ AS MATERIALIZED (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY diag) AS occ FROM step),
+slot AS MATERIALIZED (SELECT doc_id, item_id, occ, item_form[j] AS kind, item_raw[j] AS said, count(DISTINCT raw[j]) AS values, max(item_raw[j] <> raw[j]) AS differs FROM (SELECT *, unnest(range(1, {n} + 1)) AS j FROM occ) WHERE item_form[j] IN {slot} GROUP BY ALL),
+one AS (SELECT doc_id, item_id, occ, max(values) AS values, max(differs) AS differs FROM slot GROUP BY 1, 2, 3),
+found AS (SELECT o.doc_id, o.item_id, in_item, count(DISTINCT place) AS n_windows, coalesce(max(differs), false) AS changed FROM occ o LEFT JOIN one USING (doc_id, item_id, occ) WHERE coalesce(values, 1) = 1 GROUP BY 1, 2, 3),
+whole AS (SELECT item_id, ' ' || lower(array_to_string(raw, ' ')) || ' ' AS s FROM b WHERE len(raw) >= {de.SHORTEST} AND item_id NOT IN (SELECT item_id FROM place WHERE place > 0)),
+every AS (SELECT doc_id, item_id, n_windows, n_windows / in_item AS coverage, changed FROM found WHERE n_windows / in_item >= {de.COVERED}
+UNION ALL SELECT doc_id, item_id, 1, 1.0, false FROM d JOIN whole ON contains(' ' || lower(array_to_string(raw, ' ')) || ' ', s))
+SELECT doc_id, item_id, max(n_windows)::BIGINT AS n_windows, max(coverage)::DOUBLE AS coverage, max(changed) AS changed FROM every GROUP BY 1, 2"""
+
+
 def op10() -> str:
     rows = [(label, text, True) for label, text in ls.PHRASES] + [(label, text, False) for label, text in ls.TEXTS]
     values = ", ".join(f"({k}, '{label}', '{text}', {str(exact).lower()})" for k, (label, text, exact) in enumerate(rows))
@@ -45,4 +79,4 @@ coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact), '') AS b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": OP3, "op4_super_kmers": OP4, "op5_warc_index": OP5, "op10_license_diagonals": op10()}
+    return {"op1_decontaminate": op1(), "op3_jaccard_join": OP3, "op4_super_kmers": OP4, "op5_warc_index": OP5, "op10_license_diagonals": op10()}
