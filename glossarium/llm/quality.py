@@ -15,8 +15,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out, labelled_sample, logistic_curve
+from .common import held_out, labelled_sample, logistic_curve, named, train_row
 
 #: Labelled texts of either class that are sampled; blocks of each class that build a dictionary; its bytes; bytes of a block.
 PER_CLASS, BLOCKS, DICTIONARY, BLOCK, LEVEL = 3000, 3000, 65_536, 1024, 3
@@ -79,11 +80,16 @@ def _dictionary(blocks: list[bytes]) -> bytes:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """difference and score (0 to 1) of every whole text beside the columns in `keep`; an empty or null text has difference 0."""
+    """difference and score (0 to 1) of every whole text beside the columns in `keep`, which must not have those names.
+
+    An empty or null text has difference 0.  Rows are scored one by one, so repeated rows and null ids need no rule.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.good, model.bad))  # of fixed size
-    data = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *(F.col(c) for c in keep))
-    fields = ", ".join(["difference double", "score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)])
-    return data.mapInArrow(_score(shared, model.slope, model.offset, list(keep)), fields)
+    own = [f"c{k}" for k in range(len(keep))]  # names for the way through the workers, where a name must be plain
+    data = docs.select(F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"), *(named(c).alias(n) for c, n in zip(keep, own, strict=True)))
+    fields = StructType([StructField("difference", DoubleType()), StructField("score", DoubleType()), *data.select(*own).schema])
+    found = data.mapInArrow(_score(shared, model.slope, model.offset, own), fields)
+    return found.select("difference", "score", *(F.col(n).alias(c) for c, n in zip(keep, own, strict=True)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
@@ -92,8 +98,6 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     Dictionaries take at most BLOCKS blocks of each label.  The curve's offset is corrected for the labels' shares among all
     labelled training rows.  Without both labels the score is the smoothed share of good rows everywhere.
     """
-    from .common import train_row
-
     sample = labelled_sample(docs, labels, label_col, per_class, id_col, text_col).withColumn("third", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3))).persist()
     known = labels.filter(train_row(F.col(id_col)) & F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("label")).count().collect()
     share = {0: 1, 1: 1} | {r["label"]: r["count"] for r in known}
@@ -109,6 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted (score of threshold or more) of every document."""
+    """doc_id, held_out, score, predicted (score of threshold or more) of every row; an empty table has none.
+
+    A null doc_id is held out.  Of a doc_id with several labels the larger counts; where rows share a doc_id, all their texts do.
+    """
     found = score(docs, fit(docs, labels), keep=("doc_id",))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "difference")

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import held_out, labelled_sample, logistic_curve, train_row
+from .common import held_out, labelled_sample, logistic_curve, named, train_row
 from .wordhash import chunks
 
 #: At most so many confirmed and unlabelled texts are fitted on; features kept; lengths in bytes of word beginnings.
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     return Model(features, weights * a, bias * a + b, prior) if a > 0 else raw
 
 
-def _score(model: Model, out_col: str):
+def _score(model: Model, names: list[str]):
     def run(batches):
         for b in batches:
             out = []
@@ -158,21 +159,26 @@ def _score(model: Model, out_col: str):
                 text, at = _hits(w, model.features)
                 z = np.bincount(text, weights=model.weights[at] if len(at) else None, minlength=len(own)) + model.bias
                 out.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0)), *b.columns[2:]], ["_row", out_col, *b.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0)), *b.columns[2:]], names)
 
     return run
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = (), out_col: str = "score") -> DataFrame:
-    """Score (column out_col, 0 to 1) of every whole text beside the columns in `keep`.
+    """Score (column out_col, 0 to 1; the name must not be among `keep`) of every whole text beside the columns in `keep`.
 
-    A null or empty text has no features and gets the bias' score.
+    A null or empty text has no features and gets the bias' score.  Every row is scored by itself: rows that repeat a doc_id
+    or a text, or have no doc_id, each get their row back.
     """
-    data = docs.select(F.lit(0).alias("_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *(F.col(c) for c in keep))
-    fields = ", ".join(["_row int", f"`{out_col}` double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)])
-    return data.mapInArrow(_score(model, out_col), fields).drop("_row")
+    own = [f"c{k}" for k in range(len(keep))]  # names for the way through the workers, where a name must be plain
+    data = docs.select(F.lit(0).alias("row"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"), *(named(c).alias(n) for c, n in zip(keep, own, strict=True)))
+    fields = StructType([StructField("row", IntegerType()), StructField("score", DoubleType()), *data.select(*own).schema])
+    return data.mapInArrow(_score(model, fields.names), fields).select(F.col("score").alias(out_col), *(F.col(n).alias(c) for c, n in zip(keep, own, strict=True)))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted (score of a half or more) of every document."""
+    """doc_id, held_out, score, predicted (score of a half or more) of every row; an empty table has none.
+
+    A null doc_id is held out.  Of a doc_id with several labels the larger counts; where rows share a doc_id, all their texts do.
+    """
     return score(docs, fit(docs, labels), keep=("doc_id",)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
