@@ -19,10 +19,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import Words, chunks, long_windows, mix, windows
+from .common import named as column
+from .wordhash import CHUNK, Known, Words, chunks, groups, long_windows, mix, pieces, windows
 
 #: Bytes of packed strings that a task gathers before it sends them, and that a bucket should hold.
 GATHER, BUCKET = 24 << 20, 16 << 20
+#: Pieces that a task counts together, how often one must stand among them to be reported, and in all to be frequent (or once in
+#: 2**20 words, if that is more: the list of the frequent never has more than 2**20 entries).
+COUNTED, OFTEN, FREQUENT = 1 << 22, 8, 4096
 _OUT = ["bucket", "strings", "doc", "version", "lo", "hi"]
 _OUT_TYPE = "bucket int, strings binary, doc long, version long, lo int, hi int"
 
@@ -38,10 +42,12 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :])
 
 
-def super_kmers(w: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def super_kmers(w: Words, k: int, m: int, frequent: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, first window, last window (as word numbers) and minimiser of each run of windows with one minimiser."""
     of = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    low = sliding_minimum(windows(w.hash, m), k - m + 1)
+    piece = windows(w.hash, m)
+    order = (piece >> np.uint64(1)) | (frequent.has(piece).astype(np.uint64) << np.uint64(63))
+    low = sliding_minimum(order, k - m + 1)
     ok = np.flatnonzero(of[: len(low)] == of[k - 1 :]) if len(low) else np.zeros(0, np.int64)
     if not len(ok):
         return ok, ok, ok, low[ok]
@@ -51,9 +57,47 @@ def super_kmers(w: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return of[first], first, last, low[first]
 
 
-def _send(k: int, m: int, buckets: int):
+def _cut_up(batch: pa.RecordBatch, k: int) -> Iterator[tuple[list[int], list[int], Words]]:
+    """The words of a batch's texts, about CHUNK bytes at a time: row of the batch and number of the first word of each text;
+    longer texts come in pieces that share k - 1 words."""
+    for start, stop, own in groups(batch.column(1).to_pylist()):
+        if len(own[0]) > CHUNK:
+            for p, first in pieces(own[0], k - 1):
+                yield [start], [first], Words([p], fold=False)
+        else:
+            yield list(range(start, stop)), [0] * len(own), Words(own, fold=False)
+
+
+def _count(k: int, m: int):
+    """(piece, n) of pieces of m words that stand OFTEN times or more among COUNTED ones of a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        held, size = [], 0
+
+        def flush():
+            value, n = np.unique(np.concatenate(held), return_counts=True)
+            value, n = value[n >= OFTEN], n[n >= OFTEN]
+            return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["piece", "n"])
+
+        for batch in batches:
+            for _, _, w in _cut_up(batch, k):
+                n = np.diff(w.first)
+                of = np.repeat(np.arange(len(n)), n)
+                piece = windows(w.hash, m)
+                held.append(piece[(of[: len(piece)] == of[m - 1 :][: len(piece)]) & (n[of[: len(piece)]] >= k)] if len(piece) else piece)
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    return run
+
+
+def _send(k: int, m: int, buckets: int, frequent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, known = zstandard.ZstdCompressor(level=3), Known(frequent.value)
         held: dict[bytes, list] = {}  # string -> [smallest document, its version and places, minimiser]
         size = 0
         repeats: list[tuple[int, int, int, int]] = []
@@ -78,14 +122,14 @@ def _send(k: int, m: int, buckets: int):
             held, size, repeats = {}, 0, []
 
         for batch in batches:
-            version = batch.column(2).to_pylist()
-            at = 0
-            for ids, w in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), fold=False):
-                own_version, at = version[at : at + len(ids)], at + len(ids)
-                text, first, last, low = super_kmers(w, k, m)
+            ids, versions = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for rows, shift, w in _cut_up(batch, k):
+                text, first, last, low = super_kmers(w, k, m, known)
                 packed, begin, end = w.packed()
-                for t, p, q, a, b, x in zip(text.tolist(), (first - w.first[text]).tolist(), (last - w.first[text]).tolist(), begin[first].tolist(), end[last + k - 1].tolist(), low.tolist(), strict=True):
-                    s, doc = packed[a:b], ids[t]
+                own_version, own_shift = [versions[r] for r in rows], np.array(shift, dtype=np.int64)
+                p_all, q_all = first - w.first[text] + own_shift[text], last - w.first[text] + own_shift[text]
+                for t, p, q, a, b, x in zip(text.tolist(), p_all.tolist(), q_all.tolist(), begin[first].tolist(), end[last + k - 1].tolist(), low.tolist(), strict=True):
+                    s, doc = packed[a:b], ids[rows[t]]
                     have = held.get(s)
                     if have is None:
                         held[s] = [doc, [(own_version[t], p)], x]
@@ -145,22 +189,31 @@ def _settle(k: int):
             begin.append(w.start[first] - text_at)
             end.append(w.end[first + k - 1] - text_at)
         value, string, offset, begin, end = (np.concatenate(x) for x in (value, string, offset, begin, end))
-        order = np.lexsort((doc[string], value))
-        new = np.concatenate([[True], value[order][1:] != value[order][:-1]])
-        group = np.cumsum(new) - 1
-        head = order[np.flatnonzero(new)][group]  # a window of the group's smallest document
-        other = np.empty(len(order), dtype=np.int64)
-        other[order] = head
-        hit = np.flatnonzero(doc[string] > doc[string[other]])  # in order of string and offset
-        if not len(hit):
-            return
-        o = other[hit]
-        new = np.concatenate([[True], (np.diff(string[hit]) != 0) | (np.diff(offset[hit]) != 1) | (np.diff(string[o]) != 0) | (np.diff(offset[o]) != 1)])
-        at = np.flatnonzero(new)
-        first, last = hit[at], hit[np.concatenate([at[1:], [len(hit)]]) - 1]
-        same = [strings[s][a:b] == strings[t][c:d] for s, a, b, t, c, d in zip(string[first].tolist(), begin[first].tolist(), end[last].tolist(), string[other[first]].tolist(), begin[other[first]].tolist(), end[other[last]].tolist(), strict=True)]
-        if not all(same):
-            raise ValueError("two windows share a 64-bit hash; change the base in wordhash")
+        _, value = np.unique(value, return_inverse=True)
+        while True:
+            order = np.lexsort((doc[string], value))
+            new = np.concatenate([[True], value[order][1:] != value[order][:-1]])
+            group = np.cumsum(new) - 1
+            head = order[np.flatnonzero(new)][group]  # a window of the group's smallest document
+            other = np.empty(len(order), dtype=np.int64)
+            other[order] = head
+            hit = np.flatnonzero(doc[string] > doc[string[other]])  # in order of string and offset
+            if not len(hit):
+                return
+            o = other[hit]
+            new = np.concatenate([[True], (np.diff(string[hit]) != 0) | (np.diff(offset[hit]) != 1) | (np.diff(string[o]) != 0) | (np.diff(offset[o]) != 1)])
+            at = np.flatnonzero(new)
+            first, last = hit[at], hit[np.concatenate([at[1:], [len(hit)]]) - 1]
+            same = [strings[s][a:b] == strings[t][c:d] for s, a, b, t, c, d in zip(string[first].tolist(), begin[first].tolist(), end[last].tolist(), string[other[first]].tolist(), begin[other[first]].tolist(), end[other[last]].tolist(), strict=True)]
+            if all(same):
+                break
+            # windows of one hash that differ: their groups are told apart by the text itself
+            mixed = np.zeros(int(value.max()) + 1, dtype=bool)
+            for x, y in zip(first[~np.array(same)].tolist(), last[~np.array(same)].tolist(), strict=True):
+                mixed[value[x : y + 1]] = True
+            number: dict[bytes, int] = {}
+            for x in np.flatnonzero(mixed[value]).tolist():
+                value[x] = len(mixed) + number.setdefault(strings[string[x]][begin[x] : end[x]], len(number))
         rank = np.argsort(place[:, 0], kind="stable")
         place = place[rank]
         lo, n = np.searchsorted(place[:, 0], string[first]), None
@@ -176,15 +229,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list] = [[], [], [], []]
         for doc, text, ranges in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            n = len(words)
-            if ranges:
-                kept, at = [], 0
-                for r in sorted(ranges, key=lambda r: r["lo"]):
-                    kept += words[at : r["lo"]]
-                    at = max(at, r["hi"])
-                words = kept + words[at:]
-            for c, v in zip(out, (doc, n, n - len(words), b" ".join(words).decode("utf-8", "surrogatepass")), strict=True):
+            n, parts = 0, []
+            ranges = sorted((r["lo"], r["hi"]) for r in ranges or [])
+            gone = at = 0
+            for lo, hi in ranges:
+                gone, at = gone + max(hi - max(lo, at), 0), max(at, hi)
+            for piece, _ in pieces((text or "").encode("utf-8", "surrogatepass"), 0):
+                words = piece.split()
+                if ranges:
+                    kept, at = [], 0
+                    for lo, hi in ranges:
+                        kept += words[at : max(lo - n, at)]
+                        at = max(at, hi - n)
+                    parts += kept + words[at:]
+                else:
+                    parts += words
+                n += len(words)
+            for c, v in zip(out, (doc, n, gone, b" ".join(parts).decode("utf-8", "surrogatepass")), strict=True):
                 c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
@@ -200,17 +261,26 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     version is the 64-bit hash of the text, which tells rows with one doc_id apart.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("version")).filter("doc is not null")
+    named = _versions(docs, id_col, text_col).filter("doc is not null")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     volume = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("v")).first()["v"]
     places = max(parts, math.ceil(3.3 * volume / BUCKET))
-    sent = named.mapInArrow(_send(k, m, 2 * places), _OUT_TYPE)
+    least = max(FREQUENT, volume >> 22)  # words are four bytes or more, mostly
+    counted = named.select("doc", "text").mapInArrow(_count(k, m), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    often = [r["piece"] for r in counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "piece").limit(1 << 20).select("piece").collect()]
+    frequent = docs.sparkSession.sparkContext.broadcast(np.array(often, dtype=np.int64).view(np.uint64))
+    sent = named.mapInArrow(_send(k, m, 2 * places, frequent), _OUT_TYPE)
     return sent.repartition(places, "bucket").mapInArrow(_settle(k), "doc long, version long, lo int, hi int")
 
 
+def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = column(text_col).cast("string")
+    return docs.select(column(id_col).cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("version"))
+
+
 def _with_ranges(docs: DataFrame, id_col: str, text_col: str, k: int, m: int) -> DataFrame:
     ranges = repeats(docs, id_col, text_col, k, m).groupBy("doc", "version").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    text = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("version"))
+    text = _versions(docs, id_col, text_col)
     return text.join(ranges, ["doc", "version"], "left").select("doc", "text", "ranges")
 
 
@@ -219,7 +289,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
 
     Words are cut at white space and compared unchanged.  A word goes if a window of k words that covers it also starts in a
     document with a smaller doc_id; windows are those of the input.  A null text has no words; texts under k words stay whole.
-    Rows with one doc_id never make each other's windows repeats.  A row with a null doc_id is kept whole and repeats nothing.
+    Rows with one doc_id never make each other's windows repeats, and rows that repeat one another come back as often as they
+    are given.  A row with a null doc_id is kept whole and repeats nothing.  An empty table gives no rows.
     """
     return _with_ranges(docs, id_col, text_col, k, m).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
 
