@@ -20,8 +20,8 @@ SHINGLE, BIN_BITS, BYTE = 5, 8, 255
 BINS = 1 << BIN_BITS
 #: Bits of a hash below its bin; tries by a fixed order before the general rule; documents of an id range.
 LOW, TRIES, RANGE = 63 - BIN_BITS, 12, 4000
-#: Id ranges at most: their starts are a literal of the plan.
-RANGES = 4096
+#: Id ranges at most: their starts are a literal of the plan, half a megabyte; starts that are looked at together.
+RANGES, SPAN = 1 << 16, 256
 
 
 def with_bins(df: DataFrame, text_col: str, out: str) -> DataFrame:
@@ -62,43 +62,54 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _with_next(docs: DataFrame) -> DataFrame:
-    """Each document with the text of the next by doc_id; the first follows the last.
+    """Each document with the text of the next by doc_id (the first follows the last) and its place in the order of its range.
 
     Documents are dealt by id range; a range's first document is also sent, as a guest, to the end of the range before it, so
-    texts move once and no task sees more than a range.  Null ids stand before all others; rows with one id stand in the
-    order of their texts.
+    texts move once and no task sees more than a range.  Rows with one id stand in the order of their texts.  A row without an
+    id has no place in that order: it is its own next, and such rows are dealt by their texts' hashes.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = docs.count()
     ranges = min(RANGES, max(4 * parts, math.ceil(n / RANGE)))
     shares = [k / ranges for k in range(1, ranges)]
     low, cuts = docs.agg(F.min("doc_id"), F.percentile_approx("doc_id", shares, 100_000)).first() if n else (None, None)
-    starts = sorted({x for x in [low, *(cuts or [])] if x is not None})
-    if not starts:
-        starts = [0]
-    literal = f"array({', '.join(f'{x}L' for x in starts)})"
-    place = docs.withColumn("range", F.expr(f"greatest(size(filter({literal}, s -> s <= doc_id)) - 1, 0)"))
-    here = "named_struct('range', range, 'guest', false)"
-    there = f"named_struct('range', pmod(range - 1, {len(starts)}), 'guest', true)"
-    dealt = place.select("doc_id", "text", F.expr(f"explode_outer(if(coalesce(array_contains({literal}, doc_id), false), array({here}, {there}), array({here})))").alias("at"))
-    dealt = dealt.select("doc_id", "text", "at.range", "at.guest").repartition(min(max(parts, len(starts) // 4), len(starts)), "range")
-    return dealt.withColumn("next_text", F.lead("text").over(Window.partitionBy("range").orderBy("guest", "doc_id", "text")))
+    starts = sorted({x for x in [low, *(cuts or [])] if x is not None}) or [0]
+    literal = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")  # noqa: E731  folded to one literal
+    # the range is the number of starts up to the id: those at every SPAN-th place are counted first, then the SPAN behind
+    every, all_starts = literal(starts[::SPAN]), literal(starts)
+    upto = lambda xs: F.size(F.filter(xs, lambda s: s <= F.col("doc_id")))
+    rough = F.greatest(upto(every) - 1, F.lit(0)) * SPAN
+    place = docs.withColumn("rough", rough).withColumn("near", F.slice(all_starts, F.col("rough") + 1, F.lit(SPAN)))
+    place = place.withColumn("range", F.greatest(F.col("rough") + upto(F.col("near")) - 1, F.lit(0)))
+    place = place.withColumn("guest", F.coalesce(F.array_contains("near", F.col("doc_id")), F.lit(False)))
+    here, there = F.struct(F.col("range"), F.lit(False).alias("guest")), F.struct(F.pmod(F.col("range") - 1, F.lit(len(starts))).alias("range"), F.lit(True).alias("guest"))
+    own = F.struct(F.pmod(F.hash("text"), F.lit(len(starts))).alias("range"), F.lit(False).alias("guest"))
+    at = F.when(F.col("doc_id").isNull(), F.array(own)).when(F.col("guest"), F.array(here, there)).otherwise(F.array(here))
+    dealt = place.select("doc_id", "text", F.explode_outer(at).alias("at")).select("doc_id", "text", "at.range", "at.guest")
+    dealt = dealt.repartition(min(max(parts, len(starts) // 4), len(starts)), "range")
+    order = Window.partitionBy("range").orderBy(F.col("doc_id").isNull(), "guest", "doc_id", "text")
+    after = F.when(F.col("doc_id").isNotNull(), F.lead("text").over(order))
+    return dealt.withColumn("next_text", after).withColumn("place", F.row_number().over(order))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next text, and their likeness.
 
     The edited text has its last floor(n / 2) code points replaced by the first as many (or all) of the next document's.  A
-    null text is empty; the only document is its own next.
+    null text is empty; the only document is its own next.  "Next" is by ascending doc_id; rows that share one stand in the
+    order of their texts, and each is the next of the one before it, so equal rows come back as often as they are given.  A row
+    without a doc_id is its own next.  An empty table gives no rows.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     df = _with_next(text).withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     df = df.withColumn("edited", F.concat(F.expr("left(text, n_chars - int(floor(n_chars / 2)))"), F.when(half > 0, F.expr("left(coalesce(next_text, text), int(floor(n_chars / 2)))")).otherwise("")))
-    df = df.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("key", F.xxhash64("text"))
+    df = df.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("alone", F.col("next_text").isNull())
     df = with_bins(df, "text", "bins").drop("text", "next_text")
     df = with_bins(df, "edited", "edited_bins").drop("edited")
-    df = df.withColumn("next_bins", F.lead("bins").over(Window.partitionBy("range").orderBy("guest", "doc_id", "key"))).filter("not guest")
+    # the order is the one that gave the next text: its places, which guests have too
+    after = F.lead("bins").over(Window.partitionBy("range").orderBy("place"))
+    df = df.withColumn("next_bins", F.when(F.col("alone"), F.col("bins")).otherwise(after)).filter("not guest")
     return df.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", packed(F.col("bins")).alias("fingerprint"), packed(F.col("edited_bins")).alias("edited_fingerprint"),
         likeness(F.col("bins"), F.col("edited_bins")).alias("near_edited"), likeness(F.col("bins"), F.col("next_bins")).alias("near_next"),
