@@ -10,6 +10,7 @@ a partition is cut into powers of two, which take no padding.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -32,6 +33,9 @@ LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+"
 #: In these characters, one by one, lower() and the word pattern agree between libraries, and nothing composes.
 PLAIN = r"[\t\n\r\x20-\x7e\xa1-įı-ſ]*"
+#: The normaliser and the word cutter of a tokenizer file for which WORDS and PLAIN are right.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTTER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 _FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [f.split()[0] for f in _FIELDS.split(", ")]
 
@@ -66,7 +70,11 @@ class _Rows:
 
 
 class WordEncoder:
-    """Token ids of texts.  Words of plain texts are encoded once each and remembered; other texts go through the tokenizer whole."""
+    """Token ids of texts.
+
+    Words of plain texts are encoded once each and remembered, if the tokenizer cuts and marks words in the one way that this
+    knows; other texts, and all texts of other tokenizers, go through the tokenizer whole.
+    """
 
     def __init__(self, definition: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -77,6 +85,8 @@ class WordEncoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.codes, self.rows = _Codes(), _Rows()
+        d = json.loads(definition)
+        self.by_word = d.get("normalizer") == NORMALIZER and d.get("pre_tokenizer") == CUTTER and not d.get("post_processor") and d["model"].get("end_of_word_suffix") == "</w>" and all("<|" in t["content"] for t in d.get("added_tokens") or [])
 
     def _learn(self, words: list[str]) -> None:
         """Encode words that were not met before, TOGETHER at a time; their last tokens tell them apart."""
@@ -94,7 +104,7 @@ class WordEncoder:
         words, whole = [], {}
         counts = np.zeros(len(texts), dtype=np.int64)
         for k, t in enumerate(texts):
-            if self.plain(t) and "<|" not in t:
+            if self.by_word and self.plain(t) and "<|" not in t:
                 own = self.find(t.lower())
                 counts[k] = len(own)
                 words += own
