@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lower_latin
+from .common import lower_latin, named, row_key
 
 GRAM = 3
 #: Words are runs of ASCII letters, digits and anything beyond ASCII.
@@ -40,6 +40,8 @@ NEAR, COVERED = 4, 0.5
 
 def templates(spark, phrases=PHRASES, texts=TEXTS) -> DataFrame:
     """One row per template position: gram hash, template number, position, label, grams in all, exact or voted."""
+    if short := [text for _, text in [*phrases, *texts] if text.count(" ") < GRAM - 1]:
+        raise ValueError(f"a template needs {GRAM} words or more: {short[0]!r}")
     rows = [(k, label, exact, text.split(" ")) for k, (label, text, exact) in enumerate([(a, t, True) for a, t in phrases] + [(a, t, False) for a, t in texts])]
     t = spark.createDataFrame(rows, "tpl int, label string, exact boolean, words array<string>").withColumn("tpos", F.explode(F.expr(f"sequence(0, size(words) - {GRAM})")))
     return t.select(
@@ -52,40 +54,46 @@ def templates(spark, phrases=PHRASES, texts=TEXTS) -> DataFrame:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, texts=TEXTS) -> DataFrame:
     """Verified spans, and a row with null label for every document.
 
-    Columns: doc_id, n_words, label, exact, start, end (words, end excluded), score (share of the template's grams).  A null
-    text has no words; a text under three words has no grams.  Rows that share a doc_id are read as one document's texts:
-    their spans are pooled and n_words is the largest.  A null doc_id is a document like any other.
+    Columns: row (its row_key), n_words, copies (input rows of that key), label, exact, start, end (words, end excluded), score
+    (share of the template's grams).  A null text has no words; a text under three words has no grams.  Rows that share a
+    doc_id, or have none, are told apart by their texts.
     """
     t = templates(docs.sparkSession, phrases, texts)
     mark = docs.sparkSession.createDataFrame([(0, "", -1, 0, None, False, 1)], "gram long, gram_text string, tpl int, tpos int, label string, exact boolean, grams int")
-    words = docs.select(F.col(id_col).alias("doc_id"), F.array_remove(F.split(lower_latin(F.coalesce(F.col(text_col), F.lit(""))), NOT_WORD), "").alias("words"))
+    words = docs.select(row_key(id_col, text_col).alias("row"), F.array_remove(F.split(lower_latin(F.coalesce(named(text_col), F.lit(""))), NOT_WORD), "").alias("words"))
     grams = words.withColumn(
         "all_grams",  # the first is a mark that keeps the document
         F.expr(f"concat(array(0L), if(size(words) < {GRAM}, array(), transform(sequence(0, size(words) - {GRAM}), i -> xxhash64(words[i], words[i + 1], words[i + 2]))))"),
     )
     # outer: the array is never empty, and the optimiser does not copy its expression into a filter below
-    hits = grams.select("doc_id", "words", F.posexplode_outer("all_grams").alias("pos", "gram")).join(F.broadcast(t.unionByName(mark)), "gram")
+    hits = grams.select("row", "words", F.posexplode_outer("all_grams").alias("pos", "gram")).join(F.broadcast(t.unionByName(mark)), "gram")
     hits = hits.filter("tpl = -1 and pos = 0 or tpl >= 0 and pos > 0 and gram_text = concat_ws(' ', slice(words, pos, 3))")
-    hits = hits.select("doc_id", F.size("words").alias("n_words"), "tpl", "label", "exact", "grams", "tpos", (F.col("pos") - 1).alias("at")).repartition("doc_id")
-    lines = hits.groupBy("doc_id", "tpl", "label", "exact", "grams", (F.col("at") - F.col("tpos")).alias("diagonal")).agg(
-        F.max("n_words").alias("n_words"), F.collect_set("tpos").alias("seen"), F.min("at").alias("start"), F.max(F.col("at") + GRAM).alias("end")
+    hits = hits.select("row", F.size("words").alias("n_words"), "tpl", "label", "exact", "grams", "tpos", (F.col("pos") - 1).alias("at")).repartition("row")
+    lines = hits.groupBy("row", "tpl", "label", "exact", "grams", (F.col("at") - F.col("tpos")).alias("diagonal")).agg(
+        F.max("n_words").alias("n_words"), F.count_if(F.col("tpl") == -1).alias("copies"), F.collect_set("tpos").alias("seen"), F.min("at").alias("start"), F.max(F.col("at") + GRAM).alias("end")
     )
-    order = Window.partitionBy("doc_id", "tpl").orderBy("diagonal")
+    order = Window.partitionBy("row", "tpl").orderBy("diagonal")
     lines = lines.withColumn("new", F.coalesce(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR), F.lit(True)).cast("int"))
     lines = lines.withColumn("span", F.sum("new").over(order))
-    merged = lines.groupBy("doc_id", "tpl", "label", "exact", "grams", "span").agg(
-        F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("votes"), F.min("start").alias("start"), F.max("end").alias("end")
+    merged = lines.groupBy("row", "tpl", "label", "exact", "grams", "span").agg(
+        F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("votes"), F.min("start").alias("start"), F.max("end").alias("end")
     )
     share = F.col("votes") / F.col("grams")
-    return merged.filter(F.col("label").isNull() | F.when(F.col("exact"), F.col("votes") == F.col("grams")).otherwise(share >= COVERED)).select("doc_id", "n_words", "label", "exact", "start", "end", F.when(F.col("label").isNull(), 0.0).otherwise(share).alias("score"))
+    return merged.filter(F.col("label").isNull() | F.when(F.col("exact"), F.col("votes") == F.col("grams")).otherwise(share >= COVERED)).select("row", "n_words", "copies", "label", "exact", "start", "end", F.when(F.col("label").isNull(), 0.0).otherwise(share).alias("score"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: n_words, n_base (places of a phrase), first_word, last_word, base_labels, labels, score."""
-    s = spans(docs, id_col, text_col)
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, texts=TEXTS) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_base (places of a phrase), first_word, last_word, base_labels, labels, score.
+
+    phrases and texts are (label, lower-case words joined by one space).  Rows that share a doc_id or have none, and rows that
+    repeat one another, each get their own; a null or empty text has no words and no labels.
+    """
+    s = spans(docs, id_col, text_col, phrases, texts)
     labels = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     base = F.when(F.col("exact") & F.col("label").isNotNull(), F.col("start"))
-    return s.groupBy("doc_id").agg(
-        F.max("n_words").cast("long").alias("n_words"), F.count(base).alias("n_base"), F.min(base).cast("long").alias("first_word"), F.max(base).cast("long").alias("last_word"),
+    one = s.groupBy("row").agg(
+        F.max("n_words").cast("long").alias("n_words"), F.max("copies").alias("copies"), F.count(base).alias("n_base"), F.min(base).cast("long").alias("first_word"), F.max(base).cast("long").alias("last_word"),
         labels(F.when(F.col("exact"), F.col("label"))).alias("base_labels"), labels("label").alias("labels"), F.max("score").alias("score"),
     )
+    each = one.withColumn("copy", F.explode_outer(F.expr("sequence(1, copies)")))
+    return each.select(F.col("row.id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
