@@ -6,37 +6,33 @@
 4. secrets: confirmed secrets in a text are replaced by a mark; every document stays.
 5. packing: the rest is packed into sequences of 2048 tokens; a row for each piece.
 
-Nulls, empty texts and repeated rows are handled as each operator's docstring says.  Rows with a null doc_id, or with
-the doc_id of another row, are never duplicates of that row.  Columns beside doc_id, text and n_chars pass through unread.
+Every stage decides by rows, not by doc_ids: rows without a doc_id, or with another row's, neither remove nor change one another
+unless their texts do.  Of rows that repeat one another near_duplicates keeps one, but rows without a doc_id are never duplicates.
+Null and empty texts stay in all stages.
+Columns beside doc_id, text and n_chars, whatever their names, pass through unread.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glossarium.llm import decontaminate, jaccard_join, packing, secrets
 from glossarium.llm import toxicity as pu
-from glossarium.llm.common import settled, table
+from glossarium.llm.common import fresh, named, settled, table
 from glossarium.llm.queries import tokenizer_path
 
 #: Stages 1 and 4 rest on trained models and stage 5 on a tokenizer, which SQL does not express.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids (one not-null column)."""
-    return docs.join(ids.toDF("_gone").distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    return pu.score(docs, pu.fit(docs, table(spark, sf_dir, "labels")), keep=tuple(columns), out_col="_toxicity").filter("_toxicity < 0.5").select(*(F.col(f"`{c}`") for c in columns))
+    model = pu.fit(docs, table(spark, sf_dir, "labels"))
+    (score,) = fresh(docs, "score")
+    return pu.score(docs, model, keep=tuple(docs.columns), out_col=score).filter(named(score) < 0.5).select(*map(named, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.join(docs)
-    return _without(docs, groups.filter("doc_id <> component_id").select("doc_id"))
+    return jaccard_join.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
