@@ -84,7 +84,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     values = F.when(F.length("behind") < LEAST_BEHIND, F.col("shapes")).otherwise(F.concat(F.array("behind"), other))
     before, after = F.slice("words", F.greatest(at - (AROUND - 1), F.lit(1)), F.least(at, F.lit(AROUND))), F.slice("words", at + 2, F.lit(AROUND))
     each = each.select("row", "word_at", "word", values.alias("values"), before.alias("before"), after.alias("after"))
-    return each.select("row", "word_at", F.explode("values").alias("value"), "word", F.lower(F.array_join("before", " ")).alias("before"), F.lower(F.array_join("after", " ")).alias("after"))
+    # outer: else the optimiser asks for the size of `values` in a filter for every word, which compiled code cannot hold, and
+    # each word would then be copied with all words of its text
+    each = each.select("row", "word_at", F.explode_outer("values").alias("value"), "word", F.lower(F.array_join("before", " ")).alias("before"), F.lower(F.array_join("after", " ")).alias("after"))
+    return each.filter("value is not null")
 
 
 def with_features(found: DataFrame, words: list[str], pairs: list[str]) -> DataFrame:
