@@ -17,6 +17,7 @@ from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -50,6 +51,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with `id`: its rows' numbers from 0, in their order.  The rows are written first, so that the numbers stay."""
+    bits = 33  # of a row's place in its partition, in what Spark gives out
+    rows = kept(df.withColumn("_at", F.monotonically_increasing_id()), name).withColumn("_part", F.shiftright("_at", bits))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_first"))  # a row a partition
+    place = F.col("_at") - F.shiftleft("_part", bits)
+    return rows.join(F.broadcast(first), "_part").select(*df.columns, (F.col("_first") + place).alias("id"))
+
+
 def _size(n: int) -> int:
     return min(max(-(-n // BLOCKS), LEAST), MOST)
 
