@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalar import f1, kappa, ratio
+from .lowrank import kept
 
 
 def confusion(scored: DataFrame) -> DataFrame:
@@ -25,16 +27,16 @@ def measures(scored: DataFrame, truth_size: DataFrame | None = None) -> DataFram
     return df.drop("tp", "fp", "fn", "tn")
 
 
-def curve(scored: DataFrame) -> DataFrame:
-    """(threshold, precision, recall, f1) for every distinct score, used as `score >= threshold`.
+def curve(scored: DataFrame, truth_size: DataFrame | None = None) -> DataFrame:
+    """(threshold, precision, recall, f1) for every distinct score, used as `score >= threshold`; with truth_size (one row, nb_tot)
+    also true_recall and true_f1, over all of the truth.
 
     Scores are counted first; the running sums then go over range partitions: sums inside each, and the partitions' totals,
-    one row each, added up in front, so no task takes all scores.
+    one row each, added up in front, so no task takes all scores.  The ranges are written before they are summed, since a range
+    that is made again after a loss could have other bounds.
     """
     points = scored.groupBy(F.col("score").alias("threshold")).agg(F.count_if(F.col("is_lvc") == "YES").alias("tp"), F.count("*").alias("n"))
-    from pyspark.sql.window import Window
-
-    spread = points.repartitionByRange(F.desc("threshold")).withColumn("part", F.spark_partition_id()).persist()
+    spread = kept(points.repartitionByRange(F.desc("threshold")).withColumn("part", F.spark_partition_id()), "curve")
     own = Window.partitionBy("part").orderBy(F.desc("threshold"))
     totals = spread.groupBy("part").agg(F.sum("tp").alias("part_tp"), F.sum("n").alias("part_n"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -42,5 +44,8 @@ def curve(scored: DataFrame) -> DataFrame:
     positives = spread.agg(F.sum("tp").alias("positives"))
     df = spread.join(F.broadcast(totals), "part").crossJoin(F.broadcast(positives))  # a row for each partition; one row
     df = df.select("threshold", (F.sum("tp").over(own) + F.col("tp_before")).alias("tp"), (F.sum("n").over(own) + F.col("n_before")).alias("n"), "positives")
-    df = df.select("threshold", ratio(F.col("tp"), F.col("n")).alias("precision"), ratio(F.col("tp"), F.col("positives")).alias("recall"))
-    return df.withColumn("f1", f1(F.col("precision"), F.col("recall")))
+    measured = ["threshold", ratio(F.col("tp"), F.col("n")).alias("precision"), ratio(F.col("tp"), F.col("positives")).alias("recall")]
+    if truth_size is None:
+        return df.select(*measured).withColumn("f1", f1(F.col("precision"), F.col("recall")))
+    df = df.crossJoin(F.broadcast(truth_size)).select(*measured, ratio(F.col("tp"), F.col("nb_tot")).alias("true_recall"))
+    return df.withColumn("f1", f1(F.col("precision"), F.col("recall"))).withColumn("true_f1", f1(F.col("precision"), F.col("true_recall")))
