@@ -1,6 +1,7 @@
 """The registered queries of the corpus operators, over tokens derived from `documents`, and the SQL that states each result.
 
-Every query runs over whole tables and whole texts.  Doubles are rounded to nine places on both sides.
+Every query runs over whole tables and whole texts.  Doubles are rounded to nine places on both sides.  Tokens and arcs that a
+query reads more than once are written first, so that the texts are read and cut once.
 """
 
 from __future__ import annotations
@@ -27,8 +28,13 @@ def _ann(spark, sf_dir):
     return annotate.annotate(_documents(spark, sf_dir))
 
 
-def _arcs(spark, sf_dir):
-    return pairs.arcs(_ann(spark, sf_dir), *KEYS)
+def _tokens(spark, sf_dir):
+    return lowrank.kept(_ann(spark, sf_dir), "tokens")
+
+
+def _arcs(spark, sf_dir, tokens=None):
+    """Arcs, written, as the features read them several times."""
+    return lowrank.kept(pairs.arcs(_tokens(spark, sf_dir) if tokens is None else tokens, *KEYS), "arcs")
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -43,11 +49,37 @@ def sentence_stats(spark, sf_dir):
     return annotate.tokenize(_documents(spark, sf_dir)).groupBy("doc_id").agg(F.count_distinct("sid").alias("sentences"), F.count("*").alias("tokens"), F.max("id").alias("longest"))
 
 
+def _lines(spark, sf_dir):
+    """CoNLL-U lines of the derived tokens with all that the parser has to decide: a document is a file (its number), whose sentences
+    open with a text line.  By the number of a token, 7 stands in a range, 11 has a `#` and 13 ends after its part of speech; a
+    document of an even number without a text line begins in the middle; lemmas that begin with é get a `!` in front."""
+    t = _ann(spark, sf_dir)
+    cell = F.when(F.col("lemma").startswith("é"), F.concat(F.lit("!"), "lemma")).otherwise(F.col("lemma"))
+    number = F.when(F.col("id") == 7, F.lit("7-8")).otherwise(F.col("id").cast("string"))
+    form = F.when(F.col("id") == 11, F.lit("a#b")).otherwise(F.lit("_"))
+    short = F.concat_ws("\t", number, form, cell, "upos")
+    line = F.when(F.col("id") == 13, short).otherwise(F.concat_ws("\t", short, F.lit("_"), F.lit("_"), F.col("head").cast("string"), "deprel", F.lit("_"), F.lit("_")))
+    block = F.concat(F.lit("# text = "), F.max("n").cast("string"), F.lit("\n"), F.array_join(F.expr("sort_array(collect_list(struct(id, line))).line"), "\n"), F.lit("\n\n"))
+    sentences = t.select(*KEYS, "id", line.alias("line"), F.col("sid").alias("n")).groupBy(*KEYS).agg(block.alias("block"))
+    files = sentences.groupBy("doc_id").agg(F.array_join(F.expr("sort_array(collect_list(struct(sid, block))).block"), "").alias("text"))
+    text = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "^# text = [0-9]+\n", "")).otherwise(F.col("text"))
+    lines = files.select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split(text, "\n")).alias("line_no", "value"))
+    return lowrank.kept(lines, "lines")
+
+
+def parser_tokens(spark, sf_dir):
+    """What the parser makes of those lines: rejected sentences, ranges, missing cells, lines with `#`."""
+    t = conllu.parse_tokens(_lines(spark, sf_dir))
+    return t.select(F.col("file").cast("long").alias("doc_id"), F.col("sid").cast("long").alias("sid"), F.col("ord").cast("long").alias("ord"), F.col("id").cast("long").alias("id"), "lemma", "upos", F.col("head").cast("long").alias("head"), "deprel")
+
+
+def parser_sentences(spark, sf_dir):
+    return conllu.parse_sentences(_lines(spark, sf_dir)).select(F.col("file").cast("long").alias("doc_id"), F.col("sid").cast("long").alias("sid"), "text")
+
+
 def reject_sentences(spark, sf_dir):
-    """Sentences kept by the rule that a noun or verb beginning with one of three letters rejects its sentence."""
-    t = annotate.tokenize(_documents(spark, sf_dir))
-    odd = F.col("upos").isin("NOUN", "VERB") & F.substring("lemma", 1, 1).isin("é", "ä", "ñ")
-    return t.groupBy(*KEYS).agg(F.max(odd).alias("odd"), F.count("*").alias("n")).filter("not odd").select(*KEYS, "n")
+    """Tokens that are left of each sentence by the parser's rule on nouns and verbs."""
+    return parser_tokens(spark, sf_dir).groupBy("doc_id", "sid").agg(F.count("*").alias("n"))
 
 
 def conllu_roundtrip(spark, sf_dir):
@@ -56,7 +88,7 @@ def conllu_roundtrip(spark, sf_dir):
     blocks = conllu.render(t, *KEYS)
     lines = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sid", "block"))).alias("b"))
     lines = lines.select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split(F.array_join("b.block", ""), "\n")).alias("line_no", "value"))
-    return conllu.parse_tokens(lines).select(F.col("file").cast("long").alias("doc_id"), F.col("sid").cast("long").alias("sentence"), F.col("id").cast("long").alias("id"), "lemma", "upos", F.col("head").cast("long").alias("head"), "deprel")
+    return conllu.parse_tokens(lowrank.kept(lines, "lines")).select(F.col("file").cast("long").alias("doc_id"), F.col("sid").cast("long").alias("sentence"), F.col("id").cast("long").alias("id"), "lemma", "upos", F.col("head").cast("long").alias("head"), "deprel")
 
 
 def arcs(spark, sf_dir):
@@ -88,7 +120,7 @@ def association(spark, sf_dir):
 
 
 def _between(spark, sf_dir):
-    ann = _ann(spark, sf_dir)
+    ann = _tokens(spark, sf_dir)
     return patterns.between(ann, pairs.arcs(ann, *KEYS), *KEYS)
 
 
@@ -101,13 +133,15 @@ def patterns_top20(spark, sf_dir):
 
 
 def pattern_freq(spark, sf_dir):
-    return _rounded(patterns.frequencies(_between(spark, sf_dir)))
+    return _rounded(patterns.frequencies(lowrank.kept(_between(spark, sf_dir), "between")))
 
 
 def feature_matrix(spark, sf_dir):
-    found = _between(spark, sf_dir)
+    ann = _tokens(spark, sf_dir)
+    arc = _arcs(spark, sf_dir, ann)
+    found = lowrank.kept(patterns.between(ann, arc, *KEYS), "between")
     top = [r["pattern"] for r in patterns.most_frequent(found).collect()]  # twenty
-    return _rounded(patterns.matrix(pairs.association(_arcs(spark, sf_dir)), patterns.frequencies(found), top))
+    return _rounded(patterns.matrix(pairs.association(arc), patterns.frequencies(found), top))
 
 
 def _cooc(spark, sf_dir):
@@ -119,11 +153,12 @@ def cooc_counts(spark, sf_dir):
 
 
 def cooc_rowsum(spark, sf_dir):
-    return cooc.row_sums(_cooc(spark, sf_dir))
+    return cooc.token_row_sums(annotate.tokenize(_documents(spark, sf_dir)), *KEYS)
 
 
 def cooc_norm(spark, sf_dir):
-    return _rounded(cooc.normalised(_cooc(spark, sf_dir)))
+    t = lowrank.kept(annotate.tokenize(_documents(spark, sf_dir)), "tokens")
+    return _rounded(cooc.normalised(cooc.counts(t, *KEYS), cooc.token_row_sums(t, *KEYS)))
 
 
 def expr_cooc(spark, sf_dir):
@@ -131,12 +166,14 @@ def expr_cooc(spark, sf_dir):
 
 
 def expr_weights(spark, sf_dir):
-    return _rounded(cooc.expression_weights(cooc.expression_counts(_ann(spark, sf_dir), *KEYS), cooc.row_sums(_cooc(spark, sf_dir))))
+    ann = _tokens(spark, sf_dir)
+    return _rounded(cooc.expression_weights(cooc.expression_counts(ann, *KEYS), cooc.token_row_sums(ann, *KEYS)))
 
 
-def _truth(spark, sf_dir):
-    ann = _ann(spark, sf_dir)
-    return truth.constructions(annotate.with_mwe(ann, pairs.arcs(ann, *KEYS)).withColumn("ord", F.col("id")), *KEYS)
+def _truth(spark, sf_dir, ann=None, arc=None):
+    ann = _tokens(spark, sf_dir) if ann is None else ann
+    arc = pairs.arcs(ann, *KEYS) if arc is None else arc
+    return truth.constructions(annotate.with_mwe(ann, arc).withColumn("ord", F.col("id")), *KEYS)
 
 
 def lvc_truth(spark, sf_dir):
@@ -144,46 +181,69 @@ def lvc_truth(spark, sf_dir):
 
 
 def label_join(spark, sf_dir):
-    return truth.label(pairs.candidates(_arcs(spark, sf_dir)), _truth(spark, sf_dir)).select("noun", "verb", "n", "is_lvc")
+    ann = _tokens(spark, sf_dir)
+    arc = _arcs(spark, sf_dir, ann)
+    return truth.label(pairs.candidates(arc), _truth(spark, sf_dir, ann, arc)).select("noun", "verb", "n", "is_lvc")
 
 
-def _halves(spark, sf_dir):
+def _halves(arc):
     """Candidates of a training and of a test half, by the parity of doc_id."""
-    a = _arcs(spark, sf_dir)
-    return pairs.candidates(a.filter("doc_id % 2 = 0")), pairs.candidates(a.filter("doc_id % 2 = 1"))
+    return pairs.candidates(arc.filter("doc_id % 2 = 0")), pairs.candidates(arc.filter("doc_id % 2 = 1"))
 
 
 def semi_candidates(spark, sf_dir):
-    _, test = _halves(spark, sf_dir)
-    return _rounded(truth.restricted(pairs.association(_arcs(spark, sf_dir)).select("noun", "verb", "p", "pmi"), test))
+    arc = _arcs(spark, sf_dir)
+    return _rounded(truth.restricted(pairs.association(arc).select("noun", "verb", "p", "pmi"), _halves(arc)[1]))
 
 
 def anti_train(spark, sf_dir):
-    train, test = _halves(spark, sf_dir)
+    train, test = _halves(_arcs(spark, sf_dir))
     return truth.unseen(test, train)
 
 
 def outer_labels(spark, sf_dir):
-    train, test = _halves(spark, sf_dir)
-    said = truth.label(train.select("noun", "verb"), _truth(spark, sf_dir))
-    return truth.both_labels(said, truth.label(test.select("noun", "verb"), _truth(spark, sf_dir)))
+    ann = _tokens(spark, sf_dir)
+    arc = _arcs(spark, sf_dir, ann)
+    train, test = _halves(arc)
+    found = lowrank.kept(_truth(spark, sf_dir, ann, arc), "truth")
+    return truth.both_labels(truth.label(train.select("noun", "verb"), found), truth.label(test.select("noun", "verb"), found))
 
 
 def _scored(spark, sf_dir):
-    rows = truth.label(pairs.association(_arcs(spark, sf_dir)).select("noun", "verb", F.round("pmi", 9).alias("score")), _truth(spark, sf_dir))
-    return rows.withColumn("prediction", F.when(F.col("score") > PMI, "YES").otherwise("NO"))
+    """(noun, verb, score, is_lvc, prediction), and the truth; both written."""
+    ann = _tokens(spark, sf_dir)
+    arc = _arcs(spark, sf_dir, ann)
+    found = lowrank.kept(_truth(spark, sf_dir, ann, arc), "truth")
+    rows = truth.label(pairs.association(arc).select("noun", "verb", F.round("pmi", 9).alias("score")), found)
+    return lowrank.kept(rows.withColumn("prediction", F.when(F.col("score") > PMI, "YES").otherwise("NO")), "scored"), found, arc
 
 
 def confusion(spark, sf_dir):
-    return evaluate.confusion(_scored(spark, sf_dir))
+    return evaluate.confusion(_scored(spark, sf_dir)[0])
 
 
 def prf_kappa(spark, sf_dir):
-    return _rounded(evaluate.measures(_scored(spark, sf_dir), _truth(spark, sf_dir).agg(F.count("*").alias("nb_tot"))))
+    scored, found, _ = _scored(spark, sf_dir)
+    return _rounded(evaluate.measures(scored, found.agg(F.count("*").alias("nb_tot"))))
 
 
 def pr_curve(spark, sf_dir):
-    return _rounded(evaluate.curve(_scored(spark, sf_dir)))
+    scored, found, _ = _scored(spark, sf_dir)
+    return _rounded(evaluate.curve(scored, found.agg(F.count("*").alias("nb_tot"))))
+
+
+def unseen_measures(spark, sf_dir):
+    """Measures of the pairs of the test half that the training half lacks."""
+    scored, _, arc = _scored(spark, sf_dir)
+    train, test = _halves(arc)
+    return _rounded(evaluate.measures(truth.unseen(truth.restricted(scored, test), train)))
+
+
+def unseen_true(spark, sf_dir):
+    """Constructions among those pairs, with what was predicted."""
+    scored, _, arc = _scored(spark, sf_dir)
+    train, test = _halves(arc)
+    return truth.unseen(truth.restricted(scored, test), train).filter("is_lvc = 'YES'").select("noun", "verb", "prediction", "score")
 
 
 def _embeddings(spark, sf_dir):
@@ -214,6 +274,17 @@ def dist_relative(spark, sf_dir):
     return near.select("vec_id", F.round(relative(F.col("d0"), F.col("d1")), 6).alias("dist_relative"))
 
 
+def vector_features(spark, sf_dir):
+    """Lengths and cosines of pairs of embeddings: number k is the noun, k + 1 the verb, k + 2 the expression, where there are such."""
+    e = _embeddings(spark, sf_dir).select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    word = F.col("vec_id").cast("string")
+    every = e.select(word.alias("noun"), (F.col("vec_id") + 1).cast("string").alias("verb"))
+    exprs = e.select((F.col("vec_id") - 2).cast("string").alias("noun"), (F.col("vec_id") - 1).cast("string").alias("verb"), "vec")
+    width = e.agg(F.max(F.size("vec"))).first()[0] or 0
+    table = vectors.with_vector_features(every, e.select(word.alias("word"), "vec"), exprs, width)
+    return table.select("noun", "verb", *(F.round(c, 6).alias(c) for c in ("len_n", "len_v", "dist_noun", "dist_verb", "dist_relative")))
+
+
 def svd_words(spark, sf_dir):
     """Vectors of all lemmas, in the hundred dimensions of the original."""
     space = vectors.LatentSpace(lowrank.kept(_cooc(spark, sf_dir), "cooc"))
@@ -238,8 +309,8 @@ def gbt_predict(spark, sf_dir):
 
 
 _QUERIES = (
-    tokens, sentence_stats, reject_sentences, conllu_roundtrip, arcs, candidates, pair_distance, deprel_freq, marginals_noun, marginals_verb, association, pair_patterns, patterns_top20, pattern_freq,
-    feature_matrix, cooc_counts, cooc_rowsum, cooc_norm, expr_cooc, expr_weights, lvc_truth, label_join, semi_candidates, anti_train, outer_labels, confusion, prf_kappa, pr_curve, vec_l1, centroid, cosine_centroid, dist_relative, svd_words, gbt_predict,
+    tokens, sentence_stats, parser_tokens, parser_sentences, reject_sentences, conllu_roundtrip, arcs, candidates, pair_distance, deprel_freq, marginals_noun, marginals_verb, association, pair_patterns, patterns_top20, pattern_freq,
+    feature_matrix, cooc_counts, cooc_rowsum, cooc_norm, expr_cooc, expr_weights, lvc_truth, label_join, semi_candidates, anti_train, outer_labels, confusion, prf_kappa, pr_curve, unseen_measures, unseen_true, vec_l1, centroid, cosine_centroid, dist_relative, vector_features, svd_words, gbt_predict,
 )
 
 
@@ -255,6 +326,11 @@ _CTE = {
         CASE WHEN upos <> 'NOUN' THEN 'dep' WHEN l IS NULL THEN 'nsubj' WHEN id - l <= 2 THEN 'obj' WHEN id - l <= 5 THEN 'obl' ELSE 'nmod' END AS deprel FROM (
         SELECT *, max(CASE WHEN upos = 'VERB' THEN id END) OVER (PARTITION BY doc_id, sid ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
         min(CASE WHEN upos = 'VERB' THEN id END) OVER (PARTITION BY doc_id, sid ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM pos))""",
+    # a sentence takes a text line, its tokens and a blank line; the first text line of an even document is missing
+    "numbered": """numbered AS MATERIALIZED (SELECT doc_id, sid AS n, tokens, row_number() OVER w AS k, row_number() OVER w - (doc_id % 2 = 0)::INT AS sid, coalesce(sum(tokens + 2) OVER (PARTITION BY doc_id ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - (doc_id % 2 = 0)::INT AS line
+        FROM (SELECT doc_id, sid, count(*) AS tokens FROM ann GROUP BY 1, 2) WINDOW w AS (PARTITION BY doc_id ORDER BY sid))""",
+    "parsed": """parsed AS MATERIALIZED (SELECT a.doc_id, m.sid, (m.line + a.id)::BIGINT AS ord, a.id, CASE WHEN a.lemma[1] = 'é' THEN '!' || a.lemma ELSE a.lemma END AS lemma, a.upos, CASE WHEN a.id <> 13 THEN a.head END AS head, CASE WHEN a.id <> 13 THEN a.deprel END AS deprel
+        FROM ann a JOIN numbered m ON a.doc_id = m.doc_id AND a.sid = m.n WHERE a.id NOT IN (7, 11) AND NOT EXISTS (SELECT 1 FROM ann b WHERE b.doc_id = a.doc_id AND b.sid = a.sid AND b.id <> 11 AND b.upos IN ('NOUN', 'VERB') AND b.lemma[1] = 'é'))""",
     "arc": """arc AS MATERIALIZED (SELECT n.doc_id, n.sid, n.lemma AS noun, v.lemma AS verb, n.id AS noun_id, v.id AS verb_id, n.deprel FROM ann n JOIN ann v ON n.doc_id = v.doc_id AND n.sid = v.sid AND n.head = v.id WHERE n.upos = 'NOUN' AND v.upos = 'VERB')""",
     "cand": """cand AS MATERIALIZED (SELECT noun, verb, count(*) AS n, sum(abs(noun_id - verb_id))::DOUBLE AS gaps, (count(*) FILTER (deprel = 'obl'))::DOUBLE AS obl, (count(*) FILTER (deprel = 'nsubj'))::DOUBLE AS subj, (count(*) FILTER (deprel = 'obj'))::DOUBLE AS obj FROM arc GROUP BY ALL)""",
     "prob": """prob AS (SELECT *, n / (sum(n) OVER ())::DOUBLE AS p, (sum(n) OVER (PARTITION BY noun))::DOUBLE / (sum(n) OVER ()) AS p_n, (sum(n) OVER (PARTITION BY verb))::DOUBLE / (sum(n) OVER ()) AS p_v FROM cand)""",
@@ -271,13 +347,13 @@ _CTE = {
         JOIN (SELECT doc_id, sid, lemma AS verb, max(id) AS at FROM ann WHERE upos = 'VERB' GROUP BY ALL) v ON n.doc_id = v.doc_id AND n.sid = v.sid AND n.at = v.at)""",
     "exc": """exc AS MATERIALIZED (SELECT noun, verb, lemma AS word, sum(m)::BIGINT AS c FROM ex JOIN bag ON ex.doc_id = bag.doc_id AND ex.sid = bag.sid WHERE lemma <> noun AND lemma <> verb GROUP BY ALL)""",
     "lvc": """lvc AS MATERIALIZED (SELECT DISTINCT noun, verb FROM arc WHERE noun_id - verb_id = 1)""",
-    "half": """half AS (SELECT doc_id % 2 AS h, noun, verb, count(*) AS n FROM arc GROUP BY ALL)""",
+    "half": """half AS MATERIALIZED (SELECT doc_id % 2 AS h, noun, verb, count(*) AS n FROM arc GROUP BY ALL)""",
     "scored": f"""scored AS MATERIALIZED (SELECT a.noun, a.verb, round(pmi, 9) AS score, CASE WHEN round(pmi, 9) > {PMI} THEN 'YES' ELSE 'NO' END AS prediction, CASE WHEN l.noun IS NULL THEN 'NO' ELSE 'YES' END AS is_lvc FROM assoc a LEFT JOIN lvc l ON a.noun = l.noun AND a.verb = l.verb)""",
     "emb": """emb AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)""",
     "cen": """cen AS MATERIALIZED (SELECT label, i, avg(x) AS m FROM emb GROUP BY 1, 2)""",
 }
 _NEEDS = {
-    "pos": ["tok"], "ann": ["pos"], "arc": ["ann"], "cand": ["arc"], "prob": ["cand"], "assoc": ["prob"], "pat": ["arc"], "top": ["pat"], "freq": ["top"], "bag": ["tok"], "cooc": ["bag"], "rs": ["cooc"],
+    "pos": ["tok"], "ann": ["pos"], "numbered": ["ann"], "parsed": ["numbered"], "arc": ["ann"], "cand": ["arc"], "prob": ["cand"], "assoc": ["prob"], "pat": ["arc"], "top": ["pat"], "freq": ["top"], "bag": ["tok"], "cooc": ["bag"], "rs": ["cooc"],
     "ex": ["ann"], "exc": ["ex", "bag"], "lvc": ["arc"], "half": ["arc"], "scored": ["assoc", "lvc"], "cen": ["emb"],
 }
 
@@ -300,6 +376,7 @@ def _round(*names: str) -> str:
     return ", ".join(f"round({n}, 9) AS {n}" for n in names)
 
 
+_UNSEEN = "SELECT s.* FROM scored s WHERE (noun, verb) IN (SELECT (noun, verb) FROM half WHERE h = 1) AND (noun, verb) NOT IN (SELECT (noun, verb) FROM half WHERE h = 0)"
 _TP = "count(*) FILTER (prediction = 'YES' AND is_lvc = 'YES')::DOUBLE AS tp, count(*) FILTER (prediction = 'YES' AND is_lvc = 'NO')::DOUBLE AS fp, count(*) FILTER (prediction = 'NO' AND is_lvc = 'YES')::DOUBLE AS fn, count(*) FILTER (prediction = 'NO' AND is_lvc = 'NO')::DOUBLE AS tn"
 
 
@@ -309,7 +386,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "tokens": _sql("SELECT * FROM ann", "ann"),
         "sentence_stats": _sql("SELECT doc_id, count(DISTINCT sid) AS sentences, count(*) AS tokens, max(id) AS longest FROM tok GROUP BY 1", "tok"),
-        "reject_sentences": _sql("SELECT doc_id, sid, count(*) AS n FROM pos GROUP BY 1, 2 HAVING NOT bool_or(upos IN ('NOUN', 'VERB') AND lemma[1] IN ('é', 'ä', 'ñ'))", "pos"),
+        "parser_tokens": _sql("SELECT doc_id, sid, ord, id, lemma, upos, head, deprel FROM parsed", "parsed"),
+        "parser_sentences": _sql("SELECT doc_id, sid, n::VARCHAR AS text FROM numbered WHERE NOT (doc_id % 2 = 0 AND k = 1)", "numbered"),
+        "reject_sentences": _sql("SELECT doc_id, sid, count(*) AS n FROM parsed GROUP BY 1, 2", "parsed"),
         "conllu_roundtrip": _sql("SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY sid) AS sentence, id, lemma, upos, head, deprel FROM ann", "ann"),
         "arcs": _sql("SELECT * FROM arc", "arc"),
         "candidates": _sql("SELECT noun, verb, n FROM cand", "cand"),
@@ -342,12 +421,24 @@ def oracle_sql() -> dict[str, str]:
             "scored",
         ),
         "pr_curve": _sql(
-            ", pt AS (SELECT score, count(*) FILTER (is_lvc = 'YES') AS tp, count(*) AS n FROM scored GROUP BY 1), cu AS (SELECT score, (sum(tp) OVER w)::DOUBLE AS tp, (sum(n) OVER w)::DOUBLE AS n, (sum(tp) OVER ())::DOUBLE AS pos FROM pt WINDOW w AS (ORDER BY score DESC)), pr AS (SELECT score, tp / n AS p, coalesce(tp / nullif(pos, 0), 0) AS r FROM cu) "
-            "SELECT round(score, 9) AS threshold, round(p, 9) AS precision, round(r, 9) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) AS f1 FROM pr",
+            ", pt AS (SELECT score, count(*) FILTER (is_lvc = 'YES') AS tp, count(*) AS n FROM scored GROUP BY 1), cu AS (SELECT score, (sum(tp) OVER w)::DOUBLE AS tp, (sum(n) OVER w)::DOUBLE AS n, (sum(tp) OVER ())::DOUBLE AS pos FROM pt WINDOW w AS (ORDER BY score DESC)), pr AS (SELECT score, tp / n AS p, coalesce(tp / nullif(pos, 0), 0) AS r, coalesce(tp / nullif((SELECT count(*) FROM lvc), 0), 0) AS tr FROM cu) "
+            "SELECT round(score, 9) AS threshold, round(p, 9) AS precision, round(r, 9) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) AS f1, round(tr, 9) AS true_recall, round(coalesce(2 * p * tr / nullif(p + tr, 0), 0), 9) AS true_f1 FROM pr",
             "scored",
         ),
+        "unseen_measures": _sql(
+            f", f AS ({_UNSEEN}), c AS (SELECT {_TP} FROM f), d AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, tp + fp + fn + tn AS n FROM c), e AS (SELECT *, coalesce((tp + tn) / nullif(n, 0), 0) AS po, coalesce(((tp + fp) * (tp + fn) + (tn + fp) * (tn + fn)) / nullif(n * n, 0), 0) AS pe FROM d) "
+            "SELECT round(precision, 9) AS precision, round(recall, 9) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 9) AS f1, round(coalesce((po - pe) / nullif(1 - pe, 0), 0), 9) AS kappa FROM e",
+            "scored", "half",
+        ),
+        "unseen_true": _sql(f"SELECT noun, verb, prediction, score FROM ({_UNSEEN}) WHERE is_lvc = 'YES'", "scored", "half"),
         "vec_l1": _sql("SELECT vec_id, round(sum(abs(x)), 9) AS l1 FROM emb GROUP BY 1", "emb"),
         "centroid": _sql("SELECT label, i - 1 AS dim, round(m, 9) AS mean FROM cen", "cen"),
         "cosine_centroid": _sql(f"SELECT vec_id, round({cos}, 9) AS cosine FROM emb JOIN cen USING (label, i) GROUP BY 1", "cen"),
+        "vector_features": _sql(
+            ", l AS (SELECT vec_id, sum(abs(x)) AS l, sqrt(sum(x * x)) AS n FROM emb GROUP BY 1), c AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS d FROM emb a JOIN emb b ON a.i = b.i AND b.vec_id - a.vec_id IN (1, 2) GROUP BY 1, 2),"
+            " v AS (SELECT k.vec_id, k.l AS ln, coalesce(v.l, 0) AS lv, coalesce(ne.d / nullif(k.n * x.n, 0), 0) AS dn, coalesce(ve.d / nullif(v.n * x.n, 0), 0) AS dv FROM l k LEFT JOIN l v ON v.vec_id = k.vec_id + 1 LEFT JOIN l x ON x.vec_id = k.vec_id + 2 LEFT JOIN c ne ON ne.a = k.vec_id AND ne.b = k.vec_id + 2 LEFT JOIN c ve ON ve.a = k.vec_id + 1 AND ve.b = k.vec_id + 2)"
+            " SELECT vec_id::VARCHAR AS noun, (vec_id + 1)::VARCHAR AS verb, round(ln, 6) AS len_n, round(lv, 6) AS len_v, round(dn, 6) AS dist_noun, round(dv, 6) AS dist_verb, round(coalesce(dn / nullif(dn + dv, 0), 0.5), 6) AS dist_relative FROM v",
+            "emb",
+        ),
         "dist_relative": _sql(f", cs AS (SELECT vec_id, cen.label, round({cos}, 9) AS c FROM emb JOIN cen ON emb.i = cen.i AND cen.label IN (0, 1) GROUP BY 1, 2) SELECT a.vec_id, round(coalesce(a.c / nullif(a.c + b.c, 0), 0.5), 6) AS dist_relative FROM cs a JOIN cs b ON a.vec_id = b.vec_id AND a.label = 0 AND b.label = 1", "cen"),
     }
