@@ -1,19 +1,29 @@
-"""python -m glossarium -corpus_dir DIR -train_dir DIR -test_dir DIR -save_dir DIR [-reset features|classifier|full ...] [-predict] [-eval]"""
+"""python -m glossarium -corpus_dir DIR -train_dir DIR -test_dir DIR -save_dir DIR [-reset features|classifier|full ...] [-predict] [-eval]
+
+Results are printed whole, a tab-separated line for each row.
+"""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .plans.cache import Config
 from .plans.engine import Engine
 
 
+def _print(name: str, table: DataFrame) -> None:
+    print(f"# {name}")
+    print("\t".join(table.columns))
+    for row in table.toLocalIterator():  # a partition at a time
+        print("\t".join("" if x is None else str(x) for x in row))
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    for name in ("corpus", "train", "test", "save"):
-        p.add_argument(f"-{name}_dir", required=True)
+    for name, folder in (("corpus", "Dev"), ("train", "Train"), ("test", "Test"), ("save", "Save")):
+        p.add_argument(f"-{name}_dir", default=folder)
     p.add_argument("-reset", nargs="+", choices=["features", "classifier", "full"], default=[])
     p.add_argument("-predict", action="store_true")
     p.add_argument("-eval", action="store_true")
@@ -24,13 +34,12 @@ def main(argv: list[str] | None = None) -> None:
     engine = Engine(spark, Config(a.corpus_dir, a.train_dir, a.test_dir, a.save_dir), a.dimensions, a.iterations)
     if "full" in a.reset:
         engine.clear()
-    engine.train("features" in a.reset)
+    engine.train("features" in a.reset, "classifier" in a.reset)
     if a.predict:
-        engine.predict().orderBy("noun", "verb").show(1000, truncate=False)
+        _print("predictions", engine.predict().orderBy("noun", "verb"))
     if a.eval:
         for name, table in engine.evaluate().items():
-            print(name)
-            table.show(1000, truncate=False)
+            _print(name, table)
 
 
 if __name__ == "__main__":

@@ -1,13 +1,17 @@
-"""Intermediate tables kept as Parquet in the configured folder."""
+"""Intermediate tables and models kept in the configured folder."""
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What a kept table's or model's folder is called: a name and a digest.
+_OWN = re.compile(r"[a-z_]+-[0-9a-f]{16}")
+
 
 @dataclass
 class Config:
@@ -18,9 +22,9 @@ class Config:
     test_dir: str
     save_dir: str
 
-    def path(self, name: str, *of: str) -> str:
-        """A table's folder: its name and a digest of what it was made from."""
-        return f"{self.save_dir.rstrip('/')}/{name}-{hashlib.sha256('|'.join(of).encode()).hexdigest()[:16]}"
+    def path(self, name: str, *of: object) -> str:
+        """The folder of a table or model: its name and a digest of all that it was made from."""
+        return f"{self.save_dir.rstrip('/')}/{name}-{hashlib.sha256('|'.join(map(str, of)).encode()).hexdigest()[:16]}"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -28,17 +32,42 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame], reset: bool = False) -> DataFrame:
     """The table at path; built and written first if it is not there whole, or if reset."""
-    fs, p = _fs(spark, path)
-    if reset or not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
+    if reset or not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def extended(spark: SparkSession, path: str, keys: DataFrame, build: Callable[[DataFrame], DataFrame], done: str = "done") -> DataFrame:
+    """The rows of the table at path for `keys` (noun, verb); what is missing is built, for the missing keys alone, and added.
+
+    Keys that gave no rows are remembered too, in the table `done` beside the rows.
+    """
+    rows, seen = f"{path}/rows", f"{path}/{done}"
+    keys = keys.select("noun", "verb").distinct()
+    new = keys.join(spark.read.parquet(seen), ["noun", "verb"], "left_anti") if exists(spark, seen) else keys
+    new = materialize(spark, f"{path}/new", lambda: new, reset=True)
+    if not new.isEmpty() or not exists(spark, rows):
+        build(new).write.mode("append").parquet(rows)
+        new.write.mode("append").parquet(seen)
+    return spark.read.parquet(rows).join(keys, ["noun", "verb"], "left_semi")
+
+
 def clear(spark: SparkSession, save_dir: str) -> None:
-    """Remove what lies in the folder."""
+    """Remove what this package keeps in the folder; other files and folders stay."""
     fs, p = _fs(spark, save_dir)
     if fs.exists(p):
         for x in fs.listStatus(p):
-            fs.delete(x.getPath(), True)
+            if x.isDirectory() and _OWN.fullmatch(x.getPath().getName()):
+                fs.delete(x.getPath(), True)

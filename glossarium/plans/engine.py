@@ -2,54 +2,85 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cooc, evaluate, pairs, patterns, truth, vectors
 from ..operators.model import PairClassifier
 from ..sources.conllu import read_corpus
-from .cache import Config, clear, materialize
+from .cache import Config, clear, exists, extended, materialize, remove
 
 SENTENCE = ("file", "sid")
 
 
 class Engine:
-    """Each step is written once under save_dir and read from there afterwards, until it is reset."""
+    """Each step is written once under save_dir and read from there afterwards, by this or a later process, until it is reset."""
 
     def __init__(self, spark: SparkSession, config: Config, dimensions: int = 100, iterations: int = 500) -> None:
         self.spark, self.config, self.dimensions, self.iterations = spark, config, dimensions, iterations
         self._model: PairClassifier | None = None
+        self._space: vectors.LatentSpace | None = None
 
-    def _kept(self, name: str, of: str, build, reset: bool = False) -> DataFrame:
-        return materialize(self.spark, self.config.path(name, of), build, reset)
+    def _kept(self, name: str, of: tuple, build: Callable[[], DataFrame], reset: bool = False) -> DataFrame:
+        return materialize(self.spark, self.config.path(name, *of), build, reset)
 
     def tokens(self, folder: str, reset: bool = False) -> DataFrame:
         def build() -> DataFrame:
             t = read_corpus(self.spark, folder)
             return t.withColumns({c: F.expr(f"try_cast({c} as double)") for c in ("id", "head")}).filter("id is not null")
 
-        return self._kept("tokens", folder, build, reset)
+        return self._kept("tokens", (folder,), build, reset)
+
+    def arcs(self, folder: str, reset: bool = False) -> DataFrame:
+        return self._kept("arcs", (folder,), lambda: pairs.arcs(self.tokens(folder), *SENTENCE), reset)
 
     def candidates(self, folder: str) -> DataFrame:
-        return pairs.candidates(pairs.arcs(self.tokens(folder), *SENTENCE))
+        return pairs.candidates(self.arcs(folder))
+
+    def cooccurrences(self, reset: bool = False) -> DataFrame:
+        folder = self.config.corpus_dir
+        return self._kept("cooc", (folder,), lambda: cooc.counts(self.tokens(folder), *SENTENCE), reset)
+
+    def space(self) -> vectors.LatentSpace:
+        if self._space is None:
+            self._space = vectors.LatentSpace(self.cooccurrences(), self.dimensions)
+        return self._space
+
+    def expression_cooccurrences(self, wanted: DataFrame) -> DataFrame:
+        """(noun, verb, word, c) of the pairs `wanted`; counted once for each pair and kept."""
+        folder = self.config.corpus_dir
+        return extended(self.spark, self.config.path("expressions", folder), wanted, lambda new: cooc.expression_counts(self.tokens(folder), *SENTENCE, only=new))
+
+    def expression_vectors(self, wanted: DataFrame) -> DataFrame:
+        """(noun, verb, vec) of the pairs `wanted` that have one; computed once for each pair and kept, for one latent space."""
+        path = self.config.path("expression_vectors", self.config.corpus_dir, self.dimensions, self.space().key)
+
+        def build(new: DataFrame) -> DataFrame:
+            sums = cooc.row_sums(self.cooccurrences())
+            return self.space().expressions(cooc.expression_weights(self.expression_cooccurrences(new), sums))
+
+        return extended(self.spark, path, wanted, build)
 
     def features(self, reset: bool = False) -> DataFrame:
         """All features of the corpus' candidates; the pattern columns stand for the twenty commonest patterns."""
         folder = self.config.corpus_dir
 
         def build() -> DataFrame:
+            if reset:
+                remove(self.spark, self.config.path("expressions", folder))
+                self._space = None
             t = self.tokens(folder, reset)
-            arcs = self._kept("arcs", folder, lambda: pairs.arcs(t, *SENTENCE), reset)
-            between = self._kept("between", folder, lambda: patterns.between(t, arcs, *SENTENCE), reset)
+            arcs = self.arcs(folder, reset)
+            between = self._kept("between", (folder,), lambda: patterns.between(t, arcs, *SENTENCE), reset)
             top = [r["pattern"] for r in patterns.most_frequent(between).collect()]  # at most twenty
-            counts = self._kept("cooc", folder, lambda: cooc.counts(t, *SENTENCE), reset)
+            self.cooccurrences(reset)
             table = patterns.matrix(pairs.association(arcs), patterns.frequencies(between), top)
-            space = vectors.LatentSpace(counts, self.dimensions)
-            weights = cooc.expression_weights(cooc.expression_counts(t, *SENTENCE), cooc.row_sums(counts))
-            k = len(space.singular_values)
-            return vectors.with_vector_features(table, space.word_vectors, space.expressions(weights), k)
+            space = self.space()
+            return vectors.with_vector_features(table, space.word_vectors, self.expression_vectors(self.candidates(folder)), len(space.singular_values))
 
-        return self._kept("features", folder, build, reset)
+        return self._kept("features", (folder, self.dimensions), build, reset)
 
     def labelled(self, folder: str) -> DataFrame:
         """Features of the folder's candidates with is_lvc from the folder's own annotation."""
@@ -58,17 +89,24 @@ class Engine:
     def _columns(self, rows: DataFrame) -> list[str]:
         return [c for c, kind in rows.dtypes if kind in ("double", "bigint") and c not in ("noun", "verb")]
 
-    def fit(self) -> PairClassifier:
+    def fit(self, reset: bool = False) -> PairClassifier:
+        """The classifier: the one kept for these corpora and settings, or a new one."""
+        path = self.config.path("classifier", self.config.corpus_dir, self.config.train_dir, self.dimensions, self.iterations)
+        if reset:
+            self._model = None
+            remove(self.spark, path)
+        if self._model is None and exists(self.spark, f"{path}/settings/_SUCCESS"):
+            self._model = PairClassifier.load(self.spark, path)
         if self._model is None:
             rows = self.labelled(self.config.train_dir)
             self._model = PairClassifier(self._columns(rows), self.iterations).fit(rows)
+            self._model.save(self.spark, path)
         return self._model
 
-    def train(self, reset: bool = False) -> PairClassifier:
-        if reset:
-            self._model = None
-        self.features(reset)
-        return self.fit()
+    def train(self, reset_features: bool = False, reset_classifier: bool = False) -> PairClassifier:
+        """New features make a new classifier as well."""
+        self.features(reset_features)
+        return self.fit(reset_classifier or reset_features)
 
     def predict(self) -> DataFrame:
         """Pairs of the corpus predicted to be light-verb constructions that are not in the training corpus."""
@@ -81,13 +119,18 @@ class Engine:
         return rows.select("noun", "verb", "is_lvc").join(self.fit().predict(rows), ["noun", "verb"]).withColumnRenamed("p_yes", "score")
 
     def evaluate(self) -> dict[str, DataFrame]:
-        """measures, measures of the pairs not trained on, confusion, curve and importances."""
+        """measures, measures of the pairs not trained on, those of them that are constructions with what was predicted, confusion,
+        curve and importances."""
         scored = self.scored()
         size = truth.constructions(self.tokens(self.config.test_dir), *SENTENCE).agg(F.count("*").alias("nb_tot"))
         fresh = truth.unseen(scored, self.candidates(self.config.train_dir))
         importances = self.spark.createDataFrame(sorted(self.fit().importances().items(), key=lambda x: -x[1]), "feature string, importance double")
-        return {"measures": evaluate.measures(scored, size), "unseen": evaluate.measures(fresh), "confusion": evaluate.confusion(fresh), "curve": evaluate.curve(scored), "importances": importances}
+        return {
+            "measures": evaluate.measures(scored, size), "unseen": evaluate.measures(fresh), "unseen_true": fresh.filter("is_lvc = 'YES'").select("noun", "verb", "prediction", "score"),
+            "confusion": evaluate.confusion(fresh), "curve": evaluate.curve(scored, size), "importances": importances,
+        }
 
     def clear(self) -> None:
+        """Remove what the engine has kept; other files of the folder stay."""
         clear(self.spark, self.config.save_dir)
-        self._model = None
+        self._model = self._space = None

@@ -50,6 +50,26 @@ def test_sentences(spark):
     assert {(r["sid"], r["text"]) for r in conllu.parse_sentences(lines).collect()} == {(1, "un"), (2, "a"), (2, "b"), (3, "c"), (4, "d")}
 
 
+def test_blocks_and_splits_change_nothing(spark, tmp_path, monkeypatch):
+    """Sentences that run over blocks of lines, and files that are read in splits of a few bytes."""
+    text = "\n".join([FILE_A] * 7) + "\n"
+    lines = spark.createDataFrame([("f", k, v) for k, v in enumerate(text.split("\n"))], "file string, line_no int, value string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    whole, said = rows(conllu.parse_tokens(lines)), rows(conllu.parse_sentences(lines))
+    for bits in (0, 1, 3):
+        monkeypatch.setattr(conllu, "BLOCK", bits)
+        assert rows(conllu.parse_tokens(lines)) == whole and rows(conllu.parse_sentences(lines)) == said
+    (tmp_path / "c").mkdir()
+    for name in ("f", "g"):
+        (tmp_path / "c" / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 300)
+    read = conllu.read_lines(spark, str(tmp_path / "c"))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name in ("f", "g"):
+        own = read.filter(F.col("file").endswith(name)).orderBy("line_no").collect()
+        assert [(r["line_no"], r["value"]) for r in own] == list(enumerate(text.split("\n")[:-1]))
+
+
 def test_arcs_and_truth(tokens):
     arcs = pairs.arcs(tokens, "file", "sid")
     assert {(r["noun"], r["verb"], r["deprel"]) for r in arcs.collect()} == {("décision", "prendre", "obj"), ("suite", "prendre", "nsubj"), ("éponge", "jeter", "obl:arg"), ("été", "passer", "nsubj"), ("temps", "prendre", "obj")}
@@ -88,6 +108,18 @@ def test_cooccurrence(spark):
     assert all(v == pytest.approx(1) for v in total.values())
 
 
+def test_long_sentences_are_dealt_out(spark, monkeypatch):
+    import random
+
+    r = random.Random(1)
+    t = spark.createDataFrame([(s, f"w{r.randrange(40)}") for s in (1, 2, 3) for _ in range(90)] + [(4, "w1")], "sid int, lemma string")
+    whole = sorted(map(tuple, cooc.counts(t, "sid").collect()))
+    sums = sorted(map(tuple, cooc.row_sums(cooc.counts(t, "sid")).collect()))
+    assert sorted(map(tuple, cooc.token_row_sums(t, "sid").collect())) == sums
+    monkeypatch.setattr(cooc, "PIECE", 7)
+    assert sorted(map(tuple, cooc.counts(t, "sid").collect())) == whole
+
+
 def test_expressions_use_last_occurrences(spark):
     rows = [(1, 1.0, "v", "VERB", 0.0), (1, 2.0, "n", "NOUN", 1.0), (1, 3.0, "v", "VERB", 0.0), (1, 4.0, "w", "ADJ", 0.0), (2, 1.0, "v", "VERB", 0.0), (2, 2.0, "n", "NOUN", 1.0), (2, 3.0, "w", "ADJ", 0.0), (2, 4.0, "w", "ADJ", 0.0)]
     t = spark.createDataFrame(rows, "sid int, id double, lemma string, upos string, head double")
@@ -136,6 +168,8 @@ def test_evaluation(spark):
     assert (m["precision"], m["recall"], m["f1"], m["kappa"], m["true_recall"]) == (0.5, 0.5, 0.5, 0.0, 0.25)
     curve = {r["threshold"]: (r["precision"], r["recall"]) for r in evaluate.curve(scored).collect()}
     assert curve == {0.9: (0.5, 0.5), 0.2: (pytest.approx(2 / 3), 1.0), 0.1: (0.5, 1.0)}
+    whole = {r["threshold"]: (r["precision"], r["true_recall"], r["true_f1"]) for r in evaluate.curve(scored, spark.createDataFrame([(4,)], "nb_tot long")).collect()}
+    assert whole == {0.9: (0.5, 0.25, pytest.approx(1 / 3)), 0.2: (pytest.approx(2 / 3), 0.5, pytest.approx(4 / 7)), 0.1: (0.5, 0.5, 0.5)}
 
 
 def test_empty_and_null_input(spark):

@@ -1,6 +1,9 @@
 """The engine from files to predictions, its cache, and the command line."""
 
+import pytest
+
 from glossarium.__main__ import main
+from glossarium.operators.model import PairClassifier
 from glossarium.plans.cache import Config
 from glossarium.plans.engine import Engine
 
@@ -16,7 +19,7 @@ def corpus(folder, names):
     return str(folder)
 
 
-def test_engine(spark, tmp_path, capsys):
+def test_engine(spark, tmp_path, capsys, monkeypatch):
     train = corpus(tmp_path / "train", [("décision", "prendre"), ("éponge", "jeter"), ("danse", "faire"), ("pierre", "lancer")])
     test = corpus(tmp_path / "test", [("décision", "prendre"), ("douche", "prendre"), ("pierre", "jeter")])
     whole = tmp_path / "whole"
@@ -26,13 +29,59 @@ def test_engine(spark, tmp_path, capsys):
     config = Config(str(whole), train, test, str(tmp_path / "save"))
     engine = Engine(spark, config, dimensions=3, iterations=3)
     engine.train()
-    assert {r["noun"] for r in engine.predict().collect()} <= {"douche", "pierre"}
+    predicted = {(r["noun"], r["verb"]) for r in engine.predict().collect()}
+    assert {n for n, _ in predicted} <= {"douche", "pierre"}
     result = engine.evaluate()
-    assert result["measures"].first()["recall"] > 0
+    assert result["measures"].first()["recall"] > 0 and {"true_recall", "true_f1"} <= set(result["curve"].columns)
     assert result["confusion"].count() >= 1
+    assert {(r["noun"], r["verb"]) for r in result["unseen_true"].collect()} == {("douche", "prendre")}
+
     before = engine.features().count()
-    assert Engine(spark, config, 3, 3).features().count() == before  # read back
+    again = Engine(spark, config, 3, 3)
+    assert again.features().count() == before  # read back
+    monkeypatch.setattr(PairClassifier, "fit", lambda self, rows: pytest.fail("the kept classifier was not used"))
+    assert again.fit().importances() == engine.fit().importances() and {(r["noun"], r["verb"]) for r in again.predict().collect()} == predicted
+    monkeypatch.undo()
+    fitted = []
+    plain = PairClassifier.fit
+    monkeypatch.setattr(PairClassifier, "fit", lambda self, rows: fitted.append(1) or plain(self, rows))
+    again.fit()
+    assert not fitted
+    again.train(reset_classifier=True)
+    assert fitted == [1]
+    monkeypatch.undo()
+
+    other = Engine(spark, config, dimensions=1, iterations=3)  # settings of its own: nothing of the other's is read
+    assert len(other.features().first()["noun_vec"]) == 1 and len(engine.features().first()["noun_vec"]) == 3
+
     main(["-corpus_dir", str(whole), "-train_dir", train, "-test_dir", test, "-save_dir", config.save_dir, "-predict", "-eval", "-dimensions", "3", "-iterations", "2"])
-    assert "measures" in capsys.readouterr().out
+    printed = capsys.readouterr().out.splitlines()
+    assert "# measures" in printed and "# unseen_true" in printed and any(x.startswith("douche\tprendre\t") for x in printed)
+    own = tmp_path / "save" / "notes"
+    own.mkdir()
+    (own / "a.txt").write_text("mine")
+    (tmp_path / "save" / "b.txt").write_text("mine")
     engine.clear()
-    assert list((tmp_path / "save").iterdir()) == []
+    assert sorted(x.name for x in (tmp_path / "save").iterdir()) == ["b.txt", "notes"]
+
+
+def test_expressions_are_counted_once(spark, tmp_path, monkeypatch):
+    """Pairs asked for again are read; of a longer list only the new ones are counted; pairs without any count are remembered too."""
+    from glossarium.operators import cooc
+
+    folder = corpus(tmp_path / "c", [("décision", "prendre"), ("pierre", "lancer"), ("danse", "faire")])
+    engine = Engine(spark, Config(folder, folder, folder, str(tmp_path / "save")), dimensions=2)
+    asked = []
+    plain = cooc.expression_counts
+    monkeypatch.setattr(cooc, "expression_counts", lambda t, *k, only: asked.append(sorted(tuple(r) for r in only.collect())) or plain(t, *k, only=only))
+    wanted = lambda *p: spark.createDataFrame(list(p), "noun string, verb string")
+    first = {tuple(r) for r in engine.expression_cooccurrences(wanted(("décision", "prendre"), ("no", "thing"))).collect()}
+    assert {r[0] for r in first} == {"décision"} and asked == [[("décision", "prendre"), ("no", "thing")]]
+    assert {tuple(r) for r in engine.expression_cooccurrences(wanted(("décision", "prendre"), ("no", "thing"))).collect()} == first and len(asked) == 1
+    both = {tuple(r) for r in engine.expression_cooccurrences(wanted(("décision", "prendre"), ("pierre", "lancer"))).collect()}
+    assert asked[1:] == [[("pierre", "lancer")]] and first < both and {r[0] for r in both} == {"décision", "pierre"}
+    whole = {tuple(r) for r in plain(engine.tokens(folder), "file", "sid").collect()}
+    assert both == {r for r in whole if r[0] != "danse"}
+    one = engine.expression_vectors(wanted(("décision", "prendre"))).collect()
+    two = engine.expression_vectors(wanted(("décision", "prendre"), ("danse", "faire"))).collect()
+    assert one[0] in two and len(two) == 2
