@@ -1,9 +1,14 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts (P) and texts of unknown kind (U) are all that is learnt from.  Features are the presence of words and
-word beginnings that are commoner in P than, corrected by the class prior, among negatives.  A linear model minimises the class-prior-corrected risk
+A linear model is learnt from confirmed toxic texts (P) and texts of unknown kind (U).  Its features are the presence of words
+and word beginnings that are commoner in P than, corrected by the class prior, among negatives.  It minimises the
+class-prior-corrected risk
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)])
 whose second term, the risk on negatives, is kept from going below zero: when it does, its gradient is reversed.
+
+Features and weights see no text that is labelled clean as such.  Labels 0 serve for two things beside them: the class prior is
+the share of confirmed ones among all labels, and the two numbers that turn the model's margin into a score are fitted on labelled
+texts of both kinds.
 """
 
 from __future__ import annotations
