@@ -118,15 +118,17 @@ def write(pages: DataFrame, top: str) -> DataFrame:
 
     Of pages with equal payloads of SHARED_FROM bytes or more, that with the largest page_id is a response and the others are
     revisits of it.  A null html is an empty payload, a null url an empty address.  A page without an id is never referred to.
+    Every row is a record of its own: of rows that share a page_id and a payload all have the same kind.
     """
     where, base = opened(top)
     where.create_dir(base, recursive=True)
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    page = page.withColumn("payload", F.struct(F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("size")))
+    # equal by SHA-256 and size: unlike texts of one SHA-1 can be made
+    page = page.withColumn("payload", F.struct(F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("sum"), F.octet_length("html").alias("size")))
     groups = page.filter(F.col("payload.size") >= SHARED_FROM).groupBy("payload").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
     marked = salted_lookup(page, "payload", groups)
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return settled(marked.select("page_id", "url", "html", F.col("payload.digest").alias("digest"), refers.alias("refers")).mapInArrow(_write(top), "key string, page_id long, file string, at long, size long"), "captures")
+    return settled(marked.select("page_id", "url", "html", F.sha1(F.col("html").cast("binary")).alias("digest"), refers.alias("refers")).mapInArrow(_write(top), "key string, page_id long, file string, at long, size long"), "captures")
 
 
 def _index(top: str):
