@@ -24,6 +24,8 @@ from .wordhash import CHUNK, Known, Words, chunks, groups, long_windows, mix, pi
 
 #: Bytes of packed strings that a task gathers before it sends them, and that a bucket should hold.
 GATHER, BUCKET = 24 << 20, 16 << 20
+#: Bytes of text that one task joins to what is to be removed.
+JOINED = 64 << 20
 #: Pieces that a task counts together, how often one must stand among them to be reported, and in all to be frequent (or once in
 #: 2**20 words, if that is more: the list of the frequent never has more than 2**20 entries).
 COUNTED, OFTEN, FREQUENT = 1 << 22, 8, 4096
@@ -261,9 +263,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     version is the 64-bit hash of the text, which tells rows with one doc_id apart.
     """
+    return _repeats(docs, id_col, text_col, k, m, docs.agg(F.coalesce(F.sum(F.octet_length(column(text_col).cast("string"))), F.lit(0))).first()[0])
+
+
+def _repeats(docs: DataFrame, id_col: str, text_col: str, k: int, m: int, volume: int) -> DataFrame:
     named = _versions(docs, id_col, text_col).filter("doc is not null")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    volume = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("v")).first()["v"]
     places = max(parts, math.ceil(3.3 * volume / BUCKET))
     least = max(FREQUENT, volume >> 22)  # words are four bytes or more, mostly
     counted = named.select("doc", "text").mapInArrow(_count(k, m), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -279,8 +284,11 @@ def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _with_ranges(docs: DataFrame, id_col: str, text_col: str, k: int, m: int) -> DataFrame:
-    ranges = repeats(docs, id_col, text_col, k, m).groupBy("doc", "version").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    text = _versions(docs, id_col, text_col)
+    volume = docs.agg(F.coalesce(F.sum(F.octet_length(column(text_col).cast("string"))), F.lit(0))).first()[0]
+    places = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(volume / JOINED))
+    found = _repeats(docs, id_col, text_col, k, m, volume).repartition(places, "doc", "version")
+    ranges = found.groupBy("doc", "version").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    text = _versions(docs, id_col, text_col).repartition(places, "doc", "version")
     return text.join(ranges, ["doc", "version"], "left").select("doc", "text", "ranges")
 
 
