@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out, labelled_sample, logistic_curve, named, train_row
+from .common import held_out, labelled_sample, logistic_curve, named, settled, train_row
+from .wordhash import slices, texts_of
 
 #: Labelled texts of either class that are sampled; blocks of each class that build a dictionary; its bytes; bytes of a block.
 PER_CLASS, BLOCKS, DICTIONARY, BLOCK, LEVEL = 3000, 3000, 65_536, 1024, 3
@@ -34,9 +35,8 @@ class Model:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
+    for b in slices(batches):
+        for label, raw in zip(b.column(0).to_pylist(), texts_of(b, 1), strict=True):
             own = [raw[k : k + BLOCK] for k in range(0, len(raw), BLOCK)]
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(own), pa.int32()), pa.array(own)], ["label", "block"])
@@ -48,10 +48,9 @@ def _sizes(good: bytes, bad: bytes):
         return lambda texts: np.zeros(len(texts))
     each = [zstandard.ZstdCompressor(dict_data=(d := zstandard.ZstdCompressionDict(raw)), compression_params=zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)) for raw in (good, bad)]
 
-    def difference(texts: list[str]) -> np.ndarray:
+    def difference(texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
-        for k, t in enumerate(texts):
-            raw = t.encode("utf-8", "surrogatepass")
+        for k, raw in enumerate(texts):
             g, b = (sum(len(c.compress(raw[i : i + BLOCK])) for i in range(0, len(raw), BLOCK)) for c in each)
             out[k] = (b - g) / max(b + g, 1)
         return out
@@ -62,8 +61,8 @@ def _sizes(good: bytes, bad: bytes):
 def _score(dictionaries, slope: float, offset: float, keep: list[str]):
     def run(batches):
         difference = _sizes(*dictionaries.value)
-        for b in batches:
-            x = difference(b.column(0).to_pylist())
+        for b in slices(batches):
+            x = difference(texts_of(b, 0))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(1 / (1 + np.exp(-np.clip(slope * x + offset, -40, 40)))), *b.columns[1:]], ["difference", "score", *keep])
 
     return run
@@ -98,13 +97,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     Dictionaries take at most BLOCKS blocks of each label.  The curve's offset is corrected for the labels' shares among all
     labelled training rows.  Without both labels the score is the smoothed share of good rows everywhere.
     """
-    sample = labelled_sample(docs, labels, label_col, per_class, id_col, text_col).withColumn("third", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3))).persist()
+    sample = settled(labelled_sample(docs, labels, label_col, per_class, id_col, text_col).withColumn("third", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3))), "quality_sample")
     known = labels.filter(train_row(F.col(id_col)) & F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("label")).count().collect()
     share = {0: 1, 1: 1} | {r["label"]: r["count"] for r in known}
     blocks = sample.filter("third > 0").select("label", "text").mapInArrow(_pieces, "label int, block binary").withColumn("_order", F.xxhash64("block"))
     raw = {v: _dictionary([bytes(r["block"]) for r in blocks.filter(F.col("label") == v).orderBy("_order", "block").limit(BLOCKS).select("block").collect()]) for v in (0, 1)}
     seen = score(sample.filter("third = 0"), Model(raw[1], raw[0], 0.0, 0.0), keep=("label",)).collect()
-    sample.unpersist()
     count = {v: sum(r["label"] == v for r in seen) for v in (0, 1)}
     if not raw[0] or not raw[1] or not count[0] or not count[1]:
         return Model(b"", b"", 0.0, float(np.log(share[1] / share[0])))

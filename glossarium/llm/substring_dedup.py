@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import named as column
-from .wordhash import CHUNK, Known, Words, chunks, groups, long_windows, mix, pieces, windows
+from .wordhash import CHUNK, Known, Words, chunks, groups, long_windows, mix, pieces, slices, texts_of, windows
 
 #: Bytes of packed strings that a task gathers before it sends them, and that a bucket should hold.
 GATHER, BUCKET = 24 << 20, 16 << 20
@@ -62,7 +62,7 @@ def super_kmers(w: Words, k: int, m: int, frequent: Known) -> tuple[np.ndarray,
 def _cut_up(batch: pa.RecordBatch, k: int) -> Iterator[tuple[list[int], list[int], Words]]:
     """The words of a batch's texts, about CHUNK bytes at a time: row of the batch and number of the first word of each text;
     longer texts come in pieces that share k - 1 words."""
-    for start, stop, own in groups(batch.column(1).to_pylist()):
+    for start, stop, own in groups(texts_of(batch, 1)):
         if len(own[0]) > CHUNK:
             for p, first in pieces(own[0], k - 1):
                 yield [start], [first], Words([p], fold=False)
@@ -81,7 +81,7 @@ def _count(k: int, m: int):
             value, n = value[n >= OFTEN], n[n >= OFTEN]
             return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["piece", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for _, _, w in _cut_up(batch, k):
                 n = np.diff(w.first)
                 of = np.repeat(np.arange(len(n)), n)
@@ -123,7 +123,7 @@ def _send(k: int, m: int, buckets: int, frequent):
                     yield pa.RecordBatch.from_arrays([pa.array([int(of[part[0]])], pa.int32()), pa.array([blob]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32())], _OUT)
             held, size, repeats = {}, 0, []
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, versions = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for rows, shift, w in _cut_up(batch, k):
                 text, first, last, low = super_kmers(w, k, m, known)
@@ -228,15 +228,15 @@ def _settle(k: int):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         out: list[list] = [[], [], [], []]
-        for doc, text, ranges in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for doc, text, ranges in zip(b.column(0).to_pylist(), texts_of(b, 1), b.column(2).to_pylist(), strict=True):
             n, parts = 0, []
             ranges = sorted((r["lo"], r["hi"]) for r in ranges or [])
             gone = at = 0
             for lo, hi in ranges:
                 gone, at = gone + max(hi - max(lo, at), 0), max(at, hi)
-            for piece, _ in pieces((text or "").encode("utf-8", "surrogatepass"), 0):
+            for piece, _ in pieces(text or b"", 0):
                 words = piece.split()
                 if ranges:
                     kept, at = [], 0
@@ -247,14 +247,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     parts += words
                 n += len(words)
-            for c, v in zip(out, (doc, n, gone, b" ".join(parts).decode("utf-8", "surrogatepass")), strict=True):
+            for c, v in zip(out, (doc, n, gone, b" ".join(parts)), strict=True):
                 c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _cut(batches):
-        digest = pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in b.column(3).to_pylist()])
+        digest = pa.array([hashlib.sha256(x).hexdigest() for x in texts_of(b, 3)])
         yield pa.RecordBatch.from_arrays([*b.columns[:3], digest], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import held_out, labelled_sample, logistic_curve, named, train_row
-from .wordhash import chunks
+from .common import held_out, labelled_sample, logistic_curve, named, settled, train_row
+from .wordhash import chunks, slices, texts_of
 
 #: At most so many confirmed and unlabelled texts are fitted on; features kept; lengths in bytes of word beginnings.
 POSITIVES, UNLABELLED, FEATURES, PREFIXES = 4000, 12_000, 1024, (4, 5, 6)
@@ -49,11 +49,14 @@ def _features(words) -> tuple[np.ndarray, np.ndarray]:
 
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(class, feature) once for each text that has it."""
-    for b in batches:
-        for own, w in chunks(b.column(1).to_pylist(), b.column(0).to_pylist(), True, True):
+    for b in slices(batches):
+        for own, w in chunks(b.column(1).to_pylist(), texts_of(b, 0), True, True):
             f, of = _features(w)
-            pair = np.unique(np.rec.fromarrays([of, f]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(own, dtype=np.int32)[pair.f0]), pa.array(pair.f1.view(np.int64))], ["positive", "feature"])
+            order = np.lexsort((f, of))
+            f, of = f[order], of[order]
+            new = np.ones(len(f), dtype=bool)
+            new[1:] = (f[1:] != f[:-1]) | (of[1:] != of[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(own, dtype=np.int32)[of[new]]), pa.array(f[new].view(np.int64))], ["positive", "feature"])
 
 
 def _hits(words, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +74,8 @@ def _hits(words, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _rows(features: np.ndarray):
     def run(batches):
-        for b in batches:
-            for own, w in chunks(b.column(1).to_pylist(), b.column(0).to_pylist(), True, True):
+        for b in slices(batches):
+            for own, w in chunks(b.column(1).to_pylist(), texts_of(b, 0), True, True):
                 text, at = _hits(w, features)
                 lists = [x.tolist() for x in np.split(at, np.searchsorted(text, np.arange(1, len(own))))]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["positive", "at"])
@@ -127,10 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     p = known.filter("label = 1").orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(1).alias("positive"))
     u = text.select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit(12)), "doc_id").limit(unlabelled).select("doc_id", F.lit(0).alias("positive"))
     picked = F.broadcast(p.unionByName(u))  # bounded by the two limits
-    sample = text.join(picked, "doc_id").select("text", "positive").persist()
+    sample = settled(text.join(picked, "doc_id").select("text", "positive"), "toxicity_sample")
     count = dict(sample.groupBy("positive").count().collect())
     if not count.get(1) or not count.get(0):
-        sample.unpersist()
         return none
     c = sample.mapInArrow(_present, "positive int, feature long").groupBy("feature").agg(F.sum("positive").alias("p"), F.count("*").alias("all"))
     in_p, in_u = (F.col("p") + 0.5) / count[1], (F.col("all") - F.col("p")) / count[0]
@@ -143,7 +145,6 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     for r in sample.mapInArrow(_rows(features), "positive int, at array<int>").toLocalIterator():
         x[r["positive"]][at[r["positive"]], r["at"]] = 1
         at[r["positive"]] += 1
-    sample.unpersist()
     weights, bias = descend(x[1], x[0], prior)
     raw = Model(features, weights, bias, prior)
     seen = score(labelled_sample(docs, labels, label_col, CURVE, id_col, text_col), raw, keep=("label",)).collect()
@@ -158,9 +159,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
 def _score(model: Model, names: list[str]):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
-            for own, w in chunks(b.column(1).to_pylist(), b.column(1).to_pylist(), True, True):
+            texts = texts_of(b, 1)
+            for own, w in chunks(texts, texts, True, True):
                 text, at = _hits(w, model.features)
                 z = np.bincount(text, weights=model.weights[at] if len(at) else None, minlength=len(own)) + model.bias
                 out.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))

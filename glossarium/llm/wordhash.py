@@ -11,9 +11,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text that are hashed together; a longer text is hashed alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Rows of a batch that are taken out of it together.
+ROWS = 1000
 #: Bytes from which on a word has a hash of another kind.
 LONG_WORD = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -88,6 +91,18 @@ class Words:
         return out.tobytes(), place[self.start] - 1, place[self.end - 1]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ROWS, so that a worker holds few texts as objects of their own."""
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS):
+            yield b.slice(k, ROWS)
+
+
+def texts_of(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
+    """A text column's values as UTF-8, without a detour by str."""
+    return batch.column(column).cast(pa.binary()).to_pylist()
+
+
 def groups(texts: list[str | bytes | None]) -> Iterator[tuple[int, int, list[bytes]]]:
     """Consecutive texts of about CHUNK bytes together, as UTF-8, with their places [start, stop); a longer text comes alone."""
     at, size, own = 0, 0, []
