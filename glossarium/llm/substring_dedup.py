@@ -99,7 +99,7 @@ def _count(k: int, m: int):
 
 def _send(k: int, m: int, buckets: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, known = zstandard.ZstdCompressor(level=3), Known(frequent.value)
+        pack, known = zstandard.ZstdCompressor(level=6), Known(frequent.value)
         held: dict[bytes, list] = {}  # string -> [smallest document, its version and places, minimiser]
         size = 0
         repeats: list[tuple[int, int, int, int]] = []
