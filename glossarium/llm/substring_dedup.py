@@ -77,8 +77,12 @@ def _count(k: int, m: int):
         held, size = [], 0
 
         def flush():
-            value, n = np.unique(np.concatenate(held), return_counts=True)
-            value, n = value[n >= OFTEN], n[n >= OFTEN]
+            x = np.concatenate(held)
+            held.clear()
+            x.sort()
+            lead = x[: max(len(x) - OFTEN + 1, 0)]
+            value = np.unique(lead[lead == x[OFTEN - 1 :]])
+            n = np.searchsorted(x, value, "right") - np.searchsorted(x, value, "left")
             return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["piece", "n"])
 
         for batch in slices(batches):
