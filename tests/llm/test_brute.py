@@ -6,12 +6,13 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import zstandard
 
 from glossarium.llm import decontaminate as de
-from glossarium.llm import oracle, quality, toxicity
+from glossarium.llm import oracle, quality, substring_dedup, toxicity
 from glossarium.llm.wordhash import Words
 
 NAMES = "Tom Mary Ann Zoe Carl Olga".split()
@@ -177,3 +178,18 @@ def test_quality_scores_one_by_one(spark):
 def test_held_out_is_the_crc_rule(spark):
     rows = toxicity.classify(spark.range(50).selectExpr("id as doc_id", "'x' as text"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+
+
+@pytest.mark.parametrize("words", [0, 30, 57, 58, 4000])
+def test_frequent_pieces(words):
+    """Pieces that stand OFTEN times or more among those counted together, and how often."""
+    r = random.Random(words)
+    texts = [" ".join(r.choices("abc", k=words)), " ".join(["x"] * words), "", "short text"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc", "text"])
+    got = Counter({p: n for b in substring_dedup._count(50, 3)(iter([batch])) for p, n in zip(*(c.to_pylist() for c in b.columns), strict=True)})
+    want = Counter()
+    for t in texts:
+        w = t.split()
+        if len(w) >= 50:
+            want.update(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    assert sorted(got.values()) == sorted(n for n in want.values() if n >= substring_dedup.OFTEN)
