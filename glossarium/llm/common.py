@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +23,16 @@ def named(column: str) -> Column:
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """These names, each behind as many underscores as it takes not to meet a column of df or one another."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for n in names:
-        while n.lower() in taken:
+    return apart(names, *df.columns)
+
+
+def apart(columns: Sequence[str], *taken: str) -> list[str]:
+    """The columns' names, each behind as many underscores as it takes not to meet one of `taken` or one another."""
+    used, out = {c.lower() for c in taken}, []
+    for n in columns:
+        while n.lower() in used:
             n = f"_{n}"
-        taken.add(n.lower())
+        used.add(n.lower())
         out.append(n)
     return out
 

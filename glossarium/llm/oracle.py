@@ -78,5 +78,66 @@ SELECT d.doc_id, any_value(len(w))::BIGINT AS n_words, count(a) FILTER (exact) A
 coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0)::DOUBLE AS score FROM d LEFT JOIN ok ON d.doc_id = ok.doc_id GROUP BY 1"""
 
 
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit with the usual reflected polynomial."""
+    one = "list_reduce(list_prepend(xor(c, x), range(8)), lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({text}) + 1), lambda i: ord(substr({text}, i, 1))::BIGINT)), lambda c, x: {one}))"
+
+
+OP11 = f"""WITH m AS MATERIALIZED (SELECT doc_id, text, lang, source, {_crc32("doc_id::VARCHAR")} % 16 AS m FROM documents),
+late AS MATERIALIZED (SELECT CASE WHEN m IN (3, 4) THEN -1 - doc_id ELSE doc_id END AS k, CASE WHEN m = 1 THEN coalesce(text, '') || '+' ELSE text END AS text, CASE WHEN m = 2 THEN source ELSE lang END AS lang, CASE WHEN m = 2 THEN lang WHEN m = 4 THEN NULL ELSE source END AS source FROM m WHERE m IS DISTINCT FROM 0
+UNION ALL SELECT -1 - doc_id, text, lang, source FROM m WHERE m = 5),
+early AS (SELECT doc_id AS k, text, lang, source FROM m),
+a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY text ORDER BY k) AS i FROM early e WHERE NOT EXISTS (SELECT 1 FROM late WHERE late.k = e.k)),
+b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY text ORDER BY k) AS i FROM late l WHERE NOT EXISTS (SELECT 1 FROM early WHERE early.k = l.k)),
+pair AS (SELECT true AS keyed, e.k AS old_key, l.k AS new_key, e.text AS t0, l.text AS t1, e.lang AS l0, l.lang AS l1, e.source AS s0, l.source AS s1 FROM early e JOIN late l ON e.k = l.k
+UNION ALL SELECT false, a.k, b.k, a.text, b.text, a.lang, b.lang, a.source, b.source FROM a FULL JOIN b ON a.i = b.i AND (a.text = b.text OR a.text IS NULL AND b.text IS NULL)),
+said AS (SELECT *, concat_ws(',', CASE WHEN t0 IS DISTINCT FROM t1 THEN 'text' END, CASE WHEN l0 IS DISTINCT FROM l1 THEN 'lang' END, CASE WHEN s0 IS DISTINCT FROM s1 THEN 'source' END) AS differs FROM pair)
+SELECT coalesce(new_key, old_key) AS key, old_key, CASE WHEN old_key IS NULL THEN 'insert' WHEN new_key IS NULL THEN 'delete' WHEN NOT keyed THEN 'rekey' WHEN differs = '' THEN 'same' ELSE 'update' END AS op,
+CASE WHEN old_key IS NULL OR new_key IS NULL THEN '' ELSE differs END AS changed, CASE WHEN new_key IS NOT NULL THEN sha256(coalesce(t1, '~') || chr(10) || coalesce(l1, '~') || chr(10) || coalesce(s1, '~')) END AS row_sha256 FROM said"""
+
+
+def op12(levels: int = 6) -> str:
+    """Level by level: k<i> has the nodes of level i, n of them in each tree; a tree of one node stays as it is.
+
+    levels: enough for 16 ** levels rows of a source, and as many sources.
+    """
+    texts = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "text")
+    row = lambda *t: "sha256(" + " || ".join(f"coalesce(octet_length(encode({x}))::VARCHAR || ':' || {x}, '-')" for x in t) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        f"d AS MATERIALIZED (SELECT doc_id, source, {row(*texts)} AS leaf, CASE WHEN {_crc32('doc_id::VARCHAR')} % 5 = 0 THEN {row(*texts[:4], lower)} ELSE {row(*texts)} END AS now FROM documents)",
+        "a0 AS MATERIALIZED (SELECT source AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, count(*) OVER (PARTITION BY source) AS n, doc_id, leaf, now FROM d)",
+    ]
+
+    def tree(p: str) -> None:
+        for k in range(levels):
+            ctes.append(f"{p}g{k} AS MATERIALIZED (SELECT tree, i // 16 AS g, any_value(n) AS n, list(h ORDER BY i) AS hs FROM {p}{k} GROUP BY ALL)")
+            if k + 1 < levels:
+                ctes.append(f"{p}{k + 1} AS MATERIALIZED (SELECT tree, CASE WHEN n = 1 THEN 0 ELSE g END AS i, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h, CASE WHEN n = 1 THEN 1 ELSE (n + 15) // 16 END AS n FROM {p}g{k})")
+
+    tree("a")
+    ctes.append(f"b0 AS MATERIALIZED (SELECT 0 AS tree, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n, source FROM (SELECT tree AS source, h FROM a{levels - 1}))")
+    tree("b")
+    ctes.append("l0 AS (SELECT doc_id, leaf, tree AS source, i, now AS f, '' AS proof FROM a0)")
+    last = "l0"
+
+    def up(p: str, key: str) -> None:
+        nonlocal last
+        for k in range(levels - 1):
+            j, at = len(ctes), f"{last}.i % 16"
+            left, right = f"array_to_string(hs[1:({at})::INT], '')", f"array_to_string(hs[({at})::INT + 2:], '')"
+            ctes.append(f"l{j} AS (SELECT doc_id, leaf, source, CASE WHEN n = 1 THEN 0 ELSE {last}.i // 16 END AS i, CASE WHEN n = 1 THEN f ELSE sha256({left} || f || {right}) END AS f, CASE WHEN n = 1 THEN proof ELSE proof || {left} || {right} END AS proof FROM {last} JOIN {p}g{k} g ON g.tree IS NOT DISTINCT FROM {key} AND g.g = {last}.i // 16)")
+            last = f"l{j}"
+
+    up("a", "source")
+    j = len(ctes)
+    ctes.append(f"m{j} AS (SELECT doc_id, leaf, b0.source, b0.i, f, proof, h AS subroot FROM {last} JOIN b0 ON b0.source IS NOT DISTINCT FROM {last}.source)")
+    ctes.append("s AS (SELECT source AS of, h AS subroot FROM b0)")
+    last = f"m{j}"
+    up("b", "0")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM {last} JOIN s ON s.of IS NOT DISTINCT FROM {last}.source CROSS JOIN (SELECT h AS root FROM b{levels - 1})"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": op1(), "op3_jaccard_join": OP3, "op4_super_kmers": OP4, "op5_warc_index": OP5, "op10_license_diagonals": op10()}
+    return {"op1_decontaminate": op1(), "op3_jaccard_join": OP3, "op4_super_kmers": OP4, "op5_warc_index": OP5, "op10_license_diagonals": op10(), "op11_snapshot_diff": OP11, "op12_merkle_manifest": op12()}
