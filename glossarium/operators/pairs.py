@@ -11,8 +11,13 @@ MEASURES = ["p", "p_n", "p_v", "dist", "p_obl", "p_subj", "p_obj", "p_other", "p
 
 
 def arcs(tokens: DataFrame, *sentence: str) -> DataFrame:
-    """One row per arc from a noun to the verb that is its head: sentence keys, noun, verb, noun_id, verb_id, deprel."""
+    """One row per arc from a noun to the verb that is its head: sentence keys, noun, verb, noun_id, verb_id, deprel.
+
+    Tokens that carry head_lemma, the lemma of the verb that heads them (else null), need no join.
+    """
     keys = list(sentence)
+    if "head_lemma" in tokens.columns:
+        return tokens.filter("upos = 'NOUN' and head_lemma is not null").select(*keys, F.col("lemma").alias("noun"), F.col("head_lemma").alias("verb"), F.col("id").alias("noun_id"), F.col("head").alias("verb_id"), "deprel")
     n = tokens.filter("upos = 'NOUN'").select(*keys, F.col("lemma").alias("noun"), F.col("id").alias("noun_id"), F.col("head").alias("verb_id"), "deprel")
     v = tokens.filter("upos = 'VERB'").select(*keys, F.col("id").alias("verb_id"), F.col("lemma").alias("verb"))
     return n.join(v, [*keys, "verb_id"]).select(*keys, "noun", "verb", "noun_id", "verb_id", "deprel")

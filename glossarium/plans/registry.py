@@ -42,7 +42,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def tokens(spark, sf_dir):
-    return _ann(spark, sf_dir)
+    return _ann(spark, sf_dir).drop("head_lemma")
 
 
 def sentence_stats(spark, sf_dir):
@@ -121,7 +121,7 @@ def association(spark, sf_dir):
 
 def _between(spark, sf_dir):
     ann = _tokens(spark, sf_dir)
-    return patterns.between(ann, pairs.arcs(ann, *KEYS), *KEYS)
+    return patterns.between(ann, pairs.arcs(ann, *KEYS), *KEYS, dense=True)
 
 
 def pair_patterns(spark, sf_dir):
@@ -139,7 +139,7 @@ def pattern_freq(spark, sf_dir):
 def feature_matrix(spark, sf_dir):
     ann = _tokens(spark, sf_dir)
     arc = _arcs(spark, sf_dir, ann)
-    found = lowrank.kept(patterns.between(ann, arc, *KEYS), "between")
+    found = lowrank.kept(patterns.between(ann, arc, *KEYS, dense=True), "between")
     top = [r["pattern"] for r in patterns.most_frequent(found).collect()]  # twenty
     return _rounded(patterns.matrix(pairs.association(arc), patterns.frequencies(found), top))
 
@@ -298,7 +298,7 @@ def gbt_predict(spark, sf_dir):
     t = lowrank.kept(_ann(spark, sf_dir), "tokens")
     arc = lowrank.kept(pairs.arcs(t, *KEYS), "arcs")
     counts = lowrank.kept(_cooc(spark, sf_dir), "cooc")
-    found = lowrank.kept(patterns.between(t, arc, *KEYS), "between")
+    found = lowrank.kept(patterns.between(t, arc, *KEYS, dense=True), "between")
     top = [r["pattern"] for r in patterns.most_frequent(found).collect()]  # twenty
     space = vectors.LatentSpace(counts)
     exprs = space.expressions(cooc.expression_weights(cooc.expression_counts(t, *KEYS), cooc.row_sums(counts)))
@@ -347,6 +347,7 @@ _CTE = {
         JOIN (SELECT doc_id, sid, lemma AS verb, max(id) AS at FROM ann WHERE upos = 'VERB' GROUP BY ALL) v ON n.doc_id = v.doc_id AND n.sid = v.sid AND n.at = v.at)""",
     "exc": """exc AS MATERIALIZED (SELECT noun, verb, lemma AS word, sum(m)::BIGINT AS c FROM ex JOIN bag ON ex.doc_id = bag.doc_id AND ex.sid = bag.sid WHERE lemma <> noun AND lemma <> verb GROUP BY ALL)""",
     "lvc": """lvc AS MATERIALIZED (SELECT DISTINCT noun, verb FROM arc WHERE noun_id - verb_id = 1)""",
+    "halves": """halves AS (SELECT noun, verb, count(*) FILTER (doc_id % 2 = 0) AS n0, count(*) FILTER (doc_id % 2 = 1) AS n1, count(*) FILTER (noun_id - verb_id = 1) AS lvc FROM arc WHERE doc_id % 2 IN (0, 1) GROUP BY noun, verb)""",
     "half": """half AS MATERIALIZED (SELECT doc_id % 2 AS h, noun, verb, count(*) AS n FROM arc GROUP BY ALL)""",
     "scored": f"""scored AS MATERIALIZED (SELECT a.noun, a.verb, round(pmi, 9) AS score, CASE WHEN round(pmi, 9) > {PMI} THEN 'YES' ELSE 'NO' END AS prediction, CASE WHEN l.noun IS NULL THEN 'NO' ELSE 'YES' END AS is_lvc FROM assoc a LEFT JOIN lvc l ON a.noun = l.noun AND a.verb = l.verb)""",
     "emb": """emb AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)""",
@@ -354,7 +355,7 @@ _CTE = {
 }
 _NEEDS = {
     "pos": ["tok"], "ann": ["pos"], "numbered": ["ann"], "parsed": ["numbered"], "arc": ["ann"], "cand": ["arc"], "prob": ["cand"], "assoc": ["prob"], "pat": ["arc"], "top": ["pat"], "freq": ["top"], "bag": ["tok"], "cooc": ["bag"], "rs": ["cooc"],
-    "ex": ["ann"], "exc": ["ex", "bag"], "lvc": ["arc"], "half": ["arc"], "scored": ["assoc", "lvc"], "cen": ["emb"],
+    "ex": ["ann"], "exc": ["ex", "bag"], "lvc": ["arc"], "half": ["arc"], "halves": ["arc"], "scored": ["assoc", "lvc"], "cen": ["emb"],
 }
 
 
@@ -412,8 +413,8 @@ def oracle_sql() -> dict[str, str]:
         "lvc_truth": _sql("SELECT * FROM lvc", "lvc"),
         "label_join": _sql("SELECT c.noun, c.verb, n, CASE WHEN l.noun IS NULL THEN 'NO' ELSE 'YES' END AS is_lvc FROM cand c LEFT JOIN lvc l ON c.noun = l.noun AND c.verb = l.verb", "cand", "lvc"),
         "semi_candidates": _sql("SELECT noun, verb, round(p, 9) AS p, round(pmi, 9) AS pmi FROM assoc a WHERE EXISTS (SELECT 1 FROM half h WHERE h = 1 AND h.noun = a.noun AND h.verb = a.verb)", "assoc", "half"),
-        "anti_train": _sql("SELECT noun, verb, n FROM half a WHERE h = 1 AND NOT EXISTS (SELECT 1 FROM half b WHERE b.h = 0 AND b.noun = a.noun AND b.verb = a.verb)", "half"),
-        "outer_labels": _sql("SELECT coalesce(a.noun, b.noun) AS noun, coalesce(a.verb, b.verb) AS verb, CASE WHEN a.noun IS NULL THEN '~' WHEN l.noun IS NULL THEN 'NO' ELSE 'YES' END AS prediction, CASE WHEN b.noun IS NULL THEN '~' WHEN l.noun IS NULL THEN 'NO' ELSE 'YES' END AS is_lvc FROM (SELECT * FROM half WHERE h = 0) a FULL JOIN (SELECT * FROM half WHERE h = 1) b ON a.noun = b.noun AND a.verb = b.verb LEFT JOIN lvc l ON l.noun = coalesce(a.noun, b.noun) AND l.verb = coalesce(a.verb, b.verb)", "half", "lvc"),
+        "anti_train": _sql("SELECT noun, verb, n1 AS n FROM halves WHERE n0 = 0 AND n1 > 0", "halves"),
+        "outer_labels": _sql("SELECT noun, verb, CASE WHEN n0 = 0 THEN '~' WHEN lvc = 0 THEN 'NO' ELSE 'YES' END AS prediction, CASE WHEN n1 = 0 THEN '~' WHEN lvc = 0 THEN 'NO' ELSE 'YES' END AS is_lvc FROM halves", "halves"),
         "confusion": _sql("SELECT prediction, is_lvc, count(*) AS n FROM scored GROUP BY 1, 2", "scored"),
         "prf_kappa": _sql(
             f", c AS (SELECT {_TP}, (SELECT count(*) FROM lvc)::DOUBLE AS tot FROM scored), d AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, tp + fp + fn + tn AS n FROM c), e AS (SELECT *, coalesce(recall * (tp + fn) / nullif(tot, 0), 0) AS true_recall, (tp + tn) / n AS po, ((tp + fp) * (tp + fn) + (tn + fp) * (tn + fn)) / (n * n) AS pe FROM d) "

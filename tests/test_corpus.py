@@ -1,6 +1,7 @@
 """Hand-computed micro-corpora for the source, the arcs, the features, the patterns, co-occurrence, truth and evaluation."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,66 @@ def test_patterns(tokens):
     assert freq["décision", "DET"] == freq["décision", "NOUN"] == 0.5
 
 
+def test_patterns_of_long_sentences(spark, monkeypatch):
+    """Blocks of a few tags, ids with gaps and halves, tokens without a tag; and a sentence of a million tokens."""
+    monkeypatch.setattr(patterns, "BLOCK", 3)
+    r = random.Random(2)
+    rows, arcs, want = [], [], []
+    for sid in range(6):
+        ids = sorted(r.sample(range(1, 60), 2 + 7 * sid)) + [70.5]
+        tags = {float(i): r.choice(["DET", "ADJ", "NOUN", None]) for i in ids}
+        rows += [(sid, i, t) for i, t in tags.items()]
+        for k in range(9):
+            a, b = r.sample(sorted(tags), 2)
+            arcs.append((sid, f"n{k}", "v", a, b))
+            want.append((sid, f"n{k}", "|".join(t for i, t in sorted(tags.items()) if min(a, b) < i < max(a, b) and t)))
+    found = patterns.between(spark.createDataFrame(rows, "sid int, id double, upos string"), spark.createDataFrame(arcs, "sid int, noun string, verb string, noun_id double, verb_id double"), "sid")
+    assert sorted((x["sid"], x["noun"], x["pattern"]) for x in found.collect()) == sorted(want)
+    monkeypatch.undo()
+    n = 1_000_000
+    tokens = spark.range(1, n + 1).selectExpr("1 as sid", "id", "if(id % 7 = 0, 'ADP', 'DET') as upos")
+    pairs_ = spark.range(1, n - 10, 3).selectExpr("1 as sid", "'n' as noun", "'v' as verb", "id as noun_id", "id + 1 + id % 5 as verb_id").unionByName(spark.createDataFrame([(1, "n", "v", n, 1)], "sid int, noun string, verb string, noun_id long, verb_id long"))
+    got = patterns.between(tokens, pairs_, "sid", dense=True).selectExpr("noun_id", "length(pattern) as size", "if(noun_id = 7, pattern, null) as said", "hash(pattern)").collect()
+    assert len(got) == pairs_.count() and {x["said"] for x in got if x["noun_id"] == 7} == {"DET|DET"} and max(x["size"] for x in got) == 4 * (n - 2) - 1
+
+
+def test_expressions_of_long_sentences(spark, monkeypatch):
+    """Pieces of a few words and expressions change nothing; ids that repeat; only some pairs."""
+    r = random.Random(4)
+    rows = [(sid, i, f"w{r.randrange(9)}", r.choice(["NOUN", "VERB", "ADJ"]), r.randrange(0, 30)) for sid in range(8) for i in range(1, 4 + 4 * sid)] + [(9, 1, "a", "VERB", 0), (9, 1, "b", "VERB", 0), (9, 2, "c", "NOUN", 1)]
+    tokens = spark.createDataFrame(rows, "sid int, id long, lemma string, upos string, head long")
+    want = {}
+    for sid in {x[0] for x in rows}:
+        own = [x for x in rows if x[0] == sid]
+        nouns, verbs = {}, {}
+        for _, i, w, tag, head in own:
+            if tag == "NOUN":
+                nouns[w] = max(nouns.get(w, (0, 0)), (i, head))
+            if tag == "VERB":
+                verbs[w] = max(verbs.get(w, 0), i)
+        for n, (_, head) in nouns.items():
+            for v in (v for v, at in verbs.items() if at == head):
+                for x in own:
+                    if x[2] not in (n, v):
+                        want[n, v, x[2]] = want.get((n, v, x[2]), 0) + 1
+    for size in (512, 2):
+        monkeypatch.setattr(cooc, "PIECE", size)
+        assert {tuple(x)[:3]: x["c"] for x in cooc.expression_counts(tokens, "sid").collect()} == want
+    some = spark.createDataFrame([k[:2] for k in want][::3], "noun string, verb string").distinct()
+    kept = {tuple(x) for x in some.collect()}
+    assert {tuple(x)[:3]: x["c"] for x in cooc.expression_counts(tokens, "sid", only=some).collect()} == {k: c for k, c in want.items() if k[:2] in kept}
+
+
+def test_arcs_without_a_join(spark):
+    """The lemma that a token carries gives the arcs that a join by head gives."""
+    from glossarium.operators import annotate
+
+    ann = annotate.annotate(spark.createDataFrame([(1, "Abcd efghi jklm. Abcd efgh ab nopqr stuv efghi. uvwx ab"), (2, None)], "doc_id long, text string"))
+    plan = pairs.arcs(ann, "doc_id", "sid")._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(pairs.arcs(ann, "doc_id", "sid")) == rows(pairs.arcs(ann.drop("head_lemma"), "doc_id", "sid")) != [] and "Join" not in plan
+
+
 def test_cooccurrence(spark):
     t = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "a"), (2, "c")], "sid int, lemma string")
     c = cooc.counts(t, "sid")
