@@ -3,8 +3,9 @@
 Numbers, names and units become typed placeholders, so a question with other numbers and other names keeps its template.
 Windows of canonical tokens are hashed and joined to the benchmark's.  Hits on one diagonal (place in the document minus place
 in the item) belong together; neighbouring diagonals, as inserted or lost words leave them, are one occurrence of the item, and
-in it every slot must be filled consistently: one benchmark value, one value in the document.  A document is reported with an
-item when consistent occurrences cover enough of the item's windows.  Items without a window that counts, or with none but the
+in it every slot must be filled consistently: each benchmark value stands for one value of the document, and no two for the same.
+Windows that contradict this do not count, the others do.  A document is reported with an item when consistent windows cover enough
+of the item's windows.  Items without a window that counts, or with none but the
 first, are looked for whole as well: all their words as written, but for case and marks.
 """
 
@@ -18,6 +19,8 @@ from .common import SPACES, by_row, named, row_key, settled
 
 #: Tokens of a window, how many of them must be words, and the share of an item's windows that must be met.
 WINDOW, FIXED, COVERED = 8, 4, 0.5
+#: Share of a benchmark value's places in an occurrence that must agree for it to stand for what they say.
+CLEAR = 2 / 3
 #: Words of an item that is looked for whole, at least: shorter ones are everyday phrases.
 SHORTEST = 3
 #: Windows of the benchmark that are broadcast; beyond, the join shuffles.
@@ -135,15 +138,33 @@ def _occurrences(hits: DataFrame) -> DataFrame:
     return df.withColumn("occurrence", F.sum("new").over(order))
 
 
+def _consistent(hits: DataFrame) -> DataFrame:
+    """The windows of occurrences that fill their slots as the rest of the occurrence does, with changed (some slot differs).
+
+    A benchmark value stands for what CLEAR of its places in the occurrence say, else for itself if a place says so, else for
+    nothing.  Of values that stand for the same, that with more places (then itself, then the smaller one) keeps it.
+    """
+    window = ["row", "item_id", "occurrence"]
+    slots = f"array_distinct(transform(filter(sequence(0, {WINDOW - 1}), j -> pair.item_form[j] {_SLOT}), j -> struct(pair.item_form[j] as kind, pair.item_raw[j] as said, pair.raw[j] as now, pos + j as at)))"
+    each = hits.select(*window, "in_item", "pos", "place", F.explode_outer(F.expr(slots)).alias("s")).select(*window, "in_item", "pos", "place", "s.*")
+    of = lambda *c: Window.partitionBy(*window, *c)  # noqa: E731  all lie within the partitions of _occurrences()
+    # every place of the document speaks once, whatever number of windows it is in
+    each = each.withColumn("first", (F.row_number().over(of("kind", "said", "now", "at").orderBy("pos", "place")) == 1).cast("int"))
+    each = each.withColumn("votes", F.sum("first").over(of("kind", "said", "now"))).withColumn("all", F.sum("first").over(of("kind", "said")))
+    clear, own = F.col("votes") >= CLEAR * F.col("all"), F.col("now") == F.col("said")
+    each = each.withColumn("chosen", clear | (own & ~F.max(clear).over(of("kind", "said"))))
+    best = F.first("said").over(of("kind", "now").orderBy(F.desc("chosen"), F.desc("votes"), F.desc(own), "said"))
+    each = each.withColumn("fits", F.col("kind").isNull() | (F.col("chosen") & (best == F.col("said"))))
+    ok = each.groupBy(*window, "in_item", "pos", "place").agg(F.min("fits").alias("fits"), F.max(F.coalesce(~own, F.lit(False))).alias("changed"))
+    return ok.filter("fits")
+
+
 def _by_row(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """matches() with `row`, a row_key(), for doc_id."""
     known = settled(benchmark_windows(benchmark), "windows")
     tokens = canonical(docs.select(row_key(id_col, text_col).alias("row"), named(text_col).alias("text")), "row", "text")
     hits = _occurrences(_hits(tokens, known, known.count() <= BROADCAST))
-    slots = f"transform(filter(sequence(0, {WINDOW - 1}), j -> pair.item_form[j] {_SLOT}), j -> struct(pair.item_form[j] as kind, pair.item_raw[j] as said, pair.raw[j] as now))"
-    lines = hits.groupBy("row", "item_id", "in_item", "occurrence").agg(F.collect_set("place").alias("seen"), F.array_distinct(F.flatten(F.collect_set(F.expr(slots)))).alias("slots"))
-    lines = lines.filter("size(array_distinct(transform(slots, s -> struct(s.kind, s.said)))) = size(slots)")
-    found = lines.groupBy("row", "item_id", "in_item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).cast("long").alias("n_windows"), F.max(F.expr("exists(slots, s -> s.said <> s.now)")).alias("changed"))
+    found = _consistent(hits).groupBy("row", "item_id", "in_item").agg(F.count_distinct("place").alias("n_windows"), F.max("changed").alias("changed"))
     found = found.withColumn("coverage", F.col("n_windows") / F.col("in_item")).filter(F.col("coverage") >= COVERED).select("row", "item_id", "n_windows", "coverage", "changed")
     wholes = _wholes(tokens, settled(benchmark_wholes(benchmark), "wholes"))
     if wholes is None:

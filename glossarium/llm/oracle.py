@@ -51,9 +51,13 @@ hit AS MATERIALIZED (SELECT doc_id, item_id, in_item, pos, place, pos - place AS
 best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, pos ORDER BY votes DESC, diag) = 1),
 step AS (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY doc_id, item_id ORDER BY diag) >= {n} THEN 1 ELSE 0 END AS new FROM best),
 occ AS MATERIALIZED (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY diag) AS occ FROM step),
-slot AS MATERIALIZED (SELECT doc_id, item_id, occ, item_form[j] AS kind, item_raw[j] AS said, count(DISTINCT raw[j]) AS values, max(item_raw[j] <> raw[j]) AS differs FROM (SELECT *, unnest(range(1, {n} + 1)) AS j FROM occ) WHERE item_form[j] IN {slot} GROUP BY ALL),
-one AS (SELECT doc_id, item_id, occ, max(values) AS values, max(differs) AS differs FROM slot GROUP BY 1, 2, 3),
-found AS (SELECT o.doc_id, o.item_id, in_item, count(DISTINCT place) AS n_windows, coalesce(max(differs), false) AS changed FROM occ o LEFT JOIN one USING (doc_id, item_id, occ) WHERE coalesce(values, 1) = 1 GROUP BY 1, 2, 3),
+slot AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, occ, pos, place, item_form[j] AS kind, item_raw[j] AS said, raw[j] AS now, pos + j AS spot FROM (SELECT *, unnest(range(1, {n} + 1)) AS j FROM occ) WHERE item_form[j] IN {slot}),
+vote AS MATERIALIZED (SELECT *, sum(votes) OVER (PARTITION BY doc_id, item_id, occ, kind, said) AS summed FROM (SELECT doc_id, item_id, occ, kind, said, now, count(DISTINCT spot) AS votes FROM slot GROUP BY ALL)),
+pick AS (SELECT *, 3 * votes >= 2 * summed OR now = said AND NOT max(3 * votes >= 2 * summed) OVER (PARTITION BY doc_id, item_id, occ, kind, said) AS chosen FROM vote),
+fit AS MATERIALIZED (SELECT doc_id, item_id, occ, kind, said, now FROM pick WHERE chosen QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, occ, kind, now ORDER BY votes DESC, now = said DESC, said) = 1),
+bad AS (SELECT DISTINCT doc_id, item_id, occ, pos, place FROM slot s WHERE NOT EXISTS (SELECT 1 FROM fit f WHERE f.doc_id = s.doc_id AND f.item_id = s.item_id AND f.occ = s.occ AND f.kind = s.kind AND f.said = s.said AND f.now = s.now)),
+differ AS (SELECT doc_id, item_id, occ, pos, place, max(said <> now) AS differs FROM slot GROUP BY ALL),
+found AS (SELECT o.doc_id, o.item_id, in_item, count(DISTINCT place) AS n_windows, max(coalesce(differs, false)) AS changed FROM (SELECT * FROM occ ANTI JOIN bad USING (doc_id, item_id, occ, pos, place)) o LEFT JOIN differ USING (doc_id, item_id, occ, pos, place) GROUP BY 1, 2, 3),
 whole AS (SELECT item_id, ' ' || lower(array_to_string(raw, ' ')) || ' ' AS s FROM b WHERE len(raw) >= {de.SHORTEST} AND item_id NOT IN (SELECT item_id FROM place WHERE place > 0)),
 every AS (SELECT doc_id, item_id, n_windows, n_windows / in_item AS coverage, changed FROM found WHERE n_windows / in_item >= {de.COVERED}
 UNION ALL SELECT doc_id, item_id, 1, 1.0, false FROM d JOIN whole ON contains(' ' || lower(array_to_string(raw, ' ')) || ' ', s))

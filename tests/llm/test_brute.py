@@ -1,5 +1,6 @@
 """Operators against plain Python, where their results come from long computations."""
 
+import collections
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -78,14 +79,23 @@ def brute(docs, items):
                 last = d
             seen, changed = set(), False
             for one in occurrences:
-                slots = defaultdict(set)
-                for pos, p in one:
-                    for j in range(8):
-                        if hits[pos, p][j][0] == "#":
-                            slots[hits[pos, p][j], iraw[p + j]].add(raw[pos + j])
-                if all(len(v) == 1 for v in slots.values()):
-                    seen |= {p for _, p in one}
-                    changed |= any(v != {k[1]} for k, v in slots.items())
+                slots = lambda pos, p: [(hits[pos, p][j], iraw[p + j], raw[pos + j], pos + j) for j in range(8) if hits[pos, p][j][0] == "#"]
+                votes_of = defaultdict(Counter)
+                for kind, was, now, _ in {s for w in one for s in slots(*w)}:
+                    votes_of[kind, was][now] += 1
+                chosen = {}
+                for (kind, was), c in votes_of.items():
+                    now = next((x for x, v in c.items() if 3 * v >= 2 * c.total()), was if was in c else None)
+                    if now is not None:
+                        chosen[kind, was] = (c[now], now)
+                keeper = {}
+                for (kind, was), (v, now) in chosen.items():
+                    keeper[kind, now] = min(keeper.get((kind, now), (1, True, "")), (-v, now != was, was))
+                for w in one:
+                    own = slots(*w)
+                    if all(chosen.get(s[:2], (0, None))[1] == s[2] and keeper[s[0], s[2]][2] == s[1] for s in own):
+                        seen.add(w[1])
+                        changed |= any(s[1] != s[2] for s in own)
             rows = [(len(seen), len(seen) / len(places), changed)] if seen and len(seen) / len(places) >= 0.5 else []
             if not any(places[k] > 0 for k in range(len(places))) and len(iraw) >= 3:
                 low, ilow = [x.lower() for x in raw], [x.lower() for x in iraw]
@@ -123,6 +133,17 @@ def test_an_inserted_word_does_not_hide_a_wrong_slot(spark):
     assert found == {2: True, 3: True}
 
 
+def test_one_wrong_slot_does_not_hide_a_copy(spark):
+    """A copy whose second Mary is called otherwise; one with other names, of which one place in three deviates; two names made one."""
+    item = "Today Tom has 3 apples and Mary gives him 5 kg of old apples before Mary walks home alone with all the other apples"
+    long = "One day Tom met a very old man who asked him for bread and then Tom went back home to ask for it and there Tom sat down with them all to eat what was left of it"
+    other = long.replace("Tom", "Bob")
+    docs = [(0, item.replace("Mary walks", "Marie walks")), (1, "so: " + item.replace("Mary gives", "Marie gives") + ". and on"), (2, item.replace("Mary gives", "Ann gives").replace("Mary walks", "Zoe walks")), (3, other), (4, other.replace("Bob sat", "Carl sat")), (5, item.replace("Tom", "Ann").replace("Mary", "Ann")), (6, item.replace("Tom", "X1").replace("Mary", "Tom").replace("X1", "Mary"))]
+    found = {(r["doc_id"], r["item_id"]): r["changed"] for r in de.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")).collect()}
+    assert found == {(0, 1): False, (1, 1): False, (3, 2): True, (4, 2): True, (5, 1): True, (6, 1): True}
+    assert found.keys() == brute(docs, [(1, item), (2, long)]).keys()
+
+
 def test_risk_gradient_by_finite_differences():
     r = np.random.default_rng(1)
     for shift in (0.0, -3.0):  # the second: the risk on negatives is below zero, and its reversed gradient is the one of -minus
@@ -193,3 +214,28 @@ def test_frequent_pieces(words):
         if len(w) >= 50:
             want.update(tuple(w[k : k + 3]) for k in range(len(w) - 2))
     assert sorted(got.values()) == sorted(n for n in want.values() if n >= substring_dedup.OFTEN)
+
+
+def test_samples_are_bounded_where_one_id_repeats(spark):
+    """One labelled id in 30,000 rows, and 30,000 texts under one id."""
+    from glossarium.llm import common
+
+    copies = spark.range(30_000).selectExpr("2L as doc_id", "'the same words' as text")
+    texts = spark.range(30_000).selectExpr("3L as doc_id", "concat('text ', id) as text")
+    others = spark.createDataFrame([(k, f"other {k}") for k in range(100)], "doc_id long, text string")
+    docs = copies.unionByName(texts).unionByName(others)
+    labels = spark.createDataFrame([(2, 1), (2, 0), (2, 1), (3, 1), *((k, 0) for k in range(10, 40))], "doc_id long, toxic int")
+    got = collections.Counter(r["label"] for r in common.labelled_sample(docs, labels, "toxic", 500).collect())
+    assert got[1] == 500 and got[0] == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(10, 40))
+    assert {tuple(r) for r in common.labelled_sample(copies, labels, "toxic", 500).collect()} == {(2, "the same words", 1)} and common.labelled_sample(copies, labels, "toxic", 500).count() == 1
+    assert common.few_texts(docs, 700, 12).count() == 700
+    assert sorted(tuple(r) for r in common.known_labels(labels, "toxic").filter("doc_id < 10").collect()) == [(2, 1), (3, 1)]
+
+
+def test_fits_say_the_same_whatever_the_partitions(spark):
+    r = random.Random(9)
+    rows = [(k, " ".join(r.choice(["moron", "table", "chair", "lamp", "door"]) for _ in range(9)) if k % 5 == 0 else " ".join(r.choice(["table", "chair", "lamp", "door"]) for _ in range(9))) for k in range(300)] + [(500, None), (501, ""), (None, "moron"), (502, "moron " * 200_000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(0, 300, 2)], "doc_id long, toxic int")
+    one, two = (toxicity.classify(docs.repartition(n), labels).orderBy("doc_id", "score").collect() for n in (1, 5))
+    assert [r["doc_id"] for r in one] == [r["doc_id"] for r in two] and [r["score"] for r in one] == pytest.approx([r["score"] for r in two], abs=1e-4)
+    assert one[-1]["doc_id"] == 502 and one[-1]["predicted"] == 1 and len(one) == len(rows)
