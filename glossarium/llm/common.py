@@ -119,17 +119,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(~train_row(doc_id), F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, label) of at most per_class training rows of either class, the smallest by a hash of the id.
+def known_labels(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, label) of the rows that labels may be learnt from: 0 or 1, an id once, with its larger label."""
+    known = labels.select(named(id_col).alias("doc_id"), named(label_col).cast("int").alias("label")).filter(train_row(F.col("doc_id")) & F.col("label").isin(0, 1))
+    return known.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def few_texts(docs: DataFrame, most: int, seed: int, among: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) of at most `most` training rows, the smallest by a hash of id and text; of the ids in `among` (doc_id), if given.
 
-    Only labels 0 and 1 of rows that train_row() allows count; an id with several labels counts once, with the larger one.
-    The ids that are broadcast are at most 2 * per_class.
+    Rows that repeat id and text count once, an id with several texts once for each; a null text is empty.  Ids and hashes are
+    sorted first, so only rows that are taken send their texts; at most `most` pairs of them are broadcast.
     """
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(train_row(F.col("doc_id")) & F.col("label").isin(0, 1))
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("_order", F.xxhash64(F.col("doc_id"), F.lit(11)))
-    picked = [known.filter(F.col("label") == v).orderBy("_order", "doc_id").limit(per_class) for v in (0, 1)]
-    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return text.join(F.broadcast(picked[0].unionByName(picked[1]).drop("_order")), "doc_id").select("doc_id", "text", "label")
+    rows = docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text")).filter(train_row(F.col("doc_id")))
+    rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    narrow = rows.select("doc_id", "_order")
+    if among is not None:
+        narrow = narrow.join(among.select("doc_id").distinct(), "doc_id", "left_semi")
+    taken = narrow.distinct().orderBy("_order", "doc_id").limit(most)
+    return rows.join(F.broadcast(taken), ["doc_id", "_order"]).dropDuplicates(["doc_id", "_order"]).select("doc_id", "text")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, label): few_texts() of either class, of known_labels()."""
+    known = known_labels(labels, label_col, id_col)
+    each = [few_texts(docs, per_class, 11, known.filter(F.col("label") == v), id_col, text_col).withColumn("label", F.lit(v)) for v in (0, 1)]
+    return each[0].unionByName(each[1])
 
 
 def logistic_curve(x, y, steps: int = 50) -> tuple[float, float]:

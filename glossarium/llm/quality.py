@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out, labelled_sample, logistic_curve, named, settled, train_row
+from .common import held_out, known_labels, labelled_sample, logistic_curve, named, settled
 from .wordhash import slices, texts_of
 
 #: Labelled texts of either class that are sampled; blocks of each class that build a dictionary; its bytes; bytes of a block.
@@ -94,11 +94,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
     """Learn from at most per_class training rows of either label: two thirds build the dictionaries, a third the curve.
 
-    Dictionaries take at most BLOCKS blocks of each label.  The curve's offset is corrected for the labels' shares among all
+    Rows that repeat id and text count once; an id with several texts counts with each, within the same bound, and with the larger
+    of its labels.  Dictionaries take at most BLOCKS blocks of each label.  The curve's offset is corrected for the labels' shares among all
     labelled training rows.  Without both labels the score is the smoothed share of good rows everywhere.
     """
     sample = settled(labelled_sample(docs, labels, label_col, per_class, id_col, text_col).withColumn("third", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3))), "quality_sample")
-    known = labels.filter(train_row(F.col(id_col)) & F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("label")).count().collect()
+    known = known_labels(labels, label_col, id_col).groupBy("label").count().collect()
     share = {0: 1, 1: 1} | {r["label"]: r["count"] for r in known}
     blocks = sample.filter("third > 0").select("label", "text").mapInArrow(_pieces, "label int, block binary").withColumn("_order", F.xxhash64("block"))
     raw = {v: _dictionary([bytes(r["block"]) for r in blocks.filter(F.col("label") == v).orderBy("_order", "block").limit(BLOCKS).select("block").collect()]) for v in (0, 1)}

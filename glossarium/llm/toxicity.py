@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import held_out, labelled_sample, logistic_curve, named, settled, train_row
+from .common import few_texts, held_out, known_labels, labelled_sample, logistic_curve, named, settled
 from .wordhash import chunks, slices, texts_of
 
 #: At most so many confirmed and unlabelled texts are fitted on; features kept; lengths in bytes of word beginnings.
@@ -112,25 +112,25 @@ def descend(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Fit on at most `positives` confirmed and `unlabelled` other texts, taken by a hash of the id, training rows only.
+    """Fit on at most `positives` confirmed and `unlabelled` other texts, taken by a hash of id and text, training rows only.
+
+    Rows that repeat id and text count once; an id with several texts counts with each, within the same bounds.  The larger of
+    several labels of an id counts.
 
     The prior is the share of confirmed rows among the labelled training rows.  Labels 0 serve for it and, after the fit, for
     the curve (two numbers) that turns the model's margin into a score; at most CURVE rows of either class.
     Without any confirmed text the model scores every text with a prior of 0.
     """
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(train_row(F.col("doc_id")) & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = known_labels(labels, label_col, id_col)
     n, yes = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("yes")).first()
     prior = yes / n if n else 0.0
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -40.0, 0.0)
     if not yes:
         return none
     prior = min(max(prior, 0.001), 0.95)
-    order = F.xxhash64(F.col("doc_id"), F.lit(11))
-    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter(train_row(F.col("doc_id")))
-    p = known.filter("label = 1").orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(1).alias("positive"))
-    u = text.select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit(12)), "doc_id").limit(unlabelled).select("doc_id", F.lit(0).alias("positive"))
-    picked = F.broadcast(p.unionByName(u))  # bounded by the two limits
-    sample = settled(text.join(picked, "doc_id").select("text", "positive"), "toxicity_sample")
+    p = few_texts(docs, positives, 11, known.filter("label = 1"), id_col, text_col).select("text", F.lit(1).alias("positive"))
+    u = few_texts(docs, unlabelled, 12, None, id_col, text_col).select("text", F.lit(0).alias("positive"))
+    sample = settled(p.unionByName(u), "toxicity_sample")
     count = dict(sample.groupBy("positive").count().collect())
     if not count.get(1) or not count.get(0):
         return none
