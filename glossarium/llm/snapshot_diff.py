@@ -38,11 +38,12 @@ def _side(df: DataFrame, later: bool, key: str, columns: Sequence[str], carry: S
 
 
 def _paired(rows: DataFrame, group: Column, order: list[str], width: int, name: str) -> DataFrame:
-    """(a, b): the i-th earlier and the i-th later row of every group, null where there is none."""
+    """(a, b): the i-th earlier and the i-th later row of every group, null where there is none; a row counts n times."""
     row = [f"d{k}" for k in range(width)]
-    placed = ranked(rows.withColumn("grp", group), ["grp", "later"], order, f"{name}-ranks")
+    placed = ranked(rows.withColumn("grp", group), ["grp", "later"], order, f"{name}-ranks", "n")
+    each = copied(placed, "n", "copy").withColumn("rank", F.col("rank") + F.col("copy"))
     side = lambda later, *more: F.max(F.when(F.col("later") == later, F.struct("key", *row, *more)))
-    pairs = placed.groupBy("grp", "rank").agg(side(0).alias("a"), side(1, "kept").alias("b"))
+    pairs = each.groupBy("grp", "rank").agg(side(0).alias("a"), side(1, "kept").alias("b"))
     return settled(pairs.select("a", "b"), name)
 
 
@@ -65,13 +66,13 @@ def diff(earlier: DataFrame, later: DataFrame, key: str = "doc_id", content: Seq
     sums = settled(both.groupBy("key", *row).agg(F.count_if(F.col("later") == 0).alias("n0"), F.count_if(F.col("later") == 1).alias("n1"), F.max("kept").alias("kept")), "sums")
     fields = F.struct("key", *row)
     same = copied(sums.withColumn("n", F.least("n0", "n1")), "n", "copy").select(fields.alias("a"), F.struct("key", *row, "kept").alias("b"), F.lit("same").alias("op"))
-    residue = copied(sums.withColumn("n", F.abs(F.col("n0") - F.col("n1"))).withColumn("later", (F.col("n1") > F.col("n0")).cast("int")), "n", "copy")
+    residue = sums.withColumn("n", F.abs(F.col("n0") - F.col("n1"))).filter("n > 0").withColumn("later", (F.col("n1") > F.col("n0")).cast("int"))
     # a group is named by a text that is not null
-    by_key = _paired(residue.select("key", *row, "later", "kept", "copy"), F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit("")), [*row, "copy"], width, "by_key")
+    by_key = _paired(residue.select("key", *row, "later", "kept", "n"), F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit("")), row, width, "by_key")
     update = by_key.filter("a is not null and b is not null").withColumn("op", F.lit("update"))
     alone = by_key.filter("a is null or b is null")
     left = alone.select("*", F.col("a").isNull().cast("int").alias("later"), F.coalesce(F.col("a"), F.struct("b.key", *(f"b.{c}" for c in row))).alias("r"))
-    rest = left.select("r.*", "later", F.col("b.kept").alias("kept"))
+    rest = left.select("r.*", "later", F.col("b.kept").alias("kept")).groupBy("key", *row, "later").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     same_content = F.concat_ws(",", *(F.hex(f"d{list(columns).index(c)}") for c in content))
     by_content = _paired(rest, same_content, ["key", *row], width, "by_content")
     rekey = by_content.withColumn("op", F.when(F.col("a").isNull(), "insert").when(F.col("b").isNull(), "delete").otherwise("rekey"))
