@@ -29,9 +29,10 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("-eval", action="store_true")
     p.add_argument("-dimensions", type=int, default=100)
     p.add_argument("-iterations", type=int, default=500)
+    p.add_argument("-booster", choices=["leaves", "levels"], default="leaves")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("glossarium").getOrCreate()
-    engine = Engine(spark, Config(a.corpus_dir, a.train_dir, a.test_dir, a.save_dir), a.dimensions, a.iterations)
+    engine = Engine(spark, Config(a.corpus_dir, a.train_dir, a.test_dir, a.save_dir), a.dimensions, a.iterations, a.booster)
     if "full" in a.reset:
         engine.clear()
     engine.train("features" in a.reset, "classifier" in a.reset)

@@ -18,30 +18,51 @@ SENTENCE = ("file", "sid")
 class Engine:
     """Each step is written once under save_dir and read from there afterwards, by this or a later process, until it is reset."""
 
-    def __init__(self, spark: SparkSession, config: Config, dimensions: int = 100, iterations: int = 500) -> None:
-        self.spark, self.config, self.dimensions, self.iterations = spark, config, dimensions, iterations
+    def __init__(self, spark: SparkSession, config: Config, dimensions: int = 100, iterations: int = 500, booster: str = "leaves") -> None:
+        self.spark, self.config, self.dimensions, self.iterations, self.booster = spark, config, dimensions, iterations, booster
         self._model: PairClassifier | None = None
         self._space: vectors.LatentSpace | None = None
 
     def _kept(self, name: str, of: tuple, build: Callable[[], DataFrame], reset: bool = False) -> DataFrame:
         return materialize(self.spark, self.config.path(name, *of), build, reset)
 
+    def files(self, folder: str) -> DataFrame:
+        """(file, stamp) of the folder's files; a file that is written anew has another stamp."""
+        found = self.spark.read.format("binaryFile").load(folder)
+        return found.select(F.col("_metadata.file_path").alias("file"), F.concat_ws("-", F.unix_micros("_metadata.file_modification_time"), "_metadata.file_size").alias("stamp"))
+
+    def _state(self, folder: str) -> str:
+        """A digest of the folder's files, by which what is made from all of them is kept."""
+        return self.files(folder).agg(F.sum(F.xxhash64("file", "stamp").cast("decimal(20,0)")).alias("s"), F.count("*").alias("n")).select(F.concat_ws("-", "n", "s")).first()[0]
+
     def tokens(self, folder: str, reset: bool = False) -> DataFrame:
-        def build() -> DataFrame:
-            t = read_corpus(self.spark, folder)
-            return t.withColumns({c: F.expr(f"try_cast({c} as double)") for c in ("id", "head")}).filter("id is not null")
+        """Tokens of the folder's files; each file is parsed once, so that files that are added later are parsed alone."""
+        path = self.config.path("tokens", folder)
+        if reset:
+            remove(self.spark, path)
 
-        return self._kept("tokens", (folder,), build, reset)
+        def build(new: DataFrame) -> DataFrame:
+            names = [r["file"] for r in new.select("file").collect()]  # names of files, as a listing has them
+            t = read_corpus(self.spark, names) if names else read_corpus(self.spark, folder).limit(0)
+            t = t.withColumns({c: F.expr(f"try_cast({c} as double)") for c in ("id", "head")}).filter("id is not null")
+            return t.join(F.broadcast(new), "file")  # a row a file
+
+        return extended(self.spark, path, self.files(folder), build, ("file", "stamp"))
 
     def arcs(self, folder: str, reset: bool = False) -> DataFrame:
-        return self._kept("arcs", (folder,), lambda: pairs.arcs(self.tokens(folder), *SENTENCE), reset)
+        """Arcs, likewise by files."""
+        path = self.config.path("arcs", folder)
+        if reset:
+            remove(self.spark, path)
+        build = lambda new: pairs.arcs(self.tokens(folder).join(F.broadcast(new), ["file", "stamp"]), *SENTENCE, "stamp")  # noqa: E731  a row a file
+        return extended(self.spark, path, self.files(folder), build, ("file", "stamp"))
 
     def candidates(self, folder: str) -> DataFrame:
         return pairs.candidates(self.arcs(folder))
 
     def cooccurrences(self, reset: bool = False) -> DataFrame:
         folder = self.config.corpus_dir
-        return self._kept("cooc", (folder,), lambda: cooc.counts(self.tokens(folder), *SENTENCE), reset)
+        return self._kept("cooc", (folder, self._state(folder)), lambda: cooc.counts(self.tokens(folder), *SENTENCE), reset)
 
     def space(self) -> vectors.LatentSpace:
         if self._space is None:
@@ -51,11 +72,11 @@ class Engine:
     def expression_cooccurrences(self, wanted: DataFrame) -> DataFrame:
         """(noun, verb, word, c) of the pairs `wanted`; counted once for each pair and kept."""
         folder = self.config.corpus_dir
-        return extended(self.spark, self.config.path("expressions", folder), wanted, lambda new: cooc.expression_counts(self.tokens(folder), *SENTENCE, only=new))
+        return extended(self.spark, self.config.path("expressions", folder, self._state(folder)), wanted, lambda new: cooc.expression_counts(self.tokens(folder), *SENTENCE, only=new))
 
     def expression_vectors(self, wanted: DataFrame) -> DataFrame:
         """(noun, verb, vec) of the pairs `wanted` that have one; computed once for each pair and kept, for one latent space."""
-        path = self.config.path("expression_vectors", self.config.corpus_dir, self.dimensions, self.space().key)
+        path = self.config.path("expression_vectors", self.config.corpus_dir, self._state(self.config.corpus_dir), self.dimensions, self.space().key)
 
         def build(new: DataFrame) -> DataFrame:
             sums = cooc.row_sums(self.cooccurrences())
@@ -69,18 +90,18 @@ class Engine:
 
         def build() -> DataFrame:
             if reset:
-                remove(self.spark, self.config.path("expressions", folder))
+                remove(self.spark, self.config.path("expressions", folder, self._state(folder)))
                 self._space = None
             t = self.tokens(folder, reset)
             arcs = self.arcs(folder, reset)
-            between = self._kept("between", (folder,), lambda: patterns.between(t, arcs, *SENTENCE), reset)
+            between = self._kept("between", (folder, self._state(folder)), lambda: patterns.between(t, arcs, *SENTENCE), reset)
             top = [r["pattern"] for r in patterns.most_frequent(between).collect()]  # at most twenty
             self.cooccurrences(reset)
             table = patterns.matrix(pairs.association(arcs), patterns.frequencies(between), top)
             space = self.space()
             return vectors.with_vector_features(table, space.word_vectors, self.expression_vectors(self.candidates(folder)), len(space.singular_values))
 
-        return self._kept("features", (folder, self.dimensions), build, reset)
+        return self._kept("features", (folder, self._state(folder), self.dimensions), build, reset)
 
     def labelled(self, folder: str) -> DataFrame:
         """Features of the folder's candidates with is_lvc from the folder's own annotation."""
@@ -91,7 +112,7 @@ class Engine:
 
     def fit(self, reset: bool = False) -> PairClassifier:
         """The classifier: the one kept for these corpora and settings, or a new one."""
-        path = self.config.path("classifier", self.config.corpus_dir, self.config.train_dir, self.dimensions, self.iterations)
+        path = self.config.path("classifier", self.config.corpus_dir, self._state(self.config.corpus_dir), self.config.train_dir, self._state(self.config.train_dir), self.dimensions, self.iterations, self.booster)
         if reset:
             self._model = None
             remove(self.spark, path)
@@ -99,7 +120,7 @@ class Engine:
             self._model = PairClassifier.load(self.spark, path)
         if self._model is None:
             rows = self.labelled(self.config.train_dir)
-            self._model = PairClassifier(self._columns(rows), self.iterations).fit(rows)
+            self._model = PairClassifier(self._columns(rows), self.iterations, booster=self.booster).fit(rows)
             self._model.save(self.spark, path)
         return self._model
 

@@ -291,26 +291,54 @@ def svd_words(spark, sf_dir):
     return _rounded(space.word_vectors.select("word", F.posexplode("vec").alias("dim", "value")))
 
 
+def _features(spark, sf_dir):
+    """All features of the candidates with is_lvc, written; and the arcs."""
+    t = _tokens(spark, sf_dir)
+    arc = _arcs(spark, sf_dir, t)
+    counts = lowrank.kept(cooc.counts(t, *KEYS), "cooc")
+    found = lowrank.kept(patterns.between(t, arc, *KEYS, dense=True), "between")
+    top = [r["pattern"] for r in patterns.most_frequent(found).collect()]  # twenty
+    space = vectors.LatentSpace(counts)
+    exprs = space.expressions(cooc.expression_weights(cooc.expression_counts(t, *KEYS), cooc.row_sums(counts)))
+    table = vectors.with_vector_features(patterns.matrix(pairs.association(arc), patterns.frequencies(found), top), space.word_vectors, exprs, len(space.singular_values))
+    return lowrank.kept(truth.label(table, _truth(spark, sf_dir, t, arc)), "features"), arc
+
+
+def _columns(rows):
+    return [c for c, kind in rows.dtypes if kind in ("double", "bigint")]
+
+
 def gbt_predict(spark, sf_dir):
     """Predictions of boosted trees with the classifier's defaults, trained on all features of the labelled candidates."""
     from ..operators.model import PairClassifier
 
-    t = lowrank.kept(_ann(spark, sf_dir), "tokens")
-    arc = lowrank.kept(pairs.arcs(t, *KEYS), "arcs")
-    counts = lowrank.kept(_cooc(spark, sf_dir), "cooc")
+    rows, _ = _features(spark, sf_dir)
+    return _rounded(PairClassifier(_columns(rows)).fit(rows).predict(rows))
+
+
+#: Rounds of boost_unseen: a round takes as many jobs as its tree is deep.
+ROUNDS = 20
+
+
+def boost_unseen(spark, sf_dir):
+    """Candidates of the test half that the training half lacks, predicted by leaf-limited trees with exponential loss that were fitted on
+    the association and pattern features of the training half's candidates."""
+    from ..operators.boost import LeafBooster
+
+    t = _tokens(spark, sf_dir)
+    arc = _arcs(spark, sf_dir, t)
     found = lowrank.kept(patterns.between(t, arc, *KEYS, dense=True), "between")
     top = [r["pattern"] for r in patterns.most_frequent(found).collect()]  # twenty
-    space = vectors.LatentSpace(counts)
-    exprs = space.expressions(cooc.expression_weights(cooc.expression_counts(t, *KEYS), cooc.row_sums(counts)))
-    table = vectors.with_vector_features(patterns.matrix(pairs.association(arc), patterns.frequencies(found), top), space.word_vectors, exprs, len(space.singular_values))
-    rows = lowrank.kept(truth.label(table, truth.constructions(annotate.with_mwe(t, arc).withColumn("ord", F.col("id")), *KEYS)), "features")
-    columns = [c for c, kind in rows.dtypes if kind in ("double", "bigint")]
-    return _rounded(PairClassifier(columns).fit(rows).predict(rows))
+    table = patterns.matrix(pairs.association(arc), patterns.frequencies(found), top)
+    rows = lowrank.kept(truth.label(table, _truth(spark, sf_dir, t, arc)), "features")
+    train, test = _halves(arc)
+    model = LeafBooster(_columns(rows), ROUNDS).fit(truth.restricted(rows, train))
+    return _rounded(truth.unseen(model.predict(truth.restricted(rows, test)), train))
 
 
 _QUERIES = (
     tokens, sentence_stats, parser_tokens, parser_sentences, reject_sentences, conllu_roundtrip, arcs, candidates, pair_distance, deprel_freq, marginals_noun, marginals_verb, association, pair_patterns, patterns_top20, pattern_freq,
-    feature_matrix, cooc_counts, cooc_rowsum, cooc_norm, expr_cooc, expr_weights, lvc_truth, label_join, semi_candidates, anti_train, outer_labels, confusion, prf_kappa, pr_curve, unseen_measures, unseen_true, vec_l1, centroid, cosine_centroid, dist_relative, vector_features, svd_words, gbt_predict,
+    feature_matrix, cooc_counts, cooc_rowsum, cooc_norm, expr_cooc, expr_weights, lvc_truth, label_join, semi_candidates, anti_train, outer_labels, confusion, prf_kappa, pr_curve, unseen_measures, unseen_true, vec_l1, centroid, cosine_centroid, dist_relative, vector_features, svd_words, gbt_predict, boost_unseen,
 )
 
 

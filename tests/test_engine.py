@@ -85,3 +85,84 @@ def test_expressions_are_counted_once(spark, tmp_path, monkeypatch):
     one = engine.expression_vectors(wanted(("décision", "prendre"))).collect()
     two = engine.expression_vectors(wanted(("décision", "prendre"), ("danse", "faire"))).collect()
     assert one[0] in two and len(two) == 2
+
+
+def test_a_stop_between_any_two_writes_changes_nothing(spark, tmp_path, monkeypatch):
+    """The table that a call finds after a stop is the one before, and the next call makes it whole; no row stands twice."""
+    from pyspark.sql import DataFrameWriter
+
+    from glossarium.plans import cache
+
+    wanted = lambda *k: spark.createDataFrame([(x, "v") for x in k], "noun string, verb string")
+    build = lambda new: new.filter("noun <> 'none'").withColumn("n", new["noun"])
+    rows = lambda df: sorted(r["noun"] for r in df.collect())
+    plain, stops = DataFrameWriter.parquet, {"at": 0}
+
+    class Stop(Exception):
+        pass
+
+    def parquet(self, path, *a, **b):
+        stops["at"] -= 1
+        if stops["at"] == 0:
+            raise Stop
+        plain(self, path, *a, **b)
+        stops["at"] -= 1
+        if stops["at"] == 0:
+            raise Stop
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    for at in range(1, 7):
+        path = f"{tmp_path}/t{at}"
+        assert rows(cache.extended(spark, path, wanted("a", "none"), build)) == ["a"]
+        stops["at"] = at
+        if at == 5:
+            monkeypatch.setattr(cache, "_commit", lambda *x: (_ for _ in ()).throw(Stop))
+        try:
+            cache.extended(spark, path, wanted("a", "b", "none"), build)
+        except Stop:
+            pass
+        stops["at"] = 0
+        if at == 5:
+            monkeypatch.undo()
+            monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+        assert rows(cache.extended(spark, path, wanted("a", "b", "c", "none"), build)) == ["a", "b", "c"]
+        assert rows(cache.extended(spark, path, wanted("b", "c"), build)) == ["b", "c"]
+
+
+def test_of_two_that_add_at_once_one_commits(spark, tmp_path):
+    """A build in the middle of which the same keys are added by another: they stand once.  An empty commit counts for nothing."""
+    from glossarium.plans import cache
+
+    path, wanted = f"{tmp_path}/t", spark.createDataFrame([("a", "v"), ("b", "v")], "noun string, verb string")
+    other = []
+
+    def build(new):
+        if not other:
+            other.append(1)
+            cache.extended(spark, path, wanted.filter("noun = 'a'"), lambda x: x)
+        return new
+
+    assert sorted(r["noun"] for r in cache.extended(spark, path, wanted, build).collect()) == ["a", "b"]
+    fs, p = cache._fs(spark, f"{path}/commits/00000009")
+    fs.create(p, False).close()
+    more = spark.createDataFrame([("c", "v")], "noun string, verb string").unionByName(wanted)
+    assert sorted(r["noun"] for r in cache.extended(spark, path, more, lambda x: x).collect()) == ["a", "b", "c"]
+
+
+def test_added_files_are_parsed_alone(spark, tmp_path, monkeypatch):
+    """Adding or changing a file gives what a new run over all of them gives, and only that file is read."""
+    from pathlib import Path
+
+    from glossarium.plans import engine as module
+
+    folder = corpus(tmp_path / "c", [("décision", "prendre"), ("pierre", "lancer")])
+    engine = Engine(spark, Config(folder, folder, folder, str(tmp_path / "save")), dimensions=2)
+    whole = lambda e: sorted((Path(r["file"]).name, r["sid"], r["noun"], r["verb"]) for r in e.arcs(folder).collect())
+    before, read, plain = whole(engine), [], module.read_corpus
+    monkeypatch.setattr(module, "read_corpus", lambda s, names: read.append(sorted(Path(x).name for x in names)) or plain(s, names))
+    (Path(folder) / "b.cupt").write_text(Path(f"{folder}/a.cupt").read_text().replace("pierre", "mot"))
+    assert len(whole(engine)) == 2 * len(before) and read == [["b.cupt"]]
+    (Path(folder) / "a.cupt").write_text(Path(f"{folder}/b.cupt").read_text().replace("mot", "chose") + "\n")
+    after = whole(engine)
+    assert read == [["b.cupt"], ["a.cupt"]] and {x[2] for x in after} == {"décision", "mot", "chose"}
+    assert after == whole(Engine(spark, Config(folder, folder, folder, str(tmp_path / "other")), dimensions=2))
