@@ -40,10 +40,12 @@ _VALUE = "[\"'`(\\[{<]*([^\\s\"'`,;)\\]}>]+)"
 URL = "://[^\\s/:@\"'<>]*:([^\\s/\"'<>]+)@[A-Za-z0-9\\[]"
 #: A value behind its key in one word; a key at the end of the words before; a value at the start of a word.
 _IS = "is|est|ist|es|lautet"
-INSIDE, BEFORE, START = f"(?iu){_KEY}[\"'`\\])]*[=:]+>?{_VALUE}", f"{_KEY}[\"'`\\])]*\\s*(?:[=:]+>?|\\s(?:{_IS}))[\"'`]*$", f"^{_VALUE}"
+#: Up to two words between a key and its `=`.
+_OF = "(?:[^\\p{L}=:]+\\p{L}+){0,2}"
+INSIDE, BEFORE, START = f"(?iu){_KEY}[\"'`\\])]*[=:]+>?{_VALUE}", f"{_KEY}(?:[\"'`\\])]*\\s*(?:[=:]+>?|\\s(?:{_IS}))|{_OF}\\s*=+>?)[\"'`]*$", f"^{_VALUE}"
 #: What a short value must stand behind to be replaced.
-LEADS = f"(?iu)({_KEY}[\"'`\\])]*\\s*(?:[=:]+>?|\\s(?:{_IS})\\s)\\s*[\"'`(\\[{{<]*|://[^\\s/:@\"'<>]*:)"
-ANYWHERE = f"{SHAPE}|{URL}|(?iu:{_KEY}[\"'`\\])]*\\s*(?:[=:]|\\s(?:{_IS})\\s))"
+LEADS = f"(?iu)({_KEY}(?:[\"'`\\])]*\\s*(?:[=:]+>?|\\s(?:{_IS})\\s)|{_OF}\\s*=+>?)\\s*[\"'`(\\[{{<]*|://[^\\s/:@\"'<>]*:)"
+ANYWHERE = f"{SHAPE}|{URL}|(?iu:{_KEY}(?:[\"'`\\])]*\\s*(?:[=:]|\\s(?:{_IS})\\s)|{_OF}\\s*=))"
 FEATURES = [
     "length", "digits", "upper", "symbols", "hexadecimal", "only_digits", "changes", "case_changes", "usual_pairs", "distinct", "vowels", "covered", "fragments", "path", "address", "template", "reference", "dated",
     "dashes", "known", "header", "key_word", "other_word", "assigned", "quoted", "in_url", "groups",
@@ -114,7 +116,7 @@ def with_features(found: DataFrame, words: list[str], pairs: list[str]) -> DataF
         "fragments": 1 - F.length(F.regexp_replace(low, "|".join(FRAGMENTS), "")) / n, "path": share("[/\\\\]"), "address": is_like("://|@[a-z]|\\.[a-z]{2,4}(?:[/\"',]|$)", F.lower("word")),
         "template": is_like("^[<$%{\\[]|\\$\\{|\\{\\{|\\*{3}|[xX]{4}|\\.{3}", F.expr("concat(substring_index(word, value, -1), value)")), "reference": is_like("[(\\[]|^[A-Za-z_]+(?:\\.[A-Za-z_]+)+$|::|->"),
         "dated": is_like("(?:19|20)[0-9]{2}-[01][0-9]|[0-9]{2}:[0-9]{2}"), "dashes": share("[-_]"), "known": is_like("^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}|^github_pat_[A-Za-z0-9_]{22,}|^glpat-[A-Za-z0-9_-]{20}|^npm_[A-Za-z0-9]{36}|^xox[abp]-|^sk_live_|^AIza[A-Za-z0-9_-]{35}|^eyJ"),
-        "header": is_like("(?i)data:[a-z]+/|base64,|isbn|version|^v[0-9]", F.concat_ws(" ", "before", "word")), "key_word": is_like(f"{_KEY}[^\\p{{L}}]*(?:{_IS})?[^\\p{{L}}]*$", near),
+        "header": is_like("(?i)data:[a-z]+/|base64,|isbn|version|^v[0-9]", F.concat_ws(" ", "before", "word")), "key_word": is_like(f"{_KEY}(?:[^\\p{{L}}]*(?:{_IS})?[^\\p{{L}}]*|{_OF}\\s*=[^\\p{{L}}]*)$", near),
         "other_word": is_like(f"(?:^|[^a-z])(?:{'|'.join(OTHERS)})[^a-z]*$", near), "assigned": is_like("[=:]>?[\"'`( ]*$", near), "quoted": is_like("[\"'`]", F.col("word")),
         "in_url": flag(F.regexp_extract("word", URL, 1) == value), "groups": share("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])") * n,
     })
@@ -131,13 +133,14 @@ def _lines(words: list[str], n: int, seed: int) -> Iterator[tuple[str, str | Non
     w = lambda k=1, glue=" ": glue.join(r.choice(words) for _ in range(k))
     letters, alnum, lower_hex = string.ascii_letters, string.ascii_letters + string.digits, "0123456789abcdef"
     hexa, plain, mixed, digits = (lambda n, a=a: _random(r, a, n) for a in (lower_hex, alnum, alnum + "+/_-", string.digits))
+    blend = lambda: (w()[:4] + w()[-4:]).lower()  # noqa: E731  sounds like a word
     uuid = lambda: "-".join(hexa(k) for k in (8, 4, 4, 4, 12))
     secret_values = [
         lambda: hexa(r.choice([16, 20, 24, 32, 40, 64])), lambda: plain(r.randrange(12, 45)), lambda: mixed(r.randrange(16, 60)), lambda: mixed(40) + "==", lambda: digits(r.randrange(16, 30)), lambda: _random(r, letters, r.randrange(8, 24)),
         lambda: _random(r, alnum + "!@#$%^&*", r.randrange(8, 16)), lambda: w().title() + digits(r.randrange(2, 5)) + r.choice("!?#$%&*") + r.choice(["", w().title()]), lambda: r.choice("!@$%") + w() + r.choice("@!$") + digits(2) + _random(r, letters, 3), lambda: hexa(16).upper(),
-        lambda: _random(r, alnum, r.randrange(5, 11)), lambda: _random(r, string.ascii_lowercase, 2) + digits(r.randrange(2, 5)) + _random(r, letters, r.randrange(3)), lambda: digits(r.randrange(4, 9)),
+        lambda: _random(r, alnum, r.randrange(5, 11)), lambda: _random(r, string.ascii_lowercase, 2) + digits(r.randrange(2, 5)) + _random(r, letters, r.randrange(3)), lambda: digits(r.randrange(4, 9)), lambda: _random(r, string.ascii_lowercase, r.randrange(9, 20)),
     ]
-    keyed = ['{k} = "{v}"', "{k}={v}", "{k}: {v}", "'{k}': '{v}',", '"{k}": "{v}"', "export {K}={v}", "--{k}={v}", "the {k} is {v}", "{K}='{v}'", "{k} => '{v}'", "db_{k} = {v}", "{k}:{v}", "<{k}>={v};", "{k} : {v}", "{k} est {v}", "{k} ist {v}"]
+    keyed = ['{k} = "{v}"', "{k}={v}", "{k}: {v}", "'{k}': '{v}',", '"{k}": "{v}"', "export {K}={v}", "--{k}={v}", "the {k} is {v}", "{K}='{v}'", "{k} => '{v}'", "db_{k} = {v}", "{k}:{v}", "<{k}>={v};", "{k} : {v}", "{k} est {v}", "{k} ist {v}", "{k} of {u} = {v}", "{k} for the {u} = '{v}'"]
     urls = ["{s}://{u}:{v}@{h}.com/{d}", "{s}://{u}:{v}@{h}:5432", '"{s}://{u}:{v}@{h}.net/{d}?x=1"', "URL={s}://{u}:{v}@10.0.0.{d}"]
     bare = [lambda: "AKIA" + _random(r, string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + plain(36), lambda: f"github_pat_{plain(22)}_{plain(59)}", lambda: "glpat-" + plain(20), lambda: "AIza" + mixed(35).replace("/", "_").replace("+", "-"), lambda: f"xoxb-{digits(11)}-{plain(24)}", lambda: "sk_live_" + plain(24), lambda: "eyJ" + plain(40)]
     every, schemes = KEYS + SHORT_KEYS, "postgres mysql mongodb+srv redis amqp https ftp".split()
@@ -150,13 +153,13 @@ def _lines(words: list[str], n: int, seed: int) -> Iterator[tuple[str, str | Non
         lambda: f'{r.choice(every)} = os.environ["{w().upper()}"]', lambda: f"{r.choice(every)} = get{w().title()}()", lambda: f"{r.choice(every)}: self.{w()}.{w()}", lambda: f"{r.choice(every)}: {w(2)}", lambda: f"the {r.choice(every)} is {w(2)}", lambda: f"{r.choice(every)} = {w()}", lambda: f"{r.choice(every)}: {w().title()}, {w()}", lambda: f"{r.choice(every)}={w(2, '_')}",
         lambda: f"{r.choice(['ISIN', 'isin:', 'security', w()])} {_random(r, string.ascii_uppercase, 2)}{digits(9)}{digits(1)}", lambda: f"{w()} {_random(r, string.ascii_uppercase, 2)}{_random(r, string.ascii_uppercase + string.digits, 9)}{digits(1)} {w()}",
         lambda: f"{w()} {r.choice(['code', 'device', 'part', 'serial', 'model', 'mac', w()])} {''.join(_random(r, 'ABCDEF', 1) + digits(1) for _ in range(r.randrange(6, 9)))}", lambda: f"{r.choice(['mac', 'device', w()])} {hexa(12).upper()}", lambda: f"{w()} 1Z{_random(r, string.ascii_uppercase + string.digits, 16)}", lambda: f"tracking {r.choice(['no', 'number', 'id'])} {_random(r, string.ascii_uppercase, 2)}{digits(9)}{_random(r, string.ascii_uppercase, 2)}",
-        lambda: f"{w()} {_random(r, string.ascii_uppercase, 4)}{_random(r, string.ascii_uppercase + string.digits, 9)}", lambda: f"https://{w()}.com:8080/{w()}@{w()}", lambda: f"http://{w()}:80/{w()}{digits(3)}", lambda: f"{r.choice(every)}: {w()[: r.randrange(1, 6)]}", lambda: f"{r.choice(every)} : {w()}", lambda: f"le {r.choice(every)} est {w()}", lambda: f"{r.choice(every)}: {digits(1)}.", lambda: f"{r.choice(every)}=<{w()}>", lambda: f"{r.choice(['https', 'ftp'])}://user:password@{w()}.com", lambda: f"{r.choice(['https', 'redis'])}://{w()}:${{{w().upper()}_PASS}}@{w()}.com",
+        lambda: f"{w()} {_random(r, string.ascii_uppercase, 4)}{_random(r, string.ascii_uppercase + string.digits, 9)}", lambda: f"https://{w()}.com:8080/{w()}@{w()}", lambda: f"http://{w()}:80/{w()}{digits(3)}", lambda: f"{r.choice(every)}: {w()[: r.randrange(1, 6)]}", lambda: f"{r.choice(every)} : {w()}", lambda: f"le {r.choice(every)} est {w()}", lambda: f"{r.choice(every)} of {w()} = {w()}", lambda: f"the {r.choice(every)} is {blend()}", lambda: f"the {r.choice(every)} {r.choice(['is', 'is always', ':'])} {blend()}, {w()}", lambda: f"{r.choice(every)}: {blend()}", lambda: f"the {r.choice(every)} {w()} {w()} = {digits(2)}", lambda: f"{r.choice(every)}: {digits(1)}.", lambda: f"{r.choice(every)}=<{w()}>", lambda: f"{r.choice(['https', 'ftp'])}://user:password@{w()}.com", lambda: f"{r.choice(['https', 'redis'])}://{w()}:${{{w().upper()}_PASS}}@{w()}.com",
         lambda: f"test_{r.choice(KEYS)}=dummy_{w()}_{digits(2)}", lambda: f"{r.choice(every)}: none", lambda: f"{w()} {digits(16)} {w()}", lambda: f"+1 ({digits(3)}) 555-{digits(4)} {w()}",
     ]
     for k in range(n):
-        if k % 8 == 7:
-            v = bare[k // 8 % len(bare)]()
-            form = r.choice(["{v}", '"{v}"', "{k}={v}", "({v})"])
+        if k % 8 >= 6:
+            v = r.choice(bare)()
+            form = r.choice(["{v}", "{v}", "use {v} now", '"{v}"', "{k}={v}", "({v})"])
         elif k % 8 == 3:
             v = r.choice(secret_values)().replace("/", "_").replace("@", "!")
             form = r.choice(urls)

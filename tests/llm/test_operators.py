@@ -195,6 +195,30 @@ def test_secrets_by_context(spark, forest):
     assert {r["value"] for r in secrets.scan(table(spark, [f"password: {v}" for v in values[:3]]), forest).collect() if r["is_secret"]} == set(values[:3])
 
 
+def test_secrets_of_urls_and_of_four_languages(spark, forest):
+    """Candidates have no least length behind a key; codes that look like secrets are none."""
+    yes = {"postgres://admin:s3cr3tPass9@db.example.org/x": "s3cr3tPass9", "password: ab12c": "ab12c", "contraseña: Zx81kkL0pq": "Zx81kkL0pq", "Mot de passe : Hj7sk29dkq": "Hj7sk29dkq", "Passwort: Gh82ksLq": "Gh82ksLq", "set password for root = 'k2Lm9Qx0'": "k2Lm9Qx0", "redis://:pa@ss7w0rd@host:6379": "pa@ss7w0rd"}
+    token = "github_pat_11ABCDEFG0abcdefghijkl_MNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789AB12CD34"
+    no = ["ISIN US0378331005", "A1B2C3D4E5F6", "part A1B2C3D4E5F6 here", "la clave es importante", "la clave: el trabajo", "Schlüssel: das Haus", "http://host:80/page@home", "key: a"]
+    texts = [*yes, f"use {token} now", *no]
+    found = collections.defaultdict(dict)
+    for r in secrets.scan(table(spark, texts), forest).collect():
+        found[r["doc_id"]][r["value"]] = r["is_secret"]
+    assert all(found[k].get(v) for k, v in enumerate(yes.values())) and found[len(yes)] == {token: True}
+    assert not any(any(found[k].values()) for k in range(len(yes) + 1, len(texts)))
+
+
+def test_short_secrets_are_replaced_behind_their_key_only(spark, forest):
+    text = "ab12c is a word; password: ab12c, and ab12c again. redis://u:ab12c@h"
+    got = secrets.redact(table(spark, [text, "(ab12c)"]), forest, mark="[$1]").orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == ["ab12c is a word; password: [$1], and ab12c again. redis://u:[$1]@h", "(ab12c)"]
+    assert secrets.scan(table(spark, ["x"]).filter("false"), forest).collect() == []
+    twice = table(spark, {None: "password: Zx81kkL0pq"}).unionByName(table(spark, {None: "password: Zx81kkL0pq"}))
+    assert [(r["doc_id"], r["value"]) for r in secrets.scan(twice, forest).collect()] == [(None, "Zx81kkL0pq")] * 2
+    long = "word " * 300_000 + "password: Zx81kkL0pq " + "word " * 300_000
+    assert [r["value"] for r in secrets.scan(table(spark, [long]), forest).collect()] == ["Zx81kkL0pq"]
+
+
 def test_forest_on_forms_it_was_not_trained_on(spark, forest):
     lines = list(held_out.lines(400, 5))
     found = collections.defaultdict(set)
@@ -203,7 +227,7 @@ def test_forest_on_forms_it_was_not_trained_on(spark, forest):
             found[r["doc_id"]].add(r["value"])
     hit = sum(any(v in s or s in v for v in found[k]) for k, (_, s) in enumerate(lines) if s)
     false = sum(bool(found[k]) for k, (_, s) in enumerate(lines) if s is None)
-    assert hit / 400 >= 0.8 and hit / (hit + false) >= 0.85
+    assert hit / 400 >= 0.9 and hit / (hit + false) >= 0.9
 
 
 def test_forest_against_its_trees_one_by_one(spark, forest, tmp_path):
