@@ -8,6 +8,7 @@ names and places of blocks and matrices of dimensions squared; no task holds mor
 
 from __future__ import annotations
 
+import re
 import sys
 import uuid
 
@@ -35,17 +36,20 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a local session without that setting falls back to /tmp."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share.
+
+    Where the setting is absent in a session of one process, as in tests, a folder of /tmp takes its place; a cluster must set it.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file:///tmp/checkpoints"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back."""
+    """df written to the shared folder and read back: cuts lineage, survives a lost executor."""
     path = shared(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

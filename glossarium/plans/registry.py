@@ -91,6 +91,21 @@ def conllu_roundtrip(spark, sf_dir):
     return conllu.parse_tokens(lowrank.kept(lines, "lines")).select(F.col("file").cast("long").alias("doc_id"), F.col("sid").cast("long").alias("sentence"), F.col("id").cast("long").alias("id"), "lemma", "upos", F.col("head").cast("long").alias("head"), "deprel")
 
 
+#: Files that corpus_files writes.
+SHARDS = 64
+
+
+def corpus_files(spark, sf_dir):
+    """Derived tokens written as CoNLL-U files, documents dealt to them by number and one behind the other, and the files read again
+    in splits by the corpus reader: file (its number), sid in the file, and the token."""
+    t = _ann(spark, sf_dir).withColumn("ord", F.col("id"))
+    blocks = conllu.render(t, *KEYS).withColumn("shard", F.pmod("doc_id", F.lit(SHARDS)))
+    folder = lowrank.shared(spark, "corpus")
+    blocks.repartition("shard").sortWithinPartitions("shard", *KEYS).select("shard", F.rtrim("block", F.lit("\n")).alias("block")).write.partitionBy("shard").text(folder)
+    number = F.regexp_extract("file", "shard=([0-9]+)", 1).cast("long")
+    return conllu.read_corpus(spark, folder).select(number.alias("file"), F.col("sid").cast("long").alias("sid"), F.col("id").cast("long").alias("id"), "lemma", "upos", F.col("head").cast("long").alias("head"), "deprel")
+
+
 def arcs(spark, sf_dir):
     return _arcs(spark, sf_dir)
 
@@ -129,7 +144,7 @@ def pair_patterns(spark, sf_dir):
 
 
 def patterns_top20(spark, sf_dir):
-    return patterns.most_frequent(_between(spark, sf_dir))
+    return patterns.most_frequent(lowrank.kept(_between(spark, sf_dir), "between"))
 
 
 def pattern_freq(spark, sf_dir):
@@ -337,7 +352,7 @@ def boost_unseen(spark, sf_dir):
 
 
 _QUERIES = (
-    tokens, sentence_stats, parser_tokens, parser_sentences, reject_sentences, conllu_roundtrip, arcs, candidates, pair_distance, deprel_freq, marginals_noun, marginals_verb, association, pair_patterns, patterns_top20, pattern_freq,
+    tokens, sentence_stats, parser_tokens, parser_sentences, reject_sentences, conllu_roundtrip, corpus_files, arcs, candidates, pair_distance, deprel_freq, marginals_noun, marginals_verb, association, pair_patterns, patterns_top20, pattern_freq,
     feature_matrix, cooc_counts, cooc_rowsum, cooc_norm, expr_cooc, expr_weights, lvc_truth, label_join, semi_candidates, anti_train, outer_labels, confusion, prf_kappa, pr_curve, unseen_measures, unseen_true, vec_l1, centroid, cosine_centroid, dist_relative, vector_features, svd_words, gbt_predict, boost_unseen,
 )
 
@@ -419,6 +434,7 @@ def oracle_sql() -> dict[str, str]:
         "parser_sentences": _sql("SELECT doc_id, sid, n::VARCHAR AS text FROM numbered WHERE NOT (doc_id % 2 = 0 AND k = 1)", "numbered"),
         "reject_sentences": _sql("SELECT doc_id, sid, count(*) AS n FROM parsed GROUP BY 1, 2", "parsed"),
         "conllu_roundtrip": _sql("SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY sid) AS sentence, id, lemma, upos, head, deprel FROM ann", "ann"),
+        "corpus_files": _sql(f"SELECT doc_id % {SHARDS} AS file, dense_rank() OVER (PARTITION BY doc_id % {SHARDS} ORDER BY doc_id, sid) AS sid, id, lemma, upos, head, deprel FROM ann", "ann"),
         "arcs": _sql("SELECT * FROM arc", "arc"),
         "candidates": _sql("SELECT noun, verb, n FROM cand", "cand"),
         "pair_distance": _sql("SELECT noun, verb, round(gaps / n, 9) AS dist FROM cand", "cand"),

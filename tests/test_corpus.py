@@ -122,6 +122,19 @@ def test_patterns_of_long_sentences(spark, monkeypatch):
     assert len(got) == pairs_.count() and {x["said"] for x in got if x["noun_id"] == 7} == {"DET|DET"} and max(x["size"] for x in got) == 4 * (n - 2) - 1
 
 
+@pytest.mark.parametrize("sizes", [(1 << 16, 256), (64, 4), (4, 2)])
+def test_most_frequent_by_buckets(spark, monkeypatch, sizes):
+    """Buckets that many patterns share, all patterns alike, fewer patterns than asked for, ties."""
+    monkeypatch.setattr(patterns, "BUCKETS", sizes[0])
+    monkeypatch.setattr(patterns, "FULLEST", sizes[1])
+    r = random.Random(1)
+    for rows in ([f"p{int(r.expovariate(0.05))}" for _ in range(3000)], [f"p{k}" for k in range(300)], ["a", "b", "a"], [], ["x"] * 50 + [f"p{k // 2}" for k in range(200)]):
+        count = {p: rows.count(p) for p in set(rows)}
+        found = spark.createDataFrame([(p,) for p in rows], "pattern string").repartition(3)
+        got = [(x["pattern"], x["cnt"]) for x in patterns.most_frequent(found, 20).collect()]
+        assert got == sorted(count.items(), key=lambda x: (-x[1], x[0]))[:20]
+
+
 def test_expressions_of_long_sentences(spark, monkeypatch):
     """Pieces of a few words and expressions change nothing; ids that repeat; only some pairs."""
     r = random.Random(4)
