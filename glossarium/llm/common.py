@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lowrank import kept as settled  # noqa: F401  the operators take both from here
+from ..operators.lowrank import shared as shared_dir  # noqa: F401
+
 #: What separates words where white space does.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -70,27 +72,6 @@ def space_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is absent (a local session, as in tests), a folder of /tmp takes its place; a cluster must set it.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = "file:///tmp/checkpoints"
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives a lost executor."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def train_row(doc_id: Column) -> Column:
     """True where labels may be learnt from: crc32 of the id as text is not divisible by five."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
