@@ -29,7 +29,7 @@ LENGTH = 2048
 #: Cost, in padded tokens, of a cut at a sentence end and inside a sentence; distance of the cuts inside one.
 AT_SENTENCE, INSIDE, STEP = 4, 12, 64
 #: Tokens that are solved together, words that a task remembers, and new words that are encoded as one text.
-SEGMENT, REMEMBERED, TOGETHER = 1 << 19, 600_000, 50
+SEGMENT, REMEMBERED, TOGETHER = 1 << 18, 400_000, 50
 #: The letters and numbers among PLAIN, and the tokenizer's own way to cut text into words, for those.
 LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+"
