@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import lower_latin, named, row_key
+from .ranks import copied
 
 GRAM = 3
 #: Words are runs of ASCII letters, digits and anything beyond ASCII.
@@ -95,5 +96,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         F.max("n_words").cast("long").alias("n_words"), F.max("copies").alias("copies"), F.count(base).alias("n_base"), F.min(base).cast("long").alias("first_word"), F.max(base).cast("long").alias("last_word"),
         labels(F.when(F.col("exact"), F.col("label"))).alias("base_labels"), labels("label").alias("labels"), F.max("score").alias("score"),
     )
-    each = one.withColumn("copy", F.explode_outer(F.expr("sequence(1, copies)")))
-    return each.select(F.col("row.id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return copied(one, "copies", "copy").select(F.col("row.id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

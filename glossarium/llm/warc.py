@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import salted_lookup, settled, shared_dir
 
-#: Payloads of so many bytes are stored once; bytes of an archive; lines of an index block; index partitions at most.
-SHARED_FROM, ARCHIVE, LINES, PARTITIONS = 1000, 256 << 20, 256, 4096
+#: Payloads of so many bytes are stored once; bytes of an archive; lines of an index block; captures of an index partition, as far as there are
+#: not more than PARTITIONS of these, whose first keys (a row each) go to the tasks that route queries.
+SHARED_FROM, ARCHIVE, LINES, CAPTURES, PARTITIONS = 1000, 256 << 20, 256, 1 << 17, 1 << 15
 #: Captures that a lookup hands on at once.
 FOUND = 10_000
 #: Ranges of one file that are read together: bytes between them, bytes in all; and the slice of a file that one task reads.
@@ -167,7 +168,7 @@ def index(captures: DataFrame, top: str) -> DataFrame:
 
     Captures without a page_id cannot be told apart by a query and are filed under page_id -1.
     """
-    parts = min(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), PARTITIONS)
+    parts = min(max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // CAPTURES)), PARTITIONS)
     lines = captures.select("key", F.coalesce("page_id", F.lit(-1)).alias("page_id"), "file", "at", "size")
     ordered = lines.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
     return settled(ordered.mapInArrow(_index(top), "key string, page_id long, file string, at long, size long"), "directory")
@@ -244,7 +245,7 @@ def lookup(queries: DataFrame, directory: DataFrame, top: str) -> DataFrame:
     asked = queries.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
     routed = asked.mapInArrow(_route(bounds), "part string, key string, page_id long, at long, size long").dropDuplicates(["part", "key", "page_id"])
     both = routed.unionByName(directory.select(F.col("file").alias("part"), "key", "page_id", "at", "size"))
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(bounds))
     return both.repartition(parts, "part").mapInArrow(_find(top), empty)
 
 

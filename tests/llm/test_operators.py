@@ -140,6 +140,31 @@ def test_license_scan(spark):
     assert license_scan.scan(table(spark, ["a"]).filter("false")).collect() == []
 
 
+def test_license_scan_of_very_many_copies(spark):
+    """Each row gets its own; copies are made in pieces."""
+    rows = spark.range(50_000).selectExpr("cast(null as long) as doc_id", "'under the MIT license' as text")
+    got = license_scan.scan(rows).groupBy("doc_id", "base_labels", "n_base").count().collect()
+    assert [tuple(r) for r in got] == [(None, "mit", 1, 50_000)]
+
+
+def test_warc_index_partitions_follow_the_captures(spark, tmp_path, monkeypatch):
+    """More index files than shuffle partitions; every page is found through them."""
+    monkeypatch.setattr(warc, "CAPTURES", 50)
+    rows = [(k, f"http://h{k % 30}.com/{k}", f"page {k}") for k in range(1000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    captures = warc.write(pages, f"file://{tmp_path}/w")
+    assert warc.index(captures, f"file://{tmp_path}/w").select("file").distinct().count() >= 15
+    got = {r["page_id"]: r["payload_digest"] for r in warc.round_trip(pages, f"file://{tmp_path}/x").collect()}
+    assert got == {k: hashlib.sha1(h.encode()).hexdigest() for k, _, h in rows}
+
+
+def test_warc_of_a_very_long_page(spark, tmp_path):
+    page = "".join(f"<p>{k}</p>" for k in range(400_000))
+    rows = [(1, "http://a.com", page), (2, "http://b.com", page), (3, None, "x")]
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"]) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w").collect()}
+    assert got == {1: (len(page), "revisit"), 2: (len(page), "response"), 3: (1, "response")}
+
+
 def test_decontamination(spark):
     items = {1: "Today Tom has 3 apples and Mary gives Tom 5 kg of old apples before he walks home", 2: "short one", 3: None}
     bench = spark.createDataFrame([(i, t) for i, t in items.items()], "item_id long, text string")
