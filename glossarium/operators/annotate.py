@@ -13,20 +13,27 @@ from pyspark.sql.window import Window
 UPOS = "case when length(lemma) <= 2 then 'DET' when length(lemma) = 3 then 'ADP' when length(lemma) % 3 = 1 then 'NOUN' when length(lemma) % 3 = 2 then 'VERB' else 'ADJ' end"
 
 
-def tokenize(documents: DataFrame) -> DataFrame:
-    """(doc_id, sid, id, lemma, upos); a null text has no tokens."""
-    sentences = documents.select("doc_id", F.posexplode(F.split("text", "[.\\n]+")).alias("sid", "sentence"))
-    tokens = sentences.select("doc_id", F.col("sid").cast("long").alias("sid"), F.posexplode(F.regexp_extract_all(F.lower("sentence"), F.lit(r"(\p{L}+)"), 1)).alias("id", "lemma"))
+def tokenize(documents: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(doc_id, sid, id, lemma, upos); a null text has no tokens.
+
+    partitions: sentences are dealt by (doc_id, sid) to so many partitions before they are cut into tokens.  What is shuffled then is
+    the text itself, not a row a token; one large split no longer means one busy task, and the tokens lie by sentence.
+    """
+    sentences = documents.select("doc_id", F.posexplode(F.split("text", "[.\\n]+")).alias("sid", "sentence")).withColumn("sid", F.col("sid").cast("long"))
+    if partitions:
+        sentences = sentences.repartition(partitions, "doc_id", "sid")
+    tokens = sentences.select("doc_id", "sid", F.posexplode(F.regexp_extract_all(F.lower("sentence"), F.lit(r"(\p{L}+)"), 1)).alias("id", "lemma"))
     return tokens.select("doc_id", "sid", (F.col("id") + 1).cast("long").alias("id"), "lemma").withColumn("upos", F.expr(UPOS))
 
 
-def annotate(documents: DataFrame) -> DataFrame:
-    """tokenize() with head (0: none), deprel, and head_lemma, which spares arcs() a join.  One shuffle by sentence.
+def annotate(documents: DataFrame, partitions: int | None = None) -> DataFrame:
+    """tokenize() with head (0: none), deprel, and head_lemma, which spares arcs() a join.  One shuffle by sentence, of tokens or, with
+    `partitions`, of sentences.
 
     Ids count the tokens of a sentence from 1 without gaps.
     """
     over = "over (partition by doc_id, sid order by id)"
-    df = tokenize(documents).withColumn("verb", F.when(F.col("upos") == "VERB", F.struct("id", "lemma")))
+    df = tokenize(documents, partitions).withColumn("verb", F.when(F.col("upos") == "VERB", F.struct("id", "lemma")))
     # both look one row on among the verbs alone, so a sentence takes time in proportion to its length
     df = df.select("*", F.expr(f"lag(verb) ignore nulls {over}").alias("left"), F.expr(f"lead(verb) ignore nulls {over}").alias("right"))
     noun, at = F.col("upos") == "NOUN", F.coalesce("left", "right")

@@ -55,6 +55,19 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clustered(df: DataFrame, name: str, partitions: int, *keys: str) -> DataFrame:
+    """kept(), in `partitions` buckets by the hash of keys: what is grouped or joined by keys (and more) later needs no shuffle.
+
+    df had better lie in as many partitions by these keys already, as after repartition(partitions, *keys): each task then writes one
+    file.  A bucketed table has to stand in the session's catalog, under a name of its own; its files lie in the shared folder.
+    """
+    spark = df.sparkSession
+    path = shared(spark, name)
+    table = re.sub(r"\W", "_", path.rsplit("/", 1)[1])
+    df.write.bucketBy(partitions, *keys).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with `id`: its rows' numbers from 0, in their order.  The rows are written first, so that the numbers stay."""
     bits = 33  # of a row's place in its partition, in what Spark gives out

@@ -24,17 +24,31 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _cut(spark, sf_dir):
+    """Tokens without arcs, by sentence."""
+    return annotate.tokenize(_documents(spark, sf_dir), _partitions(spark))
+
+
 def _ann(spark, sf_dir):
-    return annotate.annotate(_documents(spark, sf_dir))
+    return annotate.annotate(_documents(spark, sf_dir), _partitions(spark))
+
+
+def _by_sentence(spark, df, name):
+    return lowrank.clustered(df, name, _partitions(spark), *KEYS)
 
 
 def _tokens(spark, sf_dir):
-    return lowrank.kept(_ann(spark, sf_dir), "tokens")
+    """Annotated tokens, written by sentence."""
+    return _by_sentence(spark, _ann(spark, sf_dir), "tokens")
 
 
 def _arcs(spark, sf_dir, tokens=None):
-    """Arcs, written, as the features read them several times."""
-    return lowrank.kept(pairs.arcs(_tokens(spark, sf_dir) if tokens is None else tokens, *KEYS), "arcs")
+    """Arcs, written by sentence, as the features read them several times."""
+    return _by_sentence(spark, pairs.arcs(_ann(spark, sf_dir) if tokens is None else tokens, *KEYS), "arcs")
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -160,7 +174,7 @@ def feature_matrix(spark, sf_dir):
 
 
 def _cooc(spark, sf_dir):
-    return cooc.counts(annotate.tokenize(_documents(spark, sf_dir)), *KEYS)
+    return cooc.counts(_cut(spark, sf_dir), *KEYS)
 
 
 def cooc_counts(spark, sf_dir):
@@ -168,21 +182,21 @@ def cooc_counts(spark, sf_dir):
 
 
 def cooc_rowsum(spark, sf_dir):
-    return cooc.token_row_sums(annotate.tokenize(_documents(spark, sf_dir)), *KEYS)
+    return cooc.token_row_sums(_cut(spark, sf_dir), *KEYS)
 
 
 def cooc_norm(spark, sf_dir):
-    t = lowrank.kept(annotate.tokenize(_documents(spark, sf_dir)), "tokens")
+    t = _by_sentence(spark, _cut(spark, sf_dir), "tokens")
     return _rounded(cooc.normalised(cooc.counts(t, *KEYS), cooc.token_row_sums(t, *KEYS)))
 
 
 def expr_cooc(spark, sf_dir):
-    return cooc.expression_counts(_ann(spark, sf_dir), *KEYS)
+    return cooc.expression_counts(_ann(spark, sf_dir), *KEYS, clustered=True)
 
 
 def expr_weights(spark, sf_dir):
     ann = _tokens(spark, sf_dir)
-    return _rounded(cooc.expression_weights(cooc.expression_counts(ann, *KEYS), cooc.token_row_sums(ann, *KEYS)))
+    return _rounded(cooc.expression_weights(cooc.expression_counts(ann, *KEYS, clustered=True), cooc.token_row_sums(ann, *KEYS)))
 
 
 def _truth(spark, sf_dir, ann=None, arc=None):
@@ -314,7 +328,7 @@ def _features(spark, sf_dir):
     found = lowrank.kept(patterns.between(t, arc, *KEYS, dense=True), "between")
     top = [r["pattern"] for r in patterns.most_frequent(found).collect()]  # twenty
     space = vectors.LatentSpace(counts)
-    exprs = space.expressions(cooc.expression_weights(cooc.expression_counts(t, *KEYS), cooc.row_sums(counts)))
+    exprs = space.expressions(cooc.expression_weights(cooc.expression_counts(t, *KEYS, clustered=True), cooc.row_sums(counts)))
     table = vectors.with_vector_features(patterns.matrix(pairs.association(arc), patterns.frequencies(found), top), space.word_vectors, exprs, len(space.singular_values))
     return lowrank.kept(truth.label(table, _truth(spark, sf_dir, t, arc)), "features"), arc
 
