@@ -44,10 +44,13 @@ def annotate(documents: DataFrame, partitions: int | None = None) -> DataFrame:
     )
 
 
-def with_mwe(ann: DataFrame, arcs: DataFrame) -> DataFrame:
-    """ann with a pseudo annotation: the verb and its noun directly behind it form expression number <noun id>, LVC.full on the noun."""
-    one = arcs.filter("noun_id - verb_id = 1").select("doc_id", "sid", "noun_id", "verb_id")
-    noun = one.select("doc_id", "sid", F.col("noun_id").alias("id"), F.concat(F.col("noun_id").cast("string"), F.lit(":LVC.full")).alias("part"))
-    verb = one.select("doc_id", "sid", F.col("verb_id").alias("id"), F.col("noun_id").cast("string").alias("part"))
-    marks = noun.unionByName(verb).groupBy("doc_id", "sid", "id").agg(F.array_join(F.sort_array(F.collect_list("part")), ";").alias("mwe"))
-    return ann.join(marks, ["doc_id", "sid", "id"], "left").withColumn("mwe", F.coalesce("mwe", F.lit("*")))
+def with_mwe(ann: DataFrame) -> DataFrame:
+    """ann with a pseudo annotation: a verb and its noun directly behind it form expression number <noun id>, LVC.full on the noun.
+
+    Each looks at its neighbour in the sentence, so tokens that lie by sentence are neither joined nor shuffled.
+    """
+    behind = F.lead(F.when((F.col("upos") == "NOUN") & (F.col("head") > 0), F.struct("id", "head"))).over(Window.partitionBy("doc_id", "sid").orderBy("id"))
+    df = ann.withColumn("behind", behind)
+    noun = F.when((F.col("upos") == "NOUN") & (F.col("head") > 0) & (F.col("head") == F.col("id") - 1), F.concat(F.col("id").cast("string"), F.lit(":LVC.full")))
+    verb = F.when((F.col("upos") == "VERB") & (F.col("behind.head") == F.col("id")), F.col("behind.id").cast("string"))
+    return df.withColumn("mwe", F.coalesce(noun, verb, F.lit("*"))).drop("behind")

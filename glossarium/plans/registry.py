@@ -47,8 +47,8 @@ def _tokens(spark, sf_dir):
 
 
 def _arcs(spark, sf_dir, tokens=None):
-    """Arcs, written by sentence, as the features read them several times."""
-    return _by_sentence(spark, pairs.arcs(_ann(spark, sf_dir) if tokens is None else tokens, *KEYS), "arcs")
+    """Arcs, written, as the features read them several times."""
+    return lowrank.kept(pairs.arcs(_ann(spark, sf_dir) if tokens is None else tokens, *KEYS), "arcs")
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -199,10 +199,9 @@ def expr_weights(spark, sf_dir):
     return _rounded(cooc.expression_weights(cooc.expression_counts(ann, *KEYS, clustered=True), cooc.token_row_sums(ann, *KEYS)))
 
 
-def _truth(spark, sf_dir, ann=None, arc=None):
-    ann = _tokens(spark, sf_dir) if ann is None else ann
-    arc = pairs.arcs(ann, *KEYS) if arc is None else arc
-    return truth.constructions(annotate.with_mwe(ann, arc).withColumn("ord", F.col("id")), *KEYS)
+def _truth(spark, sf_dir, ann=None):
+    ann = _ann(spark, sf_dir) if ann is None else ann
+    return truth.constructions(annotate.with_mwe(ann).withColumn("ord", F.col("id")), *KEYS)
 
 
 def lvc_truth(spark, sf_dir):
@@ -212,7 +211,7 @@ def lvc_truth(spark, sf_dir):
 def label_join(spark, sf_dir):
     ann = _tokens(spark, sf_dir)
     arc = _arcs(spark, sf_dir, ann)
-    return truth.label(pairs.candidates(arc), _truth(spark, sf_dir, ann, arc)).select("noun", "verb", "n", "is_lvc")
+    return truth.label(pairs.candidates(arc), _truth(spark, sf_dir, ann)).select("noun", "verb", "n", "is_lvc")
 
 
 def _halves(arc):
@@ -234,7 +233,7 @@ def outer_labels(spark, sf_dir):
     ann = _tokens(spark, sf_dir)
     arc = _arcs(spark, sf_dir, ann)
     train, test = _halves(arc)
-    found = lowrank.kept(_truth(spark, sf_dir, ann, arc), "truth")
+    found = lowrank.kept(_truth(spark, sf_dir, ann), "truth")
     return truth.both_labels(truth.label(train.select("noun", "verb"), found), truth.label(test.select("noun", "verb"), found))
 
 
@@ -242,7 +241,7 @@ def _scored(spark, sf_dir):
     """(noun, verb, score, is_lvc, prediction), and the truth; both written."""
     ann = _tokens(spark, sf_dir)
     arc = _arcs(spark, sf_dir, ann)
-    found = lowrank.kept(_truth(spark, sf_dir, ann, arc), "truth")
+    found = lowrank.kept(_truth(spark, sf_dir, ann), "truth")
     rows = truth.label(pairs.association(arc).select("noun", "verb", F.round("pmi", 9).alias("score")), found)
     return lowrank.kept(rows.withColumn("prediction", F.when(F.col("score") > PMI, "YES").otherwise("NO")), "scored"), found, arc
 
@@ -330,7 +329,7 @@ def _features(spark, sf_dir):
     space = vectors.LatentSpace(counts)
     exprs = space.expressions(cooc.expression_weights(cooc.expression_counts(t, *KEYS, clustered=True), cooc.row_sums(counts)))
     table = vectors.with_vector_features(patterns.matrix(pairs.association(arc), patterns.frequencies(found), top), space.word_vectors, exprs, len(space.singular_values))
-    return lowrank.kept(truth.label(table, _truth(spark, sf_dir, t, arc)), "features"), arc
+    return lowrank.kept(truth.label(table, _truth(spark, sf_dir, t)), "features"), arc
 
 
 def _columns(rows):
@@ -359,7 +358,7 @@ def boost_unseen(spark, sf_dir):
     found = lowrank.kept(patterns.between(t, arc, *KEYS, dense=True), "between")
     top = [r["pattern"] for r in patterns.most_frequent(found).collect()]  # twenty
     table = patterns.matrix(pairs.association(arc), patterns.frequencies(found), top)
-    rows = lowrank.kept(truth.label(table, _truth(spark, sf_dir, t, arc)), "features")
+    rows = lowrank.kept(truth.label(table, _truth(spark, sf_dir, t)), "features")
     train, test = _halves(arc)
     model = LeafBooster(_columns(rows), ROUNDS).fit(truth.restricted(rows, train))
     return _rounded(truth.unseen(model.predict(truth.restricted(rows, test)), train))
