@@ -30,6 +30,7 @@ JOINED = 64 << 20
 #: 2**20 words, if that is more: the list of the frequent never has more than 2**20 entries).
 COUNTED, OFTEN, FREQUENT = 1 << 22, 8, 4096
 _OUT = ["bucket", "strings", "doc", "version", "lo", "hi"]
+_RANGES = ["doc", "version", "lo", "hi"]
 _OUT_TYPE = "bucket int, strings binary, doc long, version long, lo int, hi int"
 
 
@@ -155,82 +156,91 @@ def _send(k: int, m: int, buckets: int, frequent):
 
 
 def _settle(k: int):
-    """Word ranges of the windows that start in a smaller document too; local repeats pass through."""
+    """Word ranges of the windows that start in a smaller document too; local repeats pass through.
+
+    Equal windows stand in one bucket, so a task, which may have several, keeps them packed and settles one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "version", "lo", "hi"]
-        unpack = zstandard.ZstdDecompressor()
-        strings: list[bytes] = []
-        places = []
+        packed: dict[int, list[bytes]] = {}
         for b in batches:
             blobs = b.column(1)
             if blobs.null_count:
-                yield pa.RecordBatch.from_arrays([b.column(c) for c in range(2, 6)], names).filter(blobs.is_null())
-            for blob in blobs.drop_null().to_pylist():
-                raw = unpack.decompress(blob)
-                n, p = np.frombuffer(raw, dtype=np.int64, count=2)
-                length = np.frombuffer(raw, dtype=np.int64, count=n, offset=16)
-                place = np.frombuffer(raw, dtype=np.int64, count=4 * p, offset=16 + 8 * n).reshape(-1, 4).copy()
-                place[:, 0] += len(strings)
-                places.append(place)
-                at = 16 + 8 * n + 32 * p
-                for e in (at + np.cumsum(length)).tolist():
-                    strings.append(raw[at:e])
-                    at = e
-        if not strings:
-            return
-        place = np.concatenate(places)
-        doc = np.zeros(len(strings), dtype=np.int64)
-        doc[place[:, 0]] = place[:, 1]
-        value, string, offset, begin, end = [], [], [], [], []
-        for own, w in chunks(list(range(len(strings))), strings, fold=False):
-            n = np.diff(w.first) - k + 1
-            of = np.repeat(np.arange(len(own)), n)
-            shift = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            first = w.first[of] + shift
-            value.append(long_windows(w, k)[first])
-            string.append(of + own[0])
-            offset.append(shift)
-            text_at = w.start[w.first[of]]
-            begin.append(w.start[first] - text_at)
-            end.append(w.end[first + k - 1] - text_at)
-        value, string, offset, begin, end = (np.concatenate(x) for x in (value, string, offset, begin, end))
-        _, value = np.unique(value, return_inverse=True)
-        while True:
-            order = np.lexsort((doc[string], value))
-            new = np.concatenate([[True], value[order][1:] != value[order][:-1]])
-            group = np.cumsum(new) - 1
-            head = order[np.flatnonzero(new)][group]  # a window of the group's smallest document
-            other = np.empty(len(order), dtype=np.int64)
-            other[order] = head
-            hit = np.flatnonzero(doc[string] > doc[string[other]])  # in order of string and offset
-            if not len(hit):
-                return
-            o = other[hit]
-            new = np.concatenate([[True], (np.diff(string[hit]) != 0) | (np.diff(offset[hit]) != 1) | (np.diff(string[o]) != 0) | (np.diff(offset[o]) != 1)])
-            at = np.flatnonzero(new)
-            first, last = hit[at], hit[np.concatenate([at[1:], [len(hit)]]) - 1]
-            same = [strings[s][a:b] == strings[t][c:d] for s, a, b, t, c, d in zip(string[first].tolist(), begin[first].tolist(), end[last].tolist(), string[other[first]].tolist(), begin[other[first]].tolist(), end[other[last]].tolist(), strict=True)]
-            if all(same):
-                break
-            # windows of one hash that differ: their groups are told apart by the text itself
-            mixed = np.zeros(int(value.max()) + 1, dtype=bool)
-            for x, y in zip(first[~np.array(same)].tolist(), last[~np.array(same)].tolist(), strict=True):
-                mixed[value[x : y + 1]] = True
-            number: dict[bytes, int] = {}
-            for x in np.flatnonzero(mixed[value]).tolist():
-                value[x] = len(mixed) + number.setdefault(strings[string[x]][begin[x] : end[x]], len(number))
-        rank = np.argsort(place[:, 0], kind="stable")
-        place = place[rank]
-        lo, n = np.searchsorted(place[:, 0], string[first]), None
-        n = np.searchsorted(place[:, 0], string[first], "right") - lo
-        row = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        start, stop = np.repeat(offset[first], n) + place[row, 3], np.repeat(offset[last] + k, n) + place[row, 3]
-        yield pa.RecordBatch.from_arrays([pa.array(place[row, 1]), pa.array(place[row, 2]), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names)
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in range(2, 6)], _RANGES).filter(blobs.is_null())
+            own = b.filter(blobs.is_valid())
+            for bucket, blob in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
+                packed.setdefault(bucket, []).append(blob)
+        for bucket in list(packed):
+            yield from _settled(packed.pop(bucket), k)
 
     return run
 
 
+def _settled(blobs: list[bytes], k: int) -> Iterator[pa.RecordBatch]:
+    """What _settle() finds in one bucket."""
+    unpack = zstandard.ZstdDecompressor()
+    strings: list[bytes] = []
+    places = []
+    for blob in blobs:
+        raw = unpack.decompress(blob)
+        n, p = np.frombuffer(raw, dtype=np.int64, count=2)
+        length = np.frombuffer(raw, dtype=np.int64, count=n, offset=16)
+        place = np.frombuffer(raw, dtype=np.int64, count=4 * p, offset=16 + 8 * n).reshape(-1, 4).copy()
+        place[:, 0] += len(strings)
+        places.append(place)
+        at = 16 + 8 * n + 32 * p
+        for e in (at + np.cumsum(length)).tolist():
+            strings.append(raw[at:e])
+            at = e
+    place = np.concatenate(places)
+    doc = np.zeros(len(strings), dtype=np.int64)
+    doc[place[:, 0]] = place[:, 1]
+    value, string, offset, begin, end = [], [], [], [], []
+    for own, w in chunks(list(range(len(strings))), strings, fold=False):
+        n = np.diff(w.first) - k + 1
+        of = np.repeat(np.arange(len(own)), n)
+        shift = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        first = w.first[of] + shift
+        value.append(long_windows(w, k)[first])
+        string.append(of + own[0])
+        offset.append(shift)
+        text_at = w.start[w.first[of]]
+        begin.append(w.start[first] - text_at)
+        end.append(w.end[first + k - 1] - text_at)
+    value, string, offset, begin, end = (np.concatenate(x) for x in (value, string, offset, begin, end))
+    _, value = np.unique(value, return_inverse=True)
+    while True:
+        order = np.lexsort((doc[string], value))
+        new = np.concatenate([[True], value[order][1:] != value[order][:-1]])
+        group = np.cumsum(new) - 1
+        head = order[np.flatnonzero(new)][group]  # a window of the group's smallest document
+        other = np.empty(len(order), dtype=np.int64)
+        other[order] = head
+        hit = np.flatnonzero(doc[string] > doc[string[other]])  # in order of string and offset
+        if not len(hit):
+            return
+        o = other[hit]
+        new = np.concatenate([[True], (np.diff(string[hit]) != 0) | (np.diff(offset[hit]) != 1) | (np.diff(string[o]) != 0) | (np.diff(offset[o]) != 1)])
+        at = np.flatnonzero(new)
+        first, last = hit[at], hit[np.concatenate([at[1:], [len(hit)]]) - 1]
+        same = [strings[s][a:b] == strings[t][c:d] for s, a, b, t, c, d in zip(string[first].tolist(), begin[first].tolist(), end[last].tolist(), string[other[first]].tolist(), begin[other[first]].tolist(), end[other[last]].tolist(), strict=True)]
+        if all(same):
+            break
+        # windows of one hash that differ: their groups are told apart by the text itself
+        mixed = np.zeros(int(value.max()) + 1, dtype=bool)
+        for x, y in zip(first[~np.array(same)].tolist(), last[~np.array(same)].tolist(), strict=True):
+            mixed[value[x : y + 1]] = True
+        number: dict[bytes, int] = {}
+        for x in np.flatnonzero(mixed[value]).tolist():
+            value[x] = len(mixed) + number.setdefault(strings[string[x]][begin[x] : end[x]], len(number))
+    rank = np.argsort(place[:, 0], kind="stable")
+    place = place[rank]
+    lo, n = np.searchsorted(place[:, 0], string[first]), None
+    n = np.searchsorted(place[:, 0], string[first], "right") - lo
+    row = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    start, stop = np.repeat(offset[first], n) + place[row, 3], np.repeat(offset[last] + k, n) + place[row, 3]
+    yield pa.RecordBatch.from_arrays([pa.array(place[row, 1]), pa.array(place[row, 2]), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], _RANGES)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         out: list[list] = [[], [], [], []]
