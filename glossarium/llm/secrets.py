@@ -100,15 +100,17 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def with_features(found: DataFrame, words: list[str], pairs: list[str]) -> DataFrame:
-    """Add the FEATURES columns to candidates."""
+    """Add the FEATURES columns to candidates; words and pairs are of letters, without commas."""
     value, low, n = F.col("value"), F.lower("value"), F.length("value")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
     flag = lambda c: c.cast("double")
     is_like = lambda pattern, of=value: flag(of.rlike(pattern))
     near = F.concat_ws(" ", "before", F.expr("lower(substring_index(word, value, 1))"))
     pieces = F.split(F.lower(F.regexp_replace(value, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+")
-    covered = F.aggregate(F.filter(pieces, lambda p: p.isin(words)), F.lit(0), lambda s, p: s + F.length(p)) if words else F.lit(0)
-    usual: Column = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(2)).isin(pairs))) if pairs else F.lit(0)
+    # a list in one string: as a value each, thousands of words make plans that fill the driver
+    within = lambda x, own: F.find_in_set(x, F.lit(",".join(own))) > 0
+    covered = F.aggregate(F.filter(pieces, lambda p: within(p, words)), F.lit(0), lambda s, p: s + F.length(p)) if words else F.lit(0)
+    usual: Column = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: within(F.substr(low, i, F.lit(2)), pairs))) if pairs else F.lit(0)
     return found.withColumns({
         "length": n.cast("double"), "digits": share("[0-9]"), "upper": share("[A-Z]"), "symbols": share("[^A-Za-z0-9]"), "hexadecimal": is_like("^(?:[0-9a-f]+|[0-9A-F]+)$"), "only_digits": is_like("^[0-9]+$"),
         "changes": share("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"), "case_changes": share("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
