@@ -14,8 +14,8 @@ import json
 import os
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +42,25 @@ _FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _NAMES = [f.split()[0] for f in _FIELDS.split(", ")]
 
 
-class _Codes(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
+def spans(raw: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The matches of WORDS in lower-cased plain text, given as UTF-8 that begins and ends with white space: where they begin, and which
+    bytes are theirs.  kinds: of each code point 0 for white space, 1 for letters, 2 for numbers, else 3."""
+    kind = kinds[raw]  # of ASCII as it is
+    lead = np.flatnonzero(raw >= 0xC0)  # all others take two bytes
+    kind[lead] = kind[lead + 1] = kinds[(raw[lead].astype(np.int64) & 0x1F) << 6 | raw[lead + 1] & 0x3F]
+    begins = np.zeros(len(raw), bool)
+    begins[1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[1:] > 0)
+    begins[lead + 1] = False
+    # 's, 't, 're, 've, 'm, 'll, 'd are words of their own where nothing but letters and white space touches the apostrophe
+    at = np.flatnonzero(raw == 0x27)
+    at = at[begins[at] & (kind[at + 1] == 1)]
+    first, second = raw[at + 1], raw[np.minimum(at + 2, len(raw) - 1)]
+    one = np.isin(first, np.frombuffer(b"stmd", np.uint8))
+    two = ((first == ord("r")) | (first == ord("v"))) & (second == ord("e")) | (first == ord("l")) & (second == ord("l"))
+    for own, size in ((at[one], 1), (at[two], 2)):
+        begins[own + 1] = False
+        begins[own + size + 1] |= kind[own + size + 1] == 1
+    return np.flatnonzero(begins), kind > 0
 
 
 class _Rows:
@@ -83,39 +92,57 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.find, self.plain = re.compile(WORDS).findall, re.compile(PLAIN).fullmatch
+        self.plain = re.compile(PLAIN).fullmatch
+        self.kinds = np.array([0 if re.match(r"\s", c) else 1 if re.match(f"[{LETTER}]", c) else 2 if re.match(f"[{NUMBER}]", c) else 3 for c in map(chr, range(0x180))], np.uint8)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.codes, self.rows = _Codes(), _Rows()
+        self.codes, self.rows = {}, _Rows()
         d = json.loads(definition)
         self.by_word = d.get("normalizer") == NORMALIZER and d.get("pre_tokenizer") == CUTTER and not d.get("post_processor") and d["model"].get("end_of_word_suffix") == "</w>" and all("<|" in t["content"] for t in d.get("added_tokens") or [])
+        # for words that are cut and lower-cased: the same model without the steps that do so
+        self.words = Tokenizer.from_str(json.dumps(d | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, CUTTER["pretokenizers"][1]]}})) if self.by_word else self.tokenizer
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Encode words that were not met before, TOGETHER at a time; their last tokens tell them apart."""
-        lines = [" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
-        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        lines = [b" ".join(words[i : i + TOGETHER]).decode() for i in range(0, len(words), TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.words.encode_batch_fast(lines, add_special_tokens=False)])
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):
             raise ValueError("the tokenizer does not mark the ends of words")
         self.rows.add(ids, ends)
 
+    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words of plain texts, one after another, and how many each text has."""
+        said = [t.lower().encode() for t in texts]
+        raw = np.frombuffer(b"\n" + b"\n".join(said) + b"\n", np.uint8)
+        start, inside = spans(raw, self.kinds)
+        places = np.append(0, np.cumsum(inside))  # of bytes among those of words
+        words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(places[start], places[-1]).astype(np.int32)), pa.py_buffer(raw[inside])]).dictionary_encode()
+        each = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.codes.get, each, repeat(-1)), dtype=np.int64, count=len(each))
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            number[unknown] = np.arange(len(self.codes), len(self.codes) + len(unknown))
+            new = [each[k] for k in unknown.tolist()]
+            self.codes.update(zip(new, number[unknown].tolist(), strict=True))
+            self._learn(new)
+        upto = np.cumsum([len(x) + 1 for x in said])
+        return number[words.indices.to_numpy()], np.diff(np.searchsorted(start, np.append(0, upto)))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
         if len(self.codes) > REMEMBERED:
-            self.codes, self.rows = _Codes(), _Rows()
-        words, whole = [], {}
+            self.codes, self.rows = {}, _Rows()
+        plain, whole = [], {}
         counts = np.zeros(len(texts), dtype=np.int64)
         for k, t in enumerate(texts):
             if self.by_word and self.plain(t) and "<|" not in t:
-                own = self.find(t.lower())
-                counts[k] = len(own)
-                words += own
+                plain.append(k)
             elif t:
                 whole[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
-        word = np.fromiter(map(self.codes.__getitem__, words), dtype=np.int64, count=len(words))
-        if self.codes.new:
-            self._learn(self.codes.new)
-            self.codes.new = []
+        word = np.zeros(0, dtype=np.int64)
+        if plain:
+            word, counts[plain] = self._numbers([texts[k] for k in plain])
         at = self.rows.at[word]
         size = self.rows.at[word + 1] - at
         ends = np.concatenate([[0], np.cumsum(size)])
@@ -133,17 +160,19 @@ class WordEncoder:
 def best_cuts(place: list[int], penalty: list[int], length: int) -> tuple[list[float], list[int]]:
     """Cost of the best cuts up to each place, and the cut before it.  place ascends from 0 by steps of at most length."""
     cost, before = [0.0] * len(place), [0] * len(place)
-    queue = deque([(0, 0)])  # (f(i) + p(i), i), smallest first
+    queue, least, first = [0], [0.0], 0  # i, f(i) + p(i) of what is queued, smallest first, from `first` on
     for j in range(1, len(place)):
         p = place[j]
-        while p - place[queue[0][1]] > length:
-            queue.popleft()
-        least, before[j] = queue[0]
-        cost[j] = penalty[j] + length - p + least
-        value = cost[j] + p
-        while queue and queue[-1][0] >= value:
+        while p - place[queue[first]] > length:
+            first += 1
+        before[j] = queue[first]
+        value = penalty[j] + length + least[first]
+        cost[j] = value - p
+        while len(least) > first and least[-1] >= value:
             queue.pop()
-        queue.append((value, j))
+            least.pop()
+        queue.append(j)
+        least.append(value)
     return cost, before
 
 
